@@ -52,16 +52,18 @@ raw as (select 'N' || c_nationkey as src, 'C' || c_custkey as dst from customer
   union all select 'O' || l_orderkey, 'P' || l_partkey from lineitem
   union all select 'P' || l_partkey, 'S' || l_suppkey from lineitem
   union all select 'S' || s_suppkey, 'N' || s_nationkey from supplier),
-edge as (select src, dst, count(*) as copies from raw group by 1, 2)"""
+edge as materialized (select src, dst, count(*) as copies from raw group by 1, 2)"""
 
 # Levels, smallest backpointers and hits for the sources listed in `starts`.
 _SEARCH = """
 walk(source, node, dist) as (select source, source, 0 from starts
   union select w.source, e.dst, w.dist + 1 from walk w join edge e on e.src = w.node where w.dist < 10),
-d as (select source, node, min(dist) as dist from walk group by 1, 2),
-into_node as (select d.source, d.node, min(p.node) as backpointer, sum(e.copies)::bigint as hits
-  from d join edge e on e.dst = d.node join d p on p.source = d.source and p.node = e.src and p.dist = d.dist - 1 group by 1, 2),
-reached as (select d.source, d.node, d.dist::int as dist, i.backpointer, coalesce(i.hits, 0)::bigint as hits
+d as materialized (select source, node, min(dist) as dist from walk group by 1, 2),
+step as materialized (select p.source, e.dst as node, p.dist + 1 as dist, p.node as src, e.copies
+  from d p join edge e on e.src = p.node),
+into_node as materialized (select source, node, min(src) as backpointer, sum(copies)::bigint as hits
+  from step semi join d using (source, node, dist) group by 1, 2),
+reached as materialized (select d.source, d.node, d.dist::int as dist, i.backpointer, coalesce(i.hits, 0)::bigint as hits
   from d left join into_node i on i.source = d.source and i.node = d.node)"""
 
 
@@ -105,7 +107,7 @@ from asked left join reached r on r.source = asked.source and r.node = asked.tar
 
 _PAIRS = f"""
 drawn as (select artist_id, row_number() over (order by
-    ('0x' || substr(md5('0/' || artist_id || ':42'), 1, 15))::bigint, artist_id) - 1 as r from ({_nodes_sql('NCS')})),
+    ('0x' || substr(md5('0/' || artist_id || ':42'), 1, 15))::bigint, artist_id) - 1 as r from ({_nodes_sql('NCSP')})),
 pairs as (select r // 2 as pair_id, max(case when r % 2 = 0 then artist_id end) as source,
     max(case when r % 2 = 1 then artist_id end) as target from drawn where r < 16 group by 1)"""
 
@@ -125,14 +127,14 @@ with recursive {_EDGES}, {_PAIRS},
 asked as (select source, target from pairs union select 'N0', 'R0' union select 'C1', 'C1' union select 'X', 'C1'),
 starts as (select distinct source from asked), {_SEARCH}, {_PATH}""")
 def shortest_paths(spark, d):
-    drawn = sampling.random_pairs(artists(spark, d, "NCS"), "artist_id", 8).select("source", "target")
+    drawn = sampling.random_pairs(artists(spark, d, "NCSP"), "artist_id", 8).select("source", "target")
     fixed = spark.createDataFrame([("N0", "R0"), ("C1", "C1"), ("X", "C1")], ["source", "target"])
     return _shown(graph.shortest_paths(edges(spark, d), drawn.unionByName(fixed)))
 
 
 @query("random_pairs", f"with {_PAIRS} select pair_id, source, target from pairs")
 def random_pairs(spark, d):
-    return sampling.random_pairs(artists(spark, d, "NCS"), "artist_id", 8)
+    return sampling.random_pairs(artists(spark, d, "NCSP"), "artist_id", 8)
 
 
 @query("first_per_key", """
