@@ -46,3 +46,10 @@ def segment_rows(flat: Column, dims: int) -> Column:
     count = F.floor(F.size(values) / dims).cast("int")
     starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda r: F.slice(values, r * dims + 1, dims))
+
+
+def is_complete(array: Column, width: int) -> Column:
+    """True for an array of exactly `width` values without null or NaN."""
+    values = array.cast("array<double>")
+    known = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x))
+    return F.coalesce((F.size(values) == width) & known, F.lit(False))

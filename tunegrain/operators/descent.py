@@ -36,8 +36,8 @@ def batch_table(
     return materialize(rows.hint("rebalance", "batch"), "batches", partition_by="batch")
 
 
-def _batch(table: DataFrame, number: int) -> DataFrame:
-    return table.filter(F.col("batch") == number)
+def _batch(table: DataFrame, *numbers: int) -> DataFrame:
+    return table.filter(F.col("batch").isin(*numbers))
 
 
 def _with_prediction(
@@ -99,7 +99,7 @@ class SGDRegressor(Estimator, _Columns):
                 error = x @ w + b - y
                 return np.concatenate([[len(y), error.sum()], x.T @ error])
 
-            sums = rowsums.total(_batch(table, (t - 1) % batches), gradient)
+            sums = rowsums.total(_batch(table, (t - 1) % batches).select("x", "y"), gradient, scan=True)
             if sums is None:  # a tiny table may leave a batch empty
                 continue
             rate = self.step / np.sqrt(t) if self.decay else self.step
@@ -201,33 +201,42 @@ class PerceptronRegressor(Estimator, _Columns):
         first, second = np.zeros_like(flat), np.zeros_like(flat)
         best, best_error, waited, t = flat, np.inf, 0, 0
         losses, checks = [], []
+
+        def step(x: np.ndarray, y: np.ndarray, batch: np.ndarray, w: np.ndarray) -> np.ndarray:
+            """[held-out rows, their squared error, rows, squared error, gradient...]."""
+            held = batch == VALIDATION
+            error = _activations(x[held], w, layers)[-1][:, 0] - y[held]
+            return np.concatenate([[held.sum(), (error**2).sum()], _loss_gradient(x[~held], y[~held], w, layers)])
+
         for _ in range(self.epochs):
             rows = loss = 0.0
             for number in range(self.batches):
-                sums = rowsums.total(
-                    _batch(table, number), lambda x, y, w=flat: _loss_gradient(x, y, w, layers)
-                )
+                # The first step of an epoch also scores the weights that the epoch starts from.
+                parts = [number, VALIDATION] if self.early_stopping and number == 0 else [number]
+                sums = rowsums.total(_batch(table, *parts), lambda x, y, b, w=flat: step(x, y, b, w), scan=True)
                 if sums is None:  # a tiny table may leave a batch empty
                     continue
-                rows, loss, t = rows + sums[0], loss + sums[1], t + 1
-                gradient = (sums[2:] + decayed * flat) / sums[0]
+                if number == 0 and sums[0]:
+                    error = sums[1] / sums[0]
+                    checks.append(error)
+                    waited = 0 if error < best_error - self.tol * min(best_error, 1.0) else waited + 1
+                    if error < best_error:
+                        best, best_error = flat, error
+                if not sums[2]:
+                    continue
+                rows, loss, t = rows + sums[2], loss + sums[3], t + 1
+                gradient = (sums[4:] + decayed * flat) / sums[2]
                 first = 0.9 * first + 0.1 * gradient
                 second = 0.999 * second + 0.001 * gradient**2
                 rate = self.rate * np.sqrt(1.0 - 0.999**t) / (1.0 - 0.9**t)
                 flat = flat - rate * first / (np.sqrt(second) + 1e-8)
+            if not rows:
+                raise ValueError("no complete row to train on")
             losses.append(loss / rows / 2)
-            if not self.early_stopping:
-                best = flat
-                continue
-            check = rowsums.total(
-                _batch(table, VALIDATION),
-                lambda x, y, w=flat: np.array([len(y), ((_activations(x, w, layers)[-1][:, 0] - y) ** 2).sum()]),
-            )
-            error = check[1] / check[0] if check is not None else loss / rows
-            checks.append(error)
-            waited = 0 if error < best_error - self.tol * min(best_error, 1.0) else waited + 1
-            if error < best_error:
-                best, best_error = flat, error
             if waited >= self.patience:
                 break
+        if checks:
+            score = rowsums.total(_batch(table, VALIDATION), lambda x, y, b, w=flat: step(x, y, b, w)[:2], scan=True)
+            checks.append(score[1] / score[0])
+        best = flat if not checks or checks[-1] < best_error else best
         return PerceptronModel(best, layers, names, losses, checks)

@@ -10,9 +10,10 @@ from tunegrain.runtime import materialize
 
 def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """(rmse, mse, mae, r2) from one pass; r2 is null for a constant label."""
-    y, error = F.col(label), F.col(label) - F.col(prediction)
+    error = F.col(label) - F.col(prediction)
+    y = F.when(error.isNotNull(), F.col(label))
     mse = F.avg(error * error)
-    return df.filter(error.isNotNull()).agg(
+    return df.agg(
         F.sqrt(mse).alias("rmse"),
         mse.alias("mse"),
         F.avg(F.abs(error)).alias("mae"),

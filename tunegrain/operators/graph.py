@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tunegrain.functions.hashing import key_hash
@@ -61,7 +61,7 @@ def adjacency(artists: DataFrame, similarity: DataFrame, list_rows: int = LIST_R
                 ",",
                 F.flatten(
                     F.transform(
-                        F.array_sort(F.collect_list(F.struct(F.col("similar"), F.col("_n").cast("int").alias("n")))),
+                        F.sort_array(F.collect_list(F.struct(F.col("similar"), F.col("_n").cast("int").alias("n")))),
                         lambda e: F.array_repeat(e["similar"].cast("string"), e["n"]),
                     )
                 ),
@@ -146,8 +146,10 @@ def search(
             if waiting.isEmpty():
                 break
             frontier = frontier.join(waiting.select("source").distinct(), "source", "left_semi")
-        _advance(frontier, edges, visited).write.parquet(f"{path}/dist={depth + 1}", mode="overwrite")
-        if levels().filter(F.col("dist") == depth + 1).isEmpty():
+        level = Observation()
+        fresh = _advance(frontier, edges, visited).observe(level, F.count(F.lit(1)).alias("rows"))
+        fresh.write.parquet(f"{path}/dist={depth + 1}", mode="overwrite")
+        if not level.get["rows"]:
             break
         depth += 1
     return Search(levels().filter(F.col("dist") <= depth), depth, path)

@@ -1,10 +1,11 @@
 """Exact percentiles without a sort of the whole column.
 
 The built-in exact `percentile` keeps every distinct value of a column in one buffer.
-Here each wanted rank has a bracket that is known to hold it; a pass counts the rows of
-every bracket by equal-width buckets and shrinks the bracket to the bucket with the rank.
-A pass shuffles at most `buckets` counts per rank and task, so a value that fills a third
-of the column costs nothing extra: its bracket closes as soon as its ends are equal.
+Here the wanted ranks of a column lie in brackets, disjoint value ranges. A pass counts the
+rows of every bracket by equal-width buckets and shrinks the brackets to the buckets that
+hold a rank. It reads one column at a time and shuffles at most `BUCKETS` counts per bracket
+and task. A value that fills a third of the column costs nothing extra: its bracket is done
+as soon as its ends are equal.
 """
 
 from __future__ import annotations
@@ -12,75 +13,85 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
-SORT_ROWS = 20_000
+SORT_ROWS = 100_000
 
 
 @dataclass
 class _Bracket:
-    column: str
-    rank: int  # 1-based among the non-null, non-NaN values of the column
+    column: int
     lo: float
     hi: float
-    below: int = 0  # rows before the bracket
-    rows: int = 0
+    below: int  # rows of the column before the bracket
+    rows: int
+    ranks: list[int]  # 1-based ranks in the whole column
 
-    @property
-    def solved(self) -> bool:
-        return self.lo == self.hi
 
-
-def _usable(name: str):
+def _usable(name: str) -> Column:
     value = F.col(name).cast("double")
     return F.when(~F.isnan(value), value)
 
 
-def _tagged(df: DataFrame, open_brackets: list[_Bracket], expr) -> DataFrame:
-    """One row per (input row, open bracket that contains its value)."""
-    items = []
-    for i, b in enumerate(open_brackets):
-        value = _usable(b.column)
-        inside = value.between(F.lit(b.lo), F.lit(b.hi))
-        items.append(F.when(inside, F.struct(F.lit(i).alias("t"), value.alias("v"), expr(b, value).alias("b"))))
-    return df.select(F.explode(F.array_compact(F.array(*items))).alias("x")).select("x.t", "x.v", "x.b")
+def _members(df: DataFrame, cols: Sequence[str], brackets: list[_Bracket]) -> DataFrame:
+    """(t, v, p): bracket number, value and relative position of every value inside a bracket."""
+    scans = []
+    for i, name in enumerate(cols):
+        mine = [(t, b) for t, b in enumerate(brackets) if b.column == i]
+        if not mine:
+            continue
+        values = df.select(_usable(name).alias("v"))
+        number = position = F.lit(None)
+        for t, b in mine:
+            inside = F.col("v").between(F.lit(b.lo), F.lit(b.hi))
+            number = F.when(inside, F.lit(t)).otherwise(number)
+            position = F.when(inside, (F.col("v") - F.lit(b.lo)) / F.lit(b.hi - b.lo)).otherwise(position)
+        scans.append(values.select(number.alias("t"), "v", position.alias("p")).filter(F.col("t").isNotNull()))
+    return reduce(DataFrame.unionAll, scans)
 
 
-def _bucket(b: _Bracket, value):
-    step = (value - F.lit(b.lo)) / F.lit(b.hi - b.lo)
-    return F.least(F.floor(step * BUCKETS).cast("int"), F.lit(BUCKETS - 1))
+def _wanted(brackets: list[_Bracket]) -> Column:
+    """The ranks asked of bracket `t`, counted from its first row."""
+    lists = [F.array(*[F.lit(r - b.below).cast("bigint") for r in b.ranks]) for b in brackets]
+    return F.get(F.array(*lists), F.col("t"))
 
 
-def _shrink(df: DataFrame, open_brackets: list[_Bracket]) -> None:
+def _shrink(df: DataFrame, cols: Sequence[str], brackets: list[_Bracket]) -> list[_Bracket]:
+    bucket = F.least(F.floor(F.col("p") * BUCKETS).cast("int"), F.lit(BUCKETS - 1))
     counts = (
-        _tagged(df, open_brackets, _bucket)
-        .groupBy("t", "b")
+        _members(df, cols, brackets)
+        .groupBy("t", bucket.alias("b"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     )
-    ranks = F.create_map(*[F.lit(x) for i, b in enumerate(open_brackets) for x in (i, b.rank - b.below)])
     upto = F.sum("n").over(Window.partitionBy("t").orderBy("b"))
+    before = F.col("upto") - F.col("n")
     hit = (
         counts.withColumn("upto", upto)
-        .withColumn("rank", ranks[F.col("t")])
-        .filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+        .withColumn("rank", F.explode(_wanted(brackets)))
+        .filter((F.col("rank") <= F.col("upto")) & (F.col("rank") > before))
+        .groupBy("t", "b")
+        .agg(*[F.first(c).alias(c) for c in ("lo", "hi", "n", "upto")], F.collect_list("rank").alias("ranks"))
     )
-    for row in hit.collect():  # one row per open bracket
-        b = open_brackets[row["t"]]
-        b.below += row["upto"] - row["n"]
-        b.lo, b.hi, b.rows = row["lo"], row["hi"], row["n"]
+    smaller = []
+    for row in hit.collect():  # at most one row per wanted rank
+        old = brackets[row["t"]]
+        below = old.below + row["upto"] - row["n"]
+        ranks = [r + old.below for r in row["ranks"]]
+        smaller.append(_Bracket(old.column, row["lo"], row["hi"], below, row["n"], ranks))
+    return smaller
 
 
-def _finish(df: DataFrame, open_brackets: list[_Bracket]) -> None:
-    """Brackets with few rows: sort those rows and read the rank off."""
-    ranks = F.create_map(*[F.lit(x) for i, b in enumerate(open_brackets) for x in (i, b.rank - b.below)])
-    rows = _tagged(df, open_brackets, lambda b, value: F.lit(0))
-    numbered = rows.withColumn("rn", F.row_number().over(Window.partitionBy("t").orderBy("v")))
-    for row in numbered.filter(F.col("rn") == ranks[F.col("t")]).select("t", "v").collect():
-        b = open_brackets[row["t"]]
-        b.lo = b.hi = row["v"]
+def _read_off(df: DataFrame, cols: Sequence[str], brackets: list[_Bracket]) -> dict[tuple[int, int], float]:
+    """Brackets with few rows: sort those rows and take the wanted ones."""
+    ordered = _members(df, cols, brackets).withColumn("rn", F.row_number().over(Window.partitionBy("t").orderBy("v")))
+    rows = ordered.filter(F.array_contains(_wanted(brackets), F.col("rn").cast("bigint"))).select("t", "rn", "v")
+    return {
+        (brackets[row["t"]].column, row["rn"] + brackets[row["t"]].below): row["v"] for row in rows.collect()
+    }
 
 
 def exact_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
@@ -88,42 +99,38 @@ def exact_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
 
     Null and NaN are left out, other values must be finite; a column without any value gets null.
     """
-    spark = df.sparkSession
     stats = df.agg(
         *[
-            F.struct(
-                F.count(_usable(c)).alias("n"), F.min(_usable(c)).alias("lo"), F.max(_usable(c)).alias("hi")
-            ).alias(f"c{i}")
+            F.struct(F.count(_usable(c)).alias("n"), F.min(_usable(c)), F.max(_usable(c))).alias(f"c{i}")
             for i, c in enumerate(cols)
         ]
     ).first()
-    brackets: dict[tuple[str, int], _Bracket] = {}
-    wanted: list[tuple[str, float, int, int, float]] = []
-    for i, column in enumerate(cols):
+    found: dict[tuple[int, int], float] = {}
+    brackets = []
+    wanted: list[tuple[int, float, float]] = []  # column, prob, 0-based position of the percentile
+    for i in range(len(cols)):
         n, lo, hi = stats[f"c{i}"]
-        for prob in probs:
-            if not n:
-                wanted.append((column, prob, 0, 0, 0.0))
-                continue
-            position = prob * (n - 1)
-            low, high = math.floor(position) + 1, math.ceil(position) + 1
-            for rank in (low, high):
-                bracket = _Bracket(column, rank, lo, hi, rows=n)
-                if rank in (1, n):
-                    bracket.lo = bracket.hi = lo if rank == 1 else hi
-                brackets.setdefault((column, rank), bracket)
-            wanted.append((column, prob, low, high, position - math.floor(position)))
-
-    while open_brackets := [b for b in brackets.values() if not b.solved and b.rows > SORT_ROWS]:
-        _shrink(df, open_brackets)
-    if small := [b for b in brackets.values() if not b.solved]:
-        _finish(df, small)
+        wanted += [(i, prob, prob * (n - 1)) for prob in probs]
+        if n:
+            found.update({(i, 1): lo, (i, n): hi})
+            ranks = {r(prob * (n - 1)) + 1 for prob in probs for r in (math.floor, math.ceil)} - {1, n}
+            brackets.append(_Bracket(i, lo, hi, 0, n, sorted(ranks)))
+
+    while brackets:
+        done = [b for b in brackets if b.lo == b.hi or not b.ranks]
+        found.update({(b.column, rank): b.lo for b in done for rank in b.ranks})
+        brackets = [b for b in brackets if b.lo < b.hi and b.ranks]
+        if not brackets:
+            break
+        if all(b.rows <= SORT_ROWS for b in brackets):
+            found.update(_read_off(df, cols, brackets))
+            break
+        brackets = _shrink(df, cols, brackets)
 
     rows = []
-    for column, prob, low, high, weight in wanted:
-        if not low:
-            rows.append((column, float(prob), None))
-            continue
-        a, b = brackets[(column, low)].lo, brackets[(column, high)].lo
-        rows.append((column, float(prob), a + (b - a) * weight if weight else a))
-    return spark.createDataFrame(rows, "column string, prob double, value double")
+    for i, prob, position in wanted:
+        low = math.floor(position)
+        a, b = found.get((i, low + 1)), found.get((i, math.ceil(position) + 1))
+        value = None if a is None else a + (b - a) * (position - low)
+        rows.append((cols[i], float(prob), value))
+    return df.sparkSession.createDataFrame(rows, "column string, prob double, value double")

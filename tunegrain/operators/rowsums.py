@@ -22,7 +22,7 @@ cloudpickle.register_pickle_by_value(sys.modules["tunegrain"])
 
 FAN_IN = 32
 
-Fold = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Fold = Callable[..., np.ndarray]
 
 
 def feature_array(df: DataFrame, features_col: str) -> Column:
@@ -47,28 +47,32 @@ def vector(values: pa.Array) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False)
 
 
-def total(rows: DataFrame, fold: Fold) -> np.ndarray | None:
-    """Sum of `fold(x, y)` over all batches of (x, y) rows, None without any row.
+def total(rows: DataFrame, fold: Fold, scan: bool = False) -> np.ndarray | None:
+    """Sum of `fold(x, y, ...)` over all batches of rows (x, y, ...), None without any row.
 
-    All folds must return arrays of one length.
+    All folds must return arrays of one length. With `scan`, `rows` is a plain file scan: its
+    number of tasks is known beforehand, and up to FAN_IN arrays go straight to the driver.
     """
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = None
         for batch in batches:
             if batch.num_rows:
-                part = fold(matrix(batch.column(0)), vector(batch.column(1)))
+                part = fold(matrix(batch.column(0)), *[vector(c) for c in batch.columns[1:]])
                 acc = part if acc is None else acc + part
         if acc is not None:
             lists = pa.ListArray.from_arrays(pa.array([0, len(acc)], pa.int32()), pa.array(acc))
             yield pa.RecordBatch.from_arrays([lists], ["v"])
 
-    parts = rows.select("x", "y").mapInArrow(partial, "v array<double>")
-    group = F.pmod(F.spark_partition_id(), F.lit(FAN_IN))
-    joined = (
-        parts.select(group.alias("g"), array_to_vector("v").alias("v"))
-        .groupBy("g")
-        .agg(Summarizer.sum(F.col("v")).alias("v"))
-    )
-    sums = [row["v"].toArray() for row in joined.collect()]  # at most FAN_IN rows
+    parts = rows.mapInArrow(partial, "v array<double>")
+    if scan and rows.rdd.getNumPartitions() <= FAN_IN:
+        sums = [np.asarray(row["v"]) for row in parts.collect()]
+    else:
+        group = F.pmod(F.spark_partition_id(), F.lit(FAN_IN))
+        joined = (
+            parts.select(group.alias("g"), array_to_vector("v").alias("v"))
+            .groupBy("g")
+            .agg(Summarizer.sum(F.col("v")).alias("v"))
+        )
+        sums = [row["v"].toArray() for row in joined.collect()]  # at most FAN_IN rows
     return np.sum(sums, axis=0) if sums else None
