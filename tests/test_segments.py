@@ -48,12 +48,15 @@ def test_array_stats(spark, raw):
 
 
 def test_signature(spark, raw):
-    rows = {r.song_id: r.segments_timbre for r in segments.array_signature(raw, "song_id", "segments_timbre").collect()}
+    rows = {r.song_id: r.segments_timbre for r in segments.array_signature(raw, ["song_id"], ["segments_timbre"]).collect()}
     assert len(rows) == 5
     assert rows["three"] == pytest.approx(by_hand(rows_of(3)))
     assert rows["ragged"] == pytest.approx(by_hand(rows_of(2)))
     assert rows["one"][:12] == pytest.approx(list(rows_of(1)[0])) and rows["one"][12:] == [None] * 78
     assert rows["empty"] is None and rows["none"] is None
+    gap = spark.createDataFrame([("gap", [None] + [1.0] * 23), ("full", [1.0] * 24)], "k string, a array<double>")
+    found = dict(map(tuple, segments.array_signature(gap, ["k"], ["a"]).collect()))
+    assert found["gap"] is None and found["full"] == [1.0] * 12 + [0.0] * 78
     diagonal = [12 + sum(12 - k for k in range(i)) for i in range(12)]
     assert all(rows["three"][i] >= 0 for i in diagonal)
 

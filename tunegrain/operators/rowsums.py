@@ -6,20 +6,15 @@ in two steps, so that neither one task nor the driver ever receives one array pe
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Functions of this package travel to the executors by value; nothing has to be installed there.
-cloudpickle.register_pickle_by_value(sys.modules["tunegrain"])
-
 FAN_IN = 32
 
 Fold = Callable[..., np.ndarray]

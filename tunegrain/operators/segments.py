@@ -8,24 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunegrain.functions import arrays
+from tunegrain.runtime import allow_wide_codegen
 from tunegrain.schema import CONFIDENCE_GROUPS, SEGMENT_ARRAYS, SEGMENT_DIMS
 
 
 def array_stats(df: DataFrame, cols: Sequence[str], keep: Sequence[str], with_max: bool = True) -> DataFrame:
     """Mean, population deviation and maximum of array columns, computed inside the row."""
-    prepared = df.select(
+    with_means = df.select(
         *keep,
-        *[arrays.array_moments(F.col(c)).alias(f"_m_{c}") for c in cols],
-        *([arrays.array_top(F.col(c)).alias(f"{c}_max") for c in cols] if with_max else []),
+        *[c for c in cols if c not in keep],
+        *[arrays.array_mean(F.col(c)).alias(f"{c}_mean") for c in cols],
     )
     stats: list[Column] = []
     for c in cols:
-        moments = F.col(f"_m_{c}")
-        stats.append(arrays.moments_mean(moments).alias(f"{c}_mean"))
-        stats.append(arrays.moments_std(moments).alias(f"{c}_std"))
+        mean = F.col(f"{c}_mean")
+        stats += [mean, arrays.array_std(F.col(c), mean).alias(f"{c}_std")]
         if with_max:
-            stats.append(F.col(f"{c}_max"))
-    return prepared.select(*keep, *stats)
+            stats.append(arrays.array_top(F.col(c)).alias(f"{c}_max"))
+    return with_means.select(*keep, *stats)
 
 
 def grouped_stats(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -60,6 +60,7 @@ def segment_means(df: DataFrame, key: str, vector: str, dims: int = SEGMENT_DIMS
 
 def segment_covariances(df: DataFrame, key: str, vector: str, dims: int = SEGMENT_DIMS) -> DataFrame:
     """(key, covariances): upper triangle with diagonal, row by row, of the sample covariance."""
+    allow_wide_codegen(df.sparkSession)
     rows = _dim_columns(df, key, vector, dims)
     return rows.groupBy(key).agg(F.array(*_covariances(dims)).alias("covariances"))
 
@@ -69,27 +70,20 @@ def segment_signature(df: DataFrame, key: str, vector: str, dims: int = SEGMENT_
 
     A key with a single segment has null covariances.
     """
+    allow_wide_codegen(df.sparkSession)
     rows = _dim_columns(df, key, vector, dims)
     return rows.groupBy(key).agg(F.array(*_means(dims), *_covariances(dims)).alias("signature"))
 
 
-def array_signature(df: DataFrame, key: str, flat: str, dims: int = SEGMENT_DIMS) -> DataFrame:
-    """(key, flat): signature of a flat n x dims array; null if the song has no complete segment.
-
-    The rows of one song sit in one task, so the partial aggregate reduces them to one row
-    before the shuffle.
-    """
-    segments = df.select(key, F.explode(arrays.segment_rows(F.col(flat), dims)).alias("_segment"))
-    signed = segment_signature(segments, key, "_segment", dims).withColumnRenamed("signature", flat)
-    return df.select(key).join(signed, key, "left")
+def array_signature(df: DataFrame, keep: Sequence[str], cols: Sequence[str], dims: int = SEGMENT_DIMS) -> DataFrame:
+    """Flat n x dims arrays replaced by their signatures, inside the row; null without a complete segment."""
+    return df.select(*keep, *[arrays.signature(F.col(c), dims).alias(c) for c in cols])
 
 
 def song_features(raw: DataFrame, key: str = "song_id") -> DataFrame:
-    """Raw per-song analysis arrays to the summary columns of the song table."""
+    """Raw per-song analysis arrays to the summary columns of the song table, without a shuffle."""
     confidence = [f"{group}_confidence" for group in CONFIDENCE_GROUPS]
-    features = array_stats(raw, confidence, keep=[key, "segments_loudness_max"])
-    features = array_stats(features, ["segments_loudness_max"], with_max=False,
-                           keep=[c for c in features.columns if c != "segments_loudness_max"])
-    for flat in SEGMENT_ARRAYS:
-        features = features.join(array_signature(raw, key, flat), key, "left")
-    return features
+    features = array_stats(raw, confidence, [key, "segments_loudness_max", *SEGMENT_ARRAYS])
+    rest = [c for c in features.columns if c != "segments_loudness_max"]
+    features = array_stats(features, ["segments_loudness_max"], rest, with_max=False)
+    return array_signature(features, [c for c in features.columns if c not in SEGMENT_ARRAYS], SEGMENT_ARRAYS)

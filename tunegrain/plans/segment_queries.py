@@ -69,7 +69,7 @@ a as (select vec_id, [{', '.join(f'avg(d{i})' for i in range(_DIMS))}, {', '.joi
 select vec_id, unnest(range(0, 90))::int as pos, round(unnest(v), 6) as value from a""")
 def array_signature(spark, d):
     """Every 64-wide vector as a flat matrix of five segments with a ragged tail of four."""
-    found = segments.array_signature(table(spark, d, "embeddings"), "vec_id", "embedding")
+    found = segments.array_signature(table(spark, d, "embeddings"), ["vec_id"], ["embedding"])
     return _long(found, "vec_id", "embedding")
 
 

@@ -28,6 +28,17 @@ def build_session(app: str = "tunegrain", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def allow_wide_codegen(spark: SparkSession, fields: int = 2000) -> None:
+    """Raise the session's column limit for generated code.
+
+    The dozens of covariances of a signature need over 300 buffer fields; above the limit Spark
+    runs them outside whole-stage code, more than three times slower.
+    """
+    name = "spark.sql.codegen.maxFields"
+    if int(spark.conf.get(name)) < fields:
+        spark.conf.set(name, str(fields))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by spark.checkpoint.dir.
 
