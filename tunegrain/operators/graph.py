@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tunegrain.functions.hashing import key_hash
-from tunegrain.runtime import broadcast_within, materialize, new_folder
+from tunegrain.runtime import materialize, new_folder
 
 MAX_DEPTH = 10
 LIST_ROWS = 100_000
@@ -29,6 +29,24 @@ def init_nodes(artists: DataFrame, source: Any) -> DataFrame:
     )
 
 
+def _joined(entries, separator: str = ","):
+    return F.concat_ws(separator, F.sort_array(entries))
+
+
+def _long_lists(edges: DataFrame, degrees: DataFrame, list_rows: int) -> DataFrame:
+    """Lists of artists with more than `list_rows` edges, cut into parts of about that size."""
+    counted = edges.join(degrees, "target").groupBy("target", "similar", "_degree").agg(F.count(F.lit(1)).alias("_n"))
+    # Copies of one edge are cut into runs first, so that even a single repeated edge spreads out.
+    runs = F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / list_rows).cast("int"))
+    spread = counted.withColumn("_run", F.explode(runs))
+    copies = F.least(F.col("_n") - F.col("_run") * F.lit(list_rows), F.lit(list_rows)).cast("int")
+    slot = key_hash(F.concat_ws("/", F.col("similar"), F.col("_run")), 0) % F.ceil(F.col("_degree") / list_rows)
+    entry = F.array_repeat(F.col("similar").cast("string"), copies)
+    return spread.groupBy("target", slot.cast("int").alias("part")).agg(
+        F.sum(copies).alias("n_similar"), _joined(F.flatten(F.collect_list(entry))).alias("similar_artists")
+    )
+
+
 def adjacency(artists: DataFrame, similarity: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
     """(artist_id, part, n_similar, similar_artists): comma-joined, sorted neighbours of every artist.
 
@@ -37,37 +55,18 @@ def adjacency(artists: DataFrame, similarity: DataFrame, list_rows: int = LIST_R
     have an empty list.
     """
     edges = similarity.select("target", "similar").filter(F.col("similar").isNotNull())
-    counted = edges.groupBy("target", "similar").agg(F.count(F.lit(1)).alias("_n"))
-    # Copies of one edge are cut into runs of at most list_rows.
-    runs = counted.withColumn("_run", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / list_rows).cast("int"))))
-    runs = runs.withColumn("_n", F.least(F.col("_n") - F.col("_run") * F.lit(list_rows), F.lit(list_rows)))
-    long_lists = (
-        edges.groupBy("target")
-        .agg(F.count(F.lit(1)).alias("_degree"))
-        .filter(F.col("_degree") > list_rows)
-        .select("target", F.ceil(F.col("_degree") / list_rows).alias("_parts"))
-    )
-    # Few artists can have a long list: their number is measured before it is broadcast.
-    long_lists = materialize(long_lists, "long-lists")
-    hint = broadcast_within(long_lists, long_lists.count())
-    slot = F.pmod(key_hash(F.concat_ws("/", F.col("similar"), F.col("_run")), 0), F.col("_parts"))
-    lists = (
-        runs.join(hint, "target", "left")
-        .withColumn("part", F.coalesce(slot, F.lit(0)).cast("int"))
-        .groupBy("target", "part")
-        .agg(
-            F.sum("_n").alias("n_similar"),
-            F.concat_ws(
-                ",",
-                F.flatten(
-                    F.transform(
-                        F.sort_array(F.collect_list(F.struct(F.col("similar"), F.col("_n").cast("int").alias("n")))),
-                        lambda e: F.array_repeat(e["similar"].cast("string"), e["n"]),
-                    )
-                ),
-            ).alias("similar_artists"),
-        )
+    degrees = edges.groupBy("target").agg(F.count(F.lit(1)).alias("_degree")).filter(F.col("_degree") > list_rows)
+    hot = materialize(degrees, "hot-artists")  # its measured size plans the joins below
+    some_hot = not hot.isEmpty()
+    short = edges.join(hot.select("target"), "target", "left_anti") if some_hot else edges
+    # No artist left here has many edges, so rows can be grouped by artist before any list is built.
+    lists = short.repartition("target").groupBy("target").agg(
+        F.lit(0).alias("part"),
+        F.count(F.lit(1)).alias("n_similar"),
+        _joined(F.collect_list(F.col("similar").cast("string"))).alias("similar_artists"),
     )
+    if some_hot:
+        lists = lists.unionByName(_long_lists(edges, hot, list_rows))
     return artists.join(lists, artists["artist_id"] == lists["target"], "left").select(
         "artist_id",
         F.coalesce("part", F.lit(0)).alias("part"),
@@ -134,17 +133,20 @@ def search(
     )
     # The static overwrite also removes the levels of an earlier search in the same folder.
     start.write.option("partitionOverwriteMode", "static").partitionBy("dist").parquet(path, mode="overwrite")
-    targets = pairs.select("source", F.col("target").alias("node")).distinct() if pairs is not None else None
+    waiting = None  # (source, node) still to be reached
+    if pairs is not None:
+        waiting = pairs.select("source", F.col("target").alias("node")).distinct()
 
     depth = 0
     while depth < max_depth:
         visited = levels()
         frontier = visited.filter(F.col("dist") == depth).select("source", "node")
-        if targets is not None:
-            hit = visited.select("source", "node").join(targets, ["source", "node"], "left_semi")
-            waiting = targets.join(hit, ["source", "node"], "left_anti")
-            if waiting.isEmpty():
-                break
+        if waiting is not None:
+            met = waiting.join(frontier, ["source", "node"], "left_semi")
+            if not met.isEmpty():
+                waiting = materialize(waiting.join(frontier, ["source", "node"], "left_anti"), "waiting")
+                if waiting.isEmpty():
+                    break
             frontier = frontier.join(waiting.select("source").distinct(), "source", "left_semi")
         level = Observation()
         fresh = _advance(frontier, edges, visited).observe(level, F.count(F.lit(1)).alias("rows"))

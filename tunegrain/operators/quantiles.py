@@ -44,7 +44,9 @@ def _members(df: DataFrame, cols: Sequence[str], brackets: list[_Bracket]) -> Da
         mine = [(t, b) for t, b in enumerate(brackets) if b.column == i]
         if not mine:
             continue
-        values = df.select(_usable(name).alias("v"))
+        # The outer limits of the brackets are a plain comparison that reaches the file scan.
+        lo, hi = min(b.lo for _, b in mine), max(b.hi for _, b in mine)
+        values = df.filter(F.col(name).between(lo, hi)).select(_usable(name).alias("v"))
         number = position = F.lit(None)
         for t, b in mine:
             inside = F.col("v").between(F.lit(b.lo), F.lit(b.hi))

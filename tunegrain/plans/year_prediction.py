@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tunegrain.functions import arrays, years
 from tunegrain.operators import cleaning, evaluation, features, sampling, training
+from tunegrain.runtime import materialize
 from tunegrain.schema import SEGMENT_PARTS, SIGNATURE_WIDTH, segment_columns
 
 Balance = Callable[[DataFrame], DataFrame]
@@ -70,6 +71,8 @@ def predict_years(
     else:
         train, test = sampling.split(table, key, seed=seed)
         train = balance(train) if balance is not None else train
+    # Trainers walk over their input many times; it is prepared once.
+    train = materialize(train, "train")
     model = training.fit_year_model(train, regressor, "year", lo, hi)
     predictions = model.transform(test, as_float=True)
     whole = predictions.withColumn("predicted_year", years.to_year(F.col("prediction")))
@@ -89,7 +92,7 @@ def predict_decades(
     scaler = features.standard_scaler("features", "scaled")
     train, test = sampling.split(labelled, key, seed=seed)
     scaling = scaler.fit(train)
-    weighted = evaluation.with_class_weights(scaling.transform(train))
+    weighted = materialize(evaluation.with_class_weights(scaling.transform(train)), "train")
     model = training.fit_forest_classifier(weighted, "scaled", **forest_params)
     predictions = model.transform(scaling.transform(test))
     report = Report(

@@ -71,9 +71,12 @@ def compact_small_files(
     raw records into table rows, for example `segments.song_features`.
     """
     raw = _small_files(spark, folder, glob, fmt, schema)
-    files = output_files(spark, [folder], glob, target_bytes)
-    rows = transform(raw) if transform else raw
-    write_songs(rows.coalesce(files), out)
+    if transform:
+        # Features are far smaller than their input: files are sized by what comes out.
+        rows = transform(raw).hint("rebalance")
+    else:
+        rows = raw.coalesce(output_files(spark, [folder], glob, target_bytes))
+    write_songs(rows, out)
     return spark.read.schema(rows.schema).parquet(out)
 
 
