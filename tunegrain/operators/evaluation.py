@@ -28,12 +28,13 @@ def exact_accuracy(df: DataFrame, label: str = "label", prediction: str = "predi
     )
 
 
+def _cells(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    pair = F.col(label).alias("label"), F.col(prediction).alias("prediction")
+    return df.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"))
+
+
 def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    return (
-        df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy("label", "prediction")
-    )
+    return _cells(df, label, prediction).orderBy("label", "prediction")
 
 
 def class_report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -41,7 +42,7 @@ def class_report(df: DataFrame, label: str = "label", prediction: str = "predict
 
     A class that is never predicted has precision 0, one that never occurs has recall 0.
     """
-    cells = confusion_matrix(df, label, prediction)
+    cells = _cells(df, label, prediction)
     n, zero = F.col("n"), F.lit(0).cast("bigint")
     as_label = F.struct(
         F.col("label"), n.alias("support"), zero.alias("predicted"),

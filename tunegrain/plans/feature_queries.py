@@ -180,3 +180,19 @@ def pca_reduction(spark, d):
     names = [f"pc{i + 1}" for i in range(k)]
     spread = features.vector_columns(model.transform(rows), "reduced", names, ["vec_id"])
     return spread.agg(*[F.round(F.var_samp(c), 6).alias(c) for c in names])
+
+
+@query("pca_two_columns", """
+with c as (select abs(corr(l_quantity, l_extendedprice)) as r from lineitem)
+select 1 as component, round((1 + r) / 2, 6) as explained, round((1 + r) / 2, 6) as cumulative, round(1 + r, 6) as variance from c
+union all select 2, round((1 - r) / 2, 6), 1.0, round(1 - r, 6) from c""")
+def pca_two_columns(spark, d):
+    """For two standardised columns the components follow from their correlation."""
+    lines = features.assemble(["l_quantity", "l_extendedprice"], "raw").transform(_lines(spark, d))
+    scaled = features.standard_scaler("raw", "scaled").fit(lines).transform(lines)
+    model = features.pca("scaled", "components", 2).fit(scaled)
+    spread = features.vector_columns(model.transform(scaled), "components", ["1", "2"])
+    variances = cleaning.column_deviations(spread, ["1", "2"]).select(
+        F.col("column").cast("int").alias("component"), (F.col("std") * F.col("std")).alias("variance")
+    )
+    return rounded(features.explained_variance(scaled, model).join(variances, "component"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from tunegrain.functions.hashing import HASH_BITS
+from tunegrain.functions.hashing import HASH_BITS, fraction_cut
 from tunegrain.operators import descent, evaluation, features, ridge, sampling, training
-from tunegrain.plans.registry import hash_sql, query, rounded, table
+from tunegrain.plans import year_prediction
+from tunegrain.plans.registry import ORDER_YEARS_SQL, hash_sql, order_years, query, rounded, table
 
 # --- closed forms ---------------------------------------------------------------------------
 
@@ -97,6 +99,64 @@ def linear_sgd(spark, d):
     return spark.createDataFrame(rows, "w0 double, w1 double")
 
 
+@query("parabola", """
+with r as (select l_quantity as x, l_quantity * l_quantity as z, l_extendedprice as y from lineitem),
+m as (select avg(x) as mx, avg(z) as mz, avg(y) as my, covar_pop(x, x) as a, covar_pop(x, z) as b, covar_pop(z, z) as c,
+  covar_pop(x, y) as p, covar_pop(z, y) as q from r),
+w as (select (c * p - b * q) / (a * c - b * b) as w1, (a * q - b * p) / (a * c - b * b) as w2, mx, mz, my from m),
+e as (select y, y - (my + w1 * (x - mx) + w2 * (z - mz)) as e from r, w)
+select round(sqrt(avg(e * e)), 2) as rmse, round(1 - avg(e * e) / var_pop(y), 5) as r2 from e""")
+def parabola(spark, d):
+    """Robust scaling, squares and least squares over one column."""
+    lines = table(spark, d, "lineitem").select("l_quantity", "l_extendedprice")
+    lines = features.assemble(["l_quantity"], "features").transform(lines)
+    model = training.fit_linear_poly(lines, label_col="l_extendedprice")
+    score = evaluation.regression_metrics(model.transform(lines), "l_extendedprice")
+    return score.select(F.round("rmse", 2).alias("rmse"), F.round("r2", 5).alias("r2"))
+
+
+# --- years from one number, checked end to end ------------------------------------------------
+
+def _priced_years(spark, d):
+    return order_years(spark, d).select(
+        "song_id", "year", features.as_vector(F.array("price")).alias("features")
+    )
+
+
+@query("year_model", f"""
+with w as (select regr_slope(year, price) as a, regr_intercept(year, price) as b from {ORDER_YEARS_SQL})
+select song_id, year, ceil(greatest(1997.9, least(1998.2, a * price + b)))::int as prediction from {ORDER_YEARS_SQL}, w""")
+def year_model(spark, d):
+    """A fitted line, clipped to a narrow range and rounded up to whole years."""
+    songs = _priced_years(spark, d)
+    line = LinearRegression(featuresCol="features", labelCol="label")
+    model = training.fit_year_model(songs, line, "year", 1997.9, 1998.2)
+    return model.transform(songs).select("song_id", "year", "prediction")
+
+
+@query("year_prediction", f"""
+with s as (select *, {hash_sql('song_id')} as h from {ORDER_YEARS_SQL}),
+b as (select *, case when year >= 2001 then 6 else year - 1995 end as bin from s where h < {fraction_cut(0.8)}),
+c as (select bin, count(*) as c from b group by 1),
+r as (select b.*, unnest(range(0, ceil(1500.0 / c.c)::int)) as replica from b join c using (bin)),
+k as (select *, row_number() over (partition by bin order by replica, h, song_id) as rn from r),
+w as (select regr_slope(year, price) as a, regr_intercept(year, price) as b0 from k where rn <= 1500),
+p as (select year, greatest(1995, least(2001, a * price + b0)) as prediction from s, w where h >= {fraction_cut(0.8)})
+select round(sqrt(avg((year - prediction) ** 2)), 4) as rmse, round(avg((year - prediction) ** 2), 4) as mse,
+  round(avg(abs(year - prediction)), 4) as mae, round(1 - avg((year - prediction) ** 2) / var_pop(year), 4) as r2,
+  count_if(year = ceil(prediction))::bigint as exact, count(*) as total, round(avg((year = ceil(prediction))::int), 4) as accuracy from p""")
+def year_prediction_query(spark, d):
+    """Split, balance the training years, fit, clip and score; at sf0.01 some years are repeated, some thinned out."""
+    report = year_prediction.predict_years(
+        _priced_years(spark, d),
+        LinearRegression(featuresCol="features", labelCol="label"),
+        balance=lambda df: sampling.balance_bins(df, "year", "song_id", 1995, 2001, width=1, n=1500),
+        lo=1995, hi=2001,
+    )
+    accuracy = {c: report.accuracy.select(c).scalar().alias(c) for c in report.accuracy.columns}
+    return rounded(report.metrics.select("*", *accuracy.values()), 4)
+
+
 # --- fitted models, scored on held-out rows -------------------------------------------------
 
 

@@ -35,10 +35,10 @@ select song_id, year, {groups}, replica::int as replica from k where rn <= n"""
 
 
 @query("balance_bins", _balance_sql("bin", "3000", f"""
-(select song_id, year, case when year < 1996 then -1 when year >= 2002 then 3 else (year - 1996) // 2 end::int as bin
+(select song_id, year, case when year < 1996 then -1 when year >= 2000 then 2 else (year - 1996) // 2 end::int as bin
  from {ORDER_YEARS_SQL} where year is not null)"""))
 def balance_bins(spark, d):
-    """Three two-year bins and the years before them; at sf0.01 one bin is short and two are over-full."""
+    """Two two-year bins, and the years before and after them; at sf0.01 the years before are too few."""
     songs = order_years(spark, d).select("song_id", "year")
     return sampling.balance_bins(songs, "year", "song_id", lo=1996, hi=2000, width=2, n=3000)
 

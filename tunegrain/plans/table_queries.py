@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tunegrain.operators import graph, timing
 from tunegrain.plans.graph_queries import _EDGES, artists, edges
-from tunegrain.plans.registry import ORDER_YEARS_SQL, order_years, query, table
+from tunegrain.plans import corpus
+from tunegrain.plans.registry import ORDER_YEARS_SQL, order_years, query, rounded, table
 from tunegrain.runtime import new_folder
+from tunegrain.schema import SEGMENTS_SCHEMA
 from tunegrain.sources import graph as graph_sources
 from tunegrain.sources import songs
 
@@ -48,6 +50,32 @@ def compact_small_files(spark, d):
     return compacted.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("compact_corpus", """
+with v as (select vec_id::varchar as song_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as i from embeddings),
+a as (select song_id, avg(v) as m, stddev_pop(v) as s, max(v) as t from v group by 1),
+c as (select song_id, avg(v) filter (where i % 12 = 1) as mean0, var_samp(v) filter (where i % 12 = 0) as cov11 from v where i <= 60 group by 1)
+select song_id, round(m, 6) as bars_confidence_mean, round(s, 6) as bars_confidence_std, round(t, 6) as bars_confidence_max,
+  round(m, 6) as segments_loudness_max_mean, round(s, 6) as segments_loudness_max_std, 90 as width, round(mean0, 6) as first_mean,
+  round(cov11, 6) as last_covariance from a join c using (song_id)""")
+def compact_corpus(spark, d):
+    """Vectors as the raw arrays of songs, in many small files below several folders, to the song table."""
+    folder = new_folder(spark, "corpus")
+    vector = F.col("embedding").cast("array<double>")
+    raw = table(spark, d, "embeddings").select(
+        "label",
+        *[F.col("vec_id").cast("string").alias(c) if c == "song_id" else vector.alias(c) for c in SEGMENTS_SCHEMA.names],
+    )
+    raw.repartition(4).write.partitionBy("label").parquet(f"{folder}/in")
+    made = corpus.compact_corpus(spark, f"{folder}/in", f"{folder}/out")
+    shown = ["song_id", *[f"bars_confidence_{s}" for s in ("mean", "std", "max")],
+             "segments_loudness_max_mean", "segments_loudness_max_std"]
+    timbre = F.col("segments_timbre")
+    return rounded(made.select(
+        *shown, F.size(timbre).alias("width"), F.get(timbre, F.lit(0)).alias("first_mean"),
+        F.get(timbre, F.lit(89)).alias("last_covariance"),
+    ))
+
+
 @query("adjacency_text", f"with {_EDGES} select src as target, count(*) as n, min(dst) as first, max(dst) as last from raw group by 1")
 def adjacency_text(spark, d):
     """Adjacency lists written as text lines and read back as edges."""
