@@ -17,9 +17,15 @@ LIST_ROWS = 100_000
 
 
 def load_graph(artists: DataFrame, similarity: DataFrame) -> DataFrame:
-    """(artist_id, similar): edges by artist, with one null row for an artist without any."""
-    edges = similarity.select("target", "similar")
-    return artists.join(edges, artists["artist_id"] == edges["target"], "left").select("artist_id", "similar")
+    """(artist_id, similar): edges by artist, with one null row for an artist without any.
+
+    The left join is put together from an inner and an anti join: adaptive execution can split
+    an artist with very many edges in an inner join, but not on the optional side of a left join.
+    """
+    edges = similarity.select(F.col("target").alias("artist_id"), "similar")
+    connected = artists.select("artist_id").join(edges, "artist_id")
+    isolated = artists.select("artist_id").join(edges.select("artist_id").distinct(), "artist_id", "left_anti")
+    return connected.unionByName(isolated.withColumn("similar", F.lit(None).cast(edges.schema["similar"].dataType)))
 
 
 def init_nodes(artists: DataFrame, source: Any) -> DataFrame:
@@ -142,9 +148,9 @@ def search(
         visited = levels()
         frontier = visited.filter(F.col("dist") == depth).select("source", "node")
         if waiting is not None:
-            met = waiting.join(frontier, ["source", "node"], "left_semi")
+            met = frontier.join(waiting, ["source", "node"], "left_semi")
             if not met.isEmpty():
-                waiting = materialize(waiting.join(frontier, ["source", "node"], "left_anti"), "waiting")
+                waiting = materialize(waiting.join(met, ["source", "node"], "left_anti"), "waiting")
                 if waiting.isEmpty():
                     break
             frontier = frontier.join(waiting.select("source").distinct(), "source", "left_semi")
