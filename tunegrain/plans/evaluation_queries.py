@@ -25,10 +25,12 @@ _CLASSIFIED = "(select quality as label, toxic as prediction from labels)"
 
 
 @query("regression_metrics", f"""
-select round(sqrt(avg(e * e)), 4) as rmse, round(avg(e * e), 4) as mse, round(avg(abs(e)), 4) as mae,
+select round(sqrt(avg(e * e)), 3) as rmse, round(avg(e * e), 0) as mse, round(avg(abs(e)), 3) as mae,
   round(1 - avg(e * e) / var_pop(label), 4) as r2 from (select label, label - prediction as e from {_PREDICTED})""")
 def regression_metrics(spark, d):
-    return rounded(evaluation.regression_metrics(_regression(spark, d)), 4)
+    score = evaluation.regression_metrics(_regression(spark, d))
+    digits = {"rmse": 3, "mse": 0, "mae": 3, "r2": 4}
+    return score.select(*[F.round(c, n).alias(c) for c, n in digits.items()])
 
 
 @query("exact_accuracy", f"""

@@ -89,14 +89,14 @@ def drop_incomplete(spark, d):
 
 
 @query("numeric_columns", """
-select round(sum(l_linenumber::double), 2) as l_linenumber, round(sum(l_quantity), 2) as l_quantity,
-  round(sum(l_extendedprice), 2) as l_extendedprice, round(sum(l_discount), 2) as l_discount,
-  round(sum(l_tax), 2) as l_tax from lineitem""")
+select round(sum(l_linenumber::double), 0) as l_linenumber, round(sum(l_quantity), 0) as l_quantity,
+  round(sum(l_extendedprice), 0) as l_extendedprice, round(sum(l_discount), 0) as l_discount,
+  round(sum(l_tax), 0) as l_tax from lineitem""")
 def numeric_columns(spark, d):
     """Numeric columns without the key columns, found from the schema."""
     lines = table(spark, d, "lineitem")
     kept = cleaning.exclude_tokens(cleaning.numeric_columns(lines), tokens=("key",))
-    return lines.agg(*[F.round(F.sum(F.col(c).cast("double")), 2).alias(c) for c in kept])
+    return lines.agg(*[F.round(F.sum(F.col(c).cast("double")), 0).alias(c) for c in kept])
 
 
 @query("column_deviations", " union all ".join(
@@ -130,9 +130,9 @@ def scale_label(spark, d):
 
 @query("zscore_label", f"""
 with s as (select avg(price) as m, stddev_samp(price) as sd from {ORDER_YEARS_SQL})
-select song_id, round((price - m) / sd, 6) as price from {ORDER_YEARS_SQL}, s""")
+select song_id, round((price - m) / sd, 4) as price from {ORDER_YEARS_SQL}, s""")
 def zscore_label(spark, d):
-    return rounded(features.scale_label(order_years(spark, d).select("song_id", "price"), "price")[0])
+    return rounded(features.scale_label(order_years(spark, d).select("song_id", "price"), "price")[0], 4)
 
 
 @query("clip_to_year", f"""

@@ -21,12 +21,12 @@ def _lines(spark, d):
 def _scaled(spark, d, scaler):
     lines = _lines(spark, d)
     model = features.chain(features.assemble(_COLS, "raw"), scaler).fit(lines)
-    return rounded(features.vector_columns(model.transform(lines), "scaled", _COLS, _KEYS))
+    return rounded(features.vector_columns(model.transform(lines), "scaled", _COLS, _KEYS), 4)
 
 
 def _scale_sql(stats: str, expr: str) -> str:
     found = ", ".join(stats.format(c=c) for c in _COLS)
-    shown = ", ".join(f"round({expr.format(c=c)}, 6) as {c}" for c in _COLS)
+    shown = ", ".join(f"round({expr.format(c=c)}, 4) as {c}" for c in _COLS)
     return f"with s as (select {found} from lineitem) select l_orderkey, l_linenumber, {shown} from lineitem, s"
 
 
@@ -49,7 +49,7 @@ def minmax_scale(spark, d):
     "quantile_cont({c}, 0.5) as m_{c}, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) as r_{c}",
     "({c} - m_{c}) / r_{c}"))
 def robust_scale(spark, d):
-    return rounded(features.robust_scaled(_lines(spark, d), _COLS))
+    return rounded(features.robust_scaled(_lines(spark, d), _COLS), 4)
 
 
 @query("robust_sketch")

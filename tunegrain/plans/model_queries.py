@@ -65,11 +65,11 @@ def ridge_per_row(spark, d):
 with m as (select avg(l_quantity) as mx, avg(l_extendedprice) as my, count(*) as n from lineitem),
 s as (select sum((l_quantity - mx) ** 2) + 0.01 * any_value(n) as g, sum((l_quantity - mx) * (l_extendedprice - my)) as p from lineitem, m),
 r as (select l_extendedprice - my - (l_quantity - mx) * p / g as e, (l_quantity - mx) ** 2 / g as h from lineitem, m, s)
-select round(avg((e / (1 - h)) ** 2), 2) as loocv_mse, round(avg(e ** 2), 2) as training_mse from r""")
+select round(avg((e / (1 - h)) ** 2), 0) as loocv_mse, round(avg(e ** 2), 0) as training_mse from r""")
 def ridge_loocv(spark, d):
     lines = table(spark, d, "lineitem").select(F.array("l_quantity").alias("x"), "l_extendedprice")
     model = ridge.fit_ridge(lines, "x", "l_extendedprice", 0.01)
-    return rounded(ridge.leave_one_out(lines, model), 2)
+    return rounded(ridge.leave_one_out(lines, model), 0)
 
 
 _SGD_BATCHES, _SGD_STEPS = 4, 12
