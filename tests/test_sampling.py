@@ -54,9 +54,8 @@ def test_era_quota_and_balance(years):
 
 
 def test_stratified_split(years):
-    labelled = years.filter(F.col("year").isNotNull())
-    rows = sampling.stratified_split(labelled, "year", "id", 0.8).collect()
-    assert len(rows) == labelled.count()
+    rows = sampling.stratified_split(years, "year", "id", 0.8).collect()
+    assert len(rows) == years.count() and None in {r.year for r in rows}
     for year, n in Counter(r.year for r in rows).items():
         assert sum(r.is_train for r in rows if r.year == year) == int(n * 0.8 + 0.5)
 

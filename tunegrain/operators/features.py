@@ -149,6 +149,7 @@ def class_index(df: DataFrame, col: str, max_classes: int = MAX_CLASSES) -> Data
 
 
 def with_class_index(df: DataFrame, col: str, max_classes: int = MAX_CLASSES) -> DataFrame:
+    """Adds `label`; rows without a class are left out. The number of classes was checked, so they are broadcast."""
     return df.join(broadcast_within(class_index(df, col, max_classes), max_classes), col)
 
 

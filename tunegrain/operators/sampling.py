@@ -9,6 +9,8 @@ whole, so a bin or class with a third of all rows is selected from like any othe
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +37,13 @@ def sample(df: DataFrame, fraction: float, replace: bool = False, seed: int = 42
     return df.sample(withReplacement=replace, fraction=fraction, seed=seed)
 
 
+def _join_groups(df: DataFrame, per_group: DataFrame, groups: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a one-row-per-group table on its group columns; a null group is a group like any other."""
+    names = {g: f"_of_{g}" for g in groups}
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(name)) for g, name in names.items()])
+    return df.join(per_group.withColumnsRenamed(names), same, how).drop(*names.values())
+
+
 def hash_cut(hashed: DataFrame, groups: Sequence[str], key: str, rank: Column) -> DataFrame:
     """(groups, _rows, _cut_h, _cut_key): where the first `rank` rows of a group end in (hash, key) order.
 
@@ -60,12 +69,12 @@ def hash_cut(hashed: DataFrame, groups: Sequence[str], key: str, rank: Column) -
         F.max(F.when(holds, F.col("_rank") - F.col("_upto") + F.col("_n"))).alias("_within"),
     )
     profile = materialize(profile, "profile")
-    edge = tagged.join(profile, groups).filter(F.col("_b") == F.col("_cut_b"))
+    edge = _join_groups(tagged, profile, groups).filter(F.col("_b") == F.col("_cut_b"))
     ordered = edge.withColumn("_rn", F.row_number().over(by_group.orderBy("_h", "_k")))
     cuts = ordered.filter(F.col("_rn") == F.col("_within")).select(
         *groups, F.col("_h").alias("_cut_h"), F.col("_k").alias("_cut_key")
     )
-    return materialize(profile.select(*groups, "_rows").join(cuts, groups, "left"), "cuts")
+    return materialize(_join_groups(profile.select(*groups, "_rows"), cuts, groups, "left"), "cuts")
 
 
 def _before_cut(key: str) -> Column:
@@ -81,7 +90,7 @@ def stratified_split(
     hashed = df.withColumn("_h", key_hash(key, seed))
     rank = F.round(F.col("_rows") * F.lit(fraction)).cast("bigint")
     cuts = hash_cut(hashed, [label], key, rank)
-    joined = hashed.join(cuts, label)
+    joined = _join_groups(hashed, cuts, [label])
     return joined.withColumn("is_train", _before_cut(key)).select(*df.columns, "is_train")
 
 
@@ -89,7 +98,7 @@ def _balance(binned: DataFrame, groups: Sequence[str], quota: Column, key: str,
     """Exactly `quota` rows per group: every row quota // size times, the first quota % size once more."""
     hashed = binned.withColumn("_h", key_hash(key, seed))
     cuts = hash_cut(hashed, groups, key, quota % F.col("_rows"))
-    joined = hashed.join(cuts, list(groups))
+    joined = _join_groups(hashed, cuts, groups)
     copies = F.floor(quota / F.col("_rows")).cast("int") + _before_cut(key).cast("int")
     kept = joined.withColumn("_copies", copies).filter(F.col("_copies") > 0)
     return kept.select(*binned.columns, F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("replica"))
