@@ -92,14 +92,16 @@ class TextEncoder:
         return ids, lengths
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Batches cut into slices of bounded text size, with the texts as Python strings."""
+def text_slices(
+    batches: Iterable[pa.RecordBatch], column: str = "text", size: int = SLICE_CHARS
+) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Batches cut into slices of about `size` bytes of text, with the texts as Python strings."""
     for batch in batches:
         texts = batch.column(column)
         if not batch.num_rows:
             continue
         sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)).astype(np.int64)
-        cut = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_CHARS)) + 1
+        cut = np.flatnonzero(np.diff(np.cumsum(sizes) // size)) + 1
         for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
             part = batch.slice(a, b - a)
             yield part, part.column(column).to_pylist()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tunegrain.llm import grammar, packing
+from tunegrain.llm import fingerprints, grammar, packing
 from tunegrain.plans.registry import Query, Run, table
 
 LLM_QUERIES: dict[str, Query] = {}
@@ -18,6 +18,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_fingerprints")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, folder, "documents"))
+
+
 @query("op2_packing")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
