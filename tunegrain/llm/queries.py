@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tunegrain.llm import fingerprints, grammar, packing
+from tunegrain.llm import fingerprints, grammar, near_duplicates, packing
 from tunegrain.plans.registry import Query, Run, table
 
 LLM_QUERIES: dict[str, Query] = {}
@@ -31,3 +31,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_token_ids")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return grammar.encode_documents(table(spark, folder, "documents"))
+
+
+@query("op10_near_duplicates")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, folder, "documents"))
