@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tunegrain.llm import fingerprints, grammar, near_duplicates, packing
+from tunegrain.llm import fingerprints, grammar, language, near_duplicates, packing, toxicity
 from tunegrain.plans.registry import Query, Run, table
 
 LLM_QUERIES: dict[str, Query] = {}
@@ -28,11 +29,29 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+@query("op5_toxicity")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.train(docs, table(spark, folder, "labels"))
+    return toxicity.score_documents(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted",
+        F.size("passages").alias("n_passages"),
+    )
+
+
 @query("op6_token_ids")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return grammar.encode_documents(table(spark, folder, "documents"))
 
 
+@query("op9_language")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language.identify(docs, language.train(docs)).select(
+        "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
 @query("op10_near_duplicates")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, folder, "documents"))
