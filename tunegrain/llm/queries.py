@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunegrain.llm import fingerprints, grammar, language, near_duplicates, packing, toxicity
+from tunegrain.llm import (
+    decontamination, fingerprints, grammar, language, near_duplicates, packing, toxicity,
+)
 from tunegrain.plans.registry import Query, Run, table
 
 LLM_QUERIES: dict[str, Query] = {}
@@ -44,6 +46,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return grammar.encode_documents(table(spark, folder, "documents"))
 
 
+@query("op7_decontamination", decontamination.CONTAMINATION_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op9_language")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
