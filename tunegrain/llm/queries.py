@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunegrain.llm import (
-    decontamination, fingerprints, grammar, language, near_duplicates, packing, toxicity,
+    decontamination, fingerprints, grammar, language, near_duplicates, packing, secrets, toxicity,
 )
 from tunegrain.plans.registry import Query, Run, table
 
@@ -31,6 +31,12 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+@query("op4_secrets")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return secrets.scan_secrets(docs, secrets.train(docs))
+
+
 @query("op5_toxicity")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
