@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunegrain.llm import (
-    decontamination, fingerprints, grammar, language, near_duplicates, packing, secrets, toxicity,
+    decontamination, fingerprints, grammar, language, near_duplicates, packing, repeats, secrets, toxicity,
 )
 from tunegrain.plans.registry import Query, Run, table
 
@@ -31,6 +31,13 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+@query("op3_repeats")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query("op4_secrets")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
