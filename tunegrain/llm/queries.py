@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunegrain.llm import (
-    decontamination, fingerprints, grammar, language, near_duplicates, packing, repeats, secrets, toxicity,
+    decontamination, fingerprints, grammar, language, near_duplicates, packing, repeats, secrets, toxicity, warc,
 )
 from tunegrain.plans.registry import Query, Run, table
 
@@ -64,6 +64,11 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op8_warc", warc.DERIVED_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, folder, "pages"))).drop("header", "block")
+
+
 @query("op9_language")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
