@@ -19,55 +19,54 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tunegrain.llm.encode import TextEncoder, default_tokenizer, text_slices
-from tunegrain.runtime import new_folder
+from tunegrain.runtime import broadcast_within, new_folder
 
 MAGIC = b"TGRP0001"
 FIRST_RULE = 1 << 16
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 19
 # Pairs that occur less often than this are left alone.
 LEAST_COUNT = 24
-ROUNDS = 4
+# and a pair becomes a rule from so many replacements on.
+LEAST_USES = 4
+ROUNDS = 3
 
 
 def re_pair(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_COUNT):
     """Symbols and rules (left, right) that expand to `ids`.
 
-    A round counts all adjacent pairs and makes every pair of at least `least` occurrences a
-    rule; where occurrences overlap, the more frequent pair wins, and the left one on ties.
+    A round counts all adjacent pairs by a hash and makes the pairs of frequent slots rules; where
+    occurrences overlap, the one of the more frequent slot wins, and the left one on ties.
     """
     symbols = ids.astype(np.uint32)
     left, right = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
     rules = 0
+    bits = min(20, max(8, len(symbols).bit_length()))
     for _ in range(rounds):
         if len(symbols) < 2 * least:
             break
-        pairs = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        ordered = np.sort(pairs)
-        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        counts = np.diff(np.append(edge, len(ordered)))
-        enough = counts >= least
-        if not enough.any():
-            break
-        found, counts = ordered[edge][enough], counts[enough]
-        where = np.searchsorted(found, pairs)
-        where[where == len(found)] = 0
-        hit = found[where] == pairs
-        rank = np.where(hit, counts[where], 0)
-        # the winner among overlapping occurrences: above the left neighbour's count, not below the right one's
-        before, after = np.concatenate([[0], rank[:-1]]), np.concatenate([rank[1:], [0]])
-        wins = hit & (rank > before) & (rank >= after)
-        start = np.flatnonzero(hit & (rank == before) & (rank >= after) & (pairs == np.concatenate([[pairs[0] + np.uint64(1)], pairs[:-1]])))
-        if len(start):  # runs of one symbol: every second occurrence
-            run = np.cumsum(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
-            first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-            wins[start[(start - first[run[start] - 1]) % 2 == 0]] = True
-            wins[1:] &= ~wins[:-1]
+        a, b = symbols[:-1], symbols[1:]
+        slot = (((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - bits)).astype(np.int64)
+        count = np.bincount(slot, minlength=1 << bits).astype(np.int32)[slot]
+        wins = count >= least
+        wins[:-1] &= count[:-1] >= count[1:]
+        wins[1:] &= (count[1:] > count[:-1]) | (slot[1:] == slot[:-1])
+        # in a run of one slot every second occurrence
+        place = np.arange(len(slot))
+        first = np.ones(len(slot), bool)
+        first[1:] = slot[1:] != slot[:-1]
+        wins &= (place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0
         at = np.flatnonzero(wins)
-        used, rule = np.unique(where[at], return_inverse=True)
-        left.append((found[used] >> np.uint64(32)).astype(np.uint32))
-        right.append((found[used] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        pairs = (a[at].astype(np.uint64) << np.uint64(32)) | b[at]
+        found, rule, often = np.unique(pairs, return_inverse=True, return_counts=True)
+        good = often >= LEAST_USES
+        if not good.any():
+            break
+        at, rule = at[good[rule]], (np.cumsum(good) - 1)[rule[good[rule]]]
+        found = found[good]
+        left.append((found >> np.uint64(32)).astype(np.uint32))
+        right.append((found & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         symbols[at] = (FIRST_RULE + rules + rule).astype(np.uint32)
-        rules += len(used)
+        rules += len(found)
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols = symbols[keep]
@@ -88,16 +87,23 @@ def expansion_lengths(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The ids below `symbols`, all rules of a level at once."""
-    while len(symbols) and (rule := symbols >= FIRST_RULE).any():
-        at = symbols[rule].astype(np.int64) - FIRST_RULE
-        place = np.arange(len(symbols)) + np.cumsum(rule) - rule
-        out = np.empty(len(symbols) + len(at), np.uint32)
-        out[place] = symbols
+    """The ids below `symbols`: rules are written out once, then every symbol is looked up."""
+    rules = np.arange(FIRST_RULE, FIRST_RULE + len(left), dtype=np.uint32)
+    below = rules
+    while len(below) and (rule := below >= FIRST_RULE).any():
+        at = below[rule].astype(np.int64) - FIRST_RULE
+        place = np.arange(len(below)) + np.cumsum(rule) - rule
+        out = np.empty(len(below) + len(at), np.uint32)
+        out[place] = below
         out[place[rule]] = left[at]
         out[place[rule] + 1] = right[at]
-        symbols = out
-    return symbols
+        below = out
+    sizes = np.concatenate([np.ones(FIRST_RULE, np.int64), expansion_lengths(left, right)])
+    flat = np.concatenate([np.arange(FIRST_RULE, dtype=np.uint32), below])
+    starts = np.cumsum(sizes) - sizes
+    width = sizes[symbols]
+    shift = np.repeat(starts[symbols] - (np.cumsum(width) - width), width)
+    return flat[shift + np.arange(len(shift))]
 
 
 def write_block(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -212,7 +218,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return blocks.join(offsets, "part").select("offset", "start", "data").mapInArrow(
+    # one row per partition that wrote blocks
+    return blocks.join(broadcast_within(offsets, sums.count()), "part").select("offset", "start", "data").mapInArrow(
         decode, "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
 
