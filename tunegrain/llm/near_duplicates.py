@@ -4,9 +4,10 @@ Texts with equal shingle sets form one class; only classes are compared. A class
 smallest shingle hashes. Inverted lists of kept values, rarest first, find pairs: two
 sets of similarity 0.75 share so many kept values (at least LEAST_SHARE of them, but for odds
 below one in a million) that one of the few rarest is common, so a passage that is found in very many
-texts is not listed unless it makes up about half a text. Each list is compared with its first
-member; only classes that are still in different components are then compared among each other.
-The union sketch filters pairs, the full sets decide.
+texts is not listed unless it makes up about half a text. Each list is compared with its head, the
+member with the fewest values of its own; the union sketch filters pairs, the full sets decide.
+Lists that still hold several components are then built again from full sets, where no odds are
+left, compared with their heads, and at last among the classes of different components.
 """
 
 from __future__ import annotations
@@ -14,16 +15,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunegrain.llm.components import components
 from tunegrain.llm.encode import text_slices
 from tunegrain.llm.shingles import Shingler
-from tunegrain.runtime import materialize
+from tunegrain.runtime import broadcast_within, materialize
 
 SKETCH = 64
 LEAST_SHARE = 0.47  # 30 of 64 values; 48 are expected at a similarity of 0.75
+BITS = [f"w{i}" for i in range(16)]  # words of a set's bitmap
 EXACT_BELOW = 48  # such sets and all their partners are kept whole, so the share is exact
 
 
@@ -51,9 +53,19 @@ def _signatures(docs: DataFrame) -> DataFrame:
     )
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """`node` and `set` of the classes in `wanted` (node, first, k1, k2), read again from one text of each."""
-    texts = docs.select(F.col("doc_id").alias("first"), "text").join(wanted, "first")
+def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of 64-bit words per set; each value sets one bit."""
+    bits = np.zeros((len(sets), 64 * len(BITS)), np.uint8)
+    for row, values in zip(bits, sets):
+        row[(values % np.uint64(len(row))).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def _full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`node` and `set` of the classes in `nodes`, read again from one text of each."""
+    wanted = materialize(nodes.distinct().join(classes.select("node", "first", "k1", "k2"), "node"), "wanted")
+    wanted = broadcast_within(wanted, wanted.count())
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("first")))
 
     def work(batches):
         shingler = Shingler()
@@ -62,15 +74,24 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             k1, k2 = part.column("k1").to_pylist(), part.column("k2").to_pylist()
             own = [i for i, s in enumerate(sets) if _key(s) == (k1[i], k2[i])]  # a doc_id may have other texts, too
             yield pa.RecordBatch.from_arrays(
-                [part.column("node").take(pa.array(own, pa.int64())), pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64()))],
-                names=["node", "set"],
+                [
+                    part.column("node").take(pa.array(own, pa.int64())), pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64())),
+                    *(pa.array(column) for column in _bitmaps([sets[i] for i in own]).T),
+                ], names=["node", "set", *BITS],
             )
 
-    return texts.select("node", "k1", "k2", "text").mapInArrow(work, "node long, set array<bigint>").dropDuplicates(["node"])
+    schema = "node long, set array<bigint>, " + ", ".join(f"{c} long" for c in BITS)
+    sets = texts.select("node", "k1", "k2", "text").mapInArrow(work, schema)
+    return materialize(sets.dropDuplicates(["node"]), "sets")
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of `pairs` (a, b) whose full sets have the similarity."""
+def _unsigned(value):
+    """Order of the hashes as unsigned numbers, on signed ones."""
+    return value.bitwiseXOR(F.lit(-(2**63)))
+
+
+def _alike_sketches(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of `pairs` (a, b) whose sizes and union sketches allow the similarity."""
     sketches = classes.select("node", "sketch", "n")
     near = (
         pairs.join(sketches.toDF("b", "sb", "nb"), "b").join(sketches.toDF("a", "sa", "na"), "a")
@@ -78,20 +99,47 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
     )
     lowest = F.slice(F.array_sort(F.transform(F.array_union("sa", "sb"), _unsigned)), 1, SKETCH)
     both = F.size(F.array_intersect(F.transform(F.array_intersect("sa", "sb"), _unsigned), lowest))
-    near = materialize(near.filter(both >= LEAST_SHARE * F.size(lowest)).select("a", "b"), "pairs")
-    nodes = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    wanted = nodes.join(classes.select("node", "first", "k1", "k2"), "node")
-    sets = materialize(_full_sets(docs, wanted), "sets")
+    return materialize(near.filter(both >= LEAST_SHARE * F.size(lowest)).select("a", "b"), "pairs")
+
+
+def _alike_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of `pairs` (a, b) whose full sets have the similarity."""
     common = F.size(F.array_intersect("x", "y"))
+    return materialize(
+        pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+        .join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+        .filter(common * 100 >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "links",
+    )
+
+
+def _prefixes(values: DataFrame, least: Column) -> DataFrame:
+    """The rarest values of each node that any partner must share one of: value, node, n, single, rank.
+
+    `values` has value, node, n (set size) and s (values kept). Values of a single node count
+    as its rarest (`single` of them) but make no list; `least` is the number that partners share.
+    """
+    often = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+    window = Window.partitionBy("node")
     return (
-        near.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
-        .filter(common * 100 >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+        values.join(often, "value").withColumn("single", F.col("s") - F.count("*").over(window))
+        .withColumn("rank", F.row_number().over(window.orderBy("df", "value")))
+        .filter(F.col("rank") + F.col("single") <= F.col("s") - least + 1)
+        .select("value", "node", "n", "single", "rank")
     )
 
 
-def _unsigned(value):
-    """Order of the hashes as unsigned numbers, on signed ones."""
-    return value.bitwiseXOR(F.lit(-(2**63)))
+def _heads(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each list's head, the member with the fewest values of its own, with the others."""
+    head = lists.groupBy("value").agg(F.min(F.struct("single", "node"))["node"].alias("a"))
+    return lists.join(head, "value").filter("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+
+
+def _labelled(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components so far, and the lists that still hold several of them."""
+    found = components(links)
+    known = lists.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = known.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("value")
+    return found, materialize(known.join(split, "value"), "lists")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -109,31 +157,37 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     )
     classes = materialize(members, "classes")
 
-    values = classes.select("node", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
-    lists = values.groupBy("value").agg(F.count("*").alias("df"), F.min("node").alias("head")).filter("df > 1")
-    shared = values.join(lists, "value")
+    kept = F.size("sketch")
     least = F.when(F.col("n") <= EXACT_BELOW, F.ceil(F.col("s") * percent / 100)).otherwise(F.ceil(F.col("s") * LEAST_SHARE))
-    window = Window.partitionBy("node")
-    prefix = (
-        shared.withColumn("single", F.col("s") - F.count("*").over(window))
-        .withColumn("rank", F.row_number().over(window.orderBy("df", "value")))
-        .filter(F.col("rank") + F.col("single") <= F.col("s") - least + 1)
-        .select("value", "node", "n", "head")
+    values = classes.select("node", "n", kept.alias("s"), F.explode("sketch").alias("value"))
+    lists = materialize(_prefixes(values, least), "prefixes")
+    near = _alike_sketches(_heads(lists), classes, percent)
+    sets = _full_sets(docs, classes, near.select(F.col("a").alias("node")).union(near.select("b")))
+    links = _alike_sets(near, sets, percent)
+    _, left = _labelled(lists, links)
+
+    # What is not connected through a head is compared again by whole sets: only members of lists with
+    # several components can still gain a link, so counts among them suffice.
+    sets = _full_sets(docs, classes, left.select("node"))
+    values = sets.select("node", F.size("set").alias("n"), F.size("set").alias("s"), F.explode("set").alias("value"))
+    lists = materialize(_prefixes(values, F.ceil(F.col("n") * percent / 100)), "prefixes")
+    links = materialize(links.union(_alike_sets(_heads(lists), sets, percent)), "links")
+    found, left = _labelled(lists, links)
+    first = left.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("prefix"))
+    left = left.join(first, "node").join(sets.drop("set"), "node").select(
+        "value", "node", "n", "component", "prefix", (F.col("n") - F.col("single")).alias("most"), *BITS
     )
-    prefix = materialize(prefix, "prefixes")
-
-    first = prefix.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialize(_linked(first, classes, docs, percent), "links")
-    found = components(links)
-
-    known = prefix.select("value", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = known.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("value")
-    left = materialize(known.join(split, "value"), "lists")
     other = left.toDF(*[f"{c}_b" if c != "value" else c for c in left.columns])
+    # Both sets less their own values bound what is common, and so do the bits that differ, since each
+    # comes from a value of one side only. A pair is taken from its first common list.
+    differ = " + ".join(f"bit_count({c} ^ {c}_b)" for c in BITS)
     rest = left.join(other, "value").filter(
-        "node < node_b and component <> component_b and 100 * n >= %d * n_b and 100 * n_b >= %d * n" % (percent, percent)
-    ).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = _linked(materialize(rest, "pairs"), classes, docs, percent)
+        "node < node_b and component <> component_b "
+        f"and least(most, most_b) * (100 + {percent}) >= {percent} * (n + n_b) "
+        f"and (n + n_b - ({differ})) * (100 + {percent}) >= 2 * {percent} * (n + n_b) "
+        "and get(array_intersect(prefix, prefix_b), 0) = value"
+    ).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+    more = _alike_sets(materialize(rest, "pairs"), sets, percent)
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
     label = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -145,3 +199,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
     )
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of `docs`, with all columns, that stand for their group; equal rows become one.
+
+    Rows without a doc_id stay.
+    """
+    found = materialize(near_duplicates(docs, percent).select("doc_id", "kept"), "kept")
+    gone = found.filter("not kept").select("doc_id").dropna().distinct()
+    left = docs.join(broadcast_within(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    # only repeated ids need a shuffle of texts
+    repeated = not found.filter("kept").groupBy("doc_id").count().filter("count > 1").isEmpty()
+    return left.dropDuplicates(["doc_id", "text"]) if repeated else left
