@@ -62,7 +62,7 @@ def _windows(items: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
 def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Where item windows occur.
 
-    Returns rows (row, doc_id, n_words) for every row of `docs`, occurrences (row, wid,
+    Returns rows (row, doc_id, text_hash, n_words) for every row of `docs`, occurrences (row, wid,
     start, length) in words, and holders (wid, item_id). Null texts and items have no words.
     """
     parts, holders = _windows(items, window)
@@ -70,7 +70,9 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tup
     wanted = parts.select("size", "shingle").distinct()
     bound = parts.count()
     sizes = [r["size"] for r in parts.select("size").distinct().collect()]
-    texts = docs.select("doc_id", words_of("text").alias("w")).withColumn("row", F.monotonically_increasing_id())
+    texts = docs.select(
+        "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), words_of("text").alias("w")
+    ).withColumn("row", F.monotonically_increasing_id())
     # the entry without a shingle keeps every row in the one pass over the texts
     entries = F.concat(
         F.array(F.struct(F.lit(0).alias("size"), F.lit(-1).alias("pos"), F.lit("").alias("shingle"))),
@@ -78,11 +80,11 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tup
             F.transform(_shingles("w", size), _entry(size)) for size in sorted(sizes)
         ],
     )
-    spread = texts.select("row", "doc_id", F.size("w").alias("n_words"), F.inline(entries))
+    spread = texts.select("row", "doc_id", "text_hash", F.size("w").alias("n_words"), F.inline(entries))
     mark = docs.sparkSession.range(1).select(F.lit(0).alias("size"), F.lit("").alias("shingle"))
     keys = broadcast_within(wanted.unionByName(mark), bound + 1)
     found = materialize(spread.join(keys, ["size", "shingle"]), "shingles")
-    rows = found.filter("size = 0").select("row", "doc_id", "n_words")
+    rows = found.filter("size = 0").select("row", "doc_id", "text_hash", "n_words")
     hits = found.filter("size > 0")
 
     rarity = hits.groupBy("size", "shingle").agg(F.count("*").alias("often"))
@@ -106,7 +108,7 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tup
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of `docs`.
+    """doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated of every row of `docs`.
 
     A word inside any occurrence is hit; a document is contaminated from one word in twenty on. Repeated
     rows and doc_ids are judged row by row; an item_id that is null is not listed.
@@ -126,13 +128,21 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     out = rows.join(covered, "row", "left").join(named, "row", "left")
     hit = F.coalesce("n_hit", F.lit(0))
     return out.select(
-        "doc_id", F.col("n_words").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"),
+        "doc_id", "text_hash", F.col("n_words").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"),
         ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of `docs`, with all columns, that are not contaminated."""
+    bad = contamination(docs, items, window).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    bad = materialize(bad.distinct(), "contaminated")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
+    return docs.join(broadcast_within(bad, bad.count()), same, "left_anti")
+
+
 CONTAMINATION_SQL = r"""
 with item as (
   select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w

@@ -61,7 +61,7 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_decontamination", decontamination.CONTAMINATION_SQL)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
-    return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
 
 
 @query("op8_warc", warc.DERIVED_SQL)

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunegrain.runtime import materialize
+from tunegrain.runtime import broadcast_within, materialize
 
 # The patterns of the base kinds, and the least lengths of what they find.
 ASSIGN = (
@@ -166,6 +166,8 @@ def redact(docs: DataFrame, weights: list[int], mark: str = "[secret]") -> DataF
     )
     # equal texts have equal spans
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans").dropDuplicates(["_id", "_hash"])
+    spans = materialize(spans, "spans")
+    spans = broadcast_within(spans, spans.count())
     joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash")), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 

@@ -253,6 +253,34 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
     return ToxicityModel(weights, decay, scale, slope, intercept)
 
 
+class Scorer:
+    """Scores texts in a task; word scores are remembered between slices."""
+
+    def __init__(self, model: ToxicityModel):
+        self._model, self._scores = model, WordScores(model.weights)
+
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[dict]]]:
+        """Probability and significant passages of each text."""
+        best, count, passages = np.zeros(len(texts)), np.zeros(len(texts)), []
+        for i, text in enumerate(texts):
+            found = []
+            # lower-casing keeps word order; offsets are taken from the text itself
+            words = np.fromiter(map(self._scores.__getitem__, WORD.findall((text or "").lower())), float)
+            count[i] = len(words)
+            if len(words) and words.max() > 0:
+                segments = maximal_segments(words)
+                best[i] = max(s[2] for s in segments)
+                places = [m.span() for m in WORD.finditer(text)]
+                for first, end, score in segments:
+                    expected = math.exp(-self._model.surprise(score, len(words)))
+                    if expected < SIGNIFICANT and len(places) == len(words):
+                        found.append({"start": places[first][0], "end": places[end - 1][1], "expected": expected})
+            passages.append(found)
+        if len(self._scores) > KNOWN_WORDS:
+            self._scores.clear()
+        return self._model.probability(self._model.surprise(best, count)), passages
+
+
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, score, predicted and passages (start, end in code points, expected number) of every row.
 
@@ -260,29 +288,12 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     times. Null and empty texts count as texts without words. Other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    passage = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("expected", pa.float64())]))
 
     def work(batches):
-        scores = WordScores(model.weights)
-        passage = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("expected", pa.float64())]))
+        scorer = Scorer(model)
         for part, texts in text_slices(batches):
-            best, count, passages = np.zeros(len(texts)), np.zeros(len(texts)), []
-            for i, text in enumerate(texts):
-                found = []
-                # lower-casing keeps word order; offsets are taken from the text itself
-                words = np.fromiter(map(scores.__getitem__, WORD.findall((text or "").lower())), float)
-                count[i] = len(words)
-                if len(words) and words.max() > 0:
-                    segments = maximal_segments(words)
-                    best[i] = max(s[2] for s in segments)
-                    places = [m.span() for m in WORD.finditer(text)]
-                    for first, end, score in segments:
-                        expected = math.exp(-model.surprise(score, len(words)))
-                        if expected < SIGNIFICANT and len(places) == len(words):
-                            found.append({"start": places[first][0], "end": places[end - 1][1], "expected": expected})
-                passages.append(found)
-            probability = model.probability(model.surprise(best, count))
-            if len(scores) > KNOWN_WORDS:
-                scores.clear()
+            probability, passages = scorer.score(texts)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(probability), pa.array((probability >= 0.5).astype(np.int32)), pa.array(passages, passage)],
                 names=["doc_id", "score", "predicted", "passages"],
@@ -291,3 +302,13 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(
         work, f"doc_id {kind}, score double, predicted int, passages array<struct<start: bigint, end: bigint, expected: double>>"
     )
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The rows of `docs`, with all columns, whose text is not predicted toxic."""
+    def work(batches):
+        scorer = Scorer(model)
+        for part, texts in text_slices(batches):
+            yield part.filter(pa.array(scorer.score(texts)[0] < 0.5))
+
+    return docs.mapInArrow(work, docs.schema)
