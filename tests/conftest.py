@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import tempfile
+
 import pytest
 from pyspark.sql import SparkSession
 
@@ -17,6 +19,7 @@ def make_session() -> SparkSession:
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.sql.shuffle.partitions": "8",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tunegrain-tests-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -63,8 +63,13 @@ def test_error_histogram(spark, regression):
     assert evaluation.error_histogram(regression.limit(0)).count() == 0
 
 
-def test_class_index_limit(spark):
-    df = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "c string")
+def test_class_index(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "c string")
     assert sorted(map(tuple, features.class_index(df, "c").collect())) == [("a", 0), ("b", 1)]
-    with pytest.raises(ValueError):
-        features.class_index(df, "c", max_classes=1)
+    assert features.with_class_index(df, "c").count() == 3
+
+
+def test_error_histogram_leaves_out_what_is_no_number(spark):
+    rows = [(1.0, 0.0), (2.0, 0.0), (1.0, float("nan")), (None, 1.0), (float("inf"), 1.0)]
+    bins = evaluation.error_histogram(spark.createDataFrame(rows, "label double, prediction double"), bins=2).orderBy("bin").collect()
+    assert [(r.lo, r.hi, r.n) for r in bins] == [(1.0, 1.5, 1), (1.5, 2.0, 1)]

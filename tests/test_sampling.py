@@ -61,5 +61,23 @@ def test_stratified_split(years):
 
 
 def test_sample(years):
-    assert 0 < sampling.sample(years, 0.1).count() < years.count()
-    assert sampling.sample(years, 2.0, replace=True).count() > years.count()
+    drawn = {r.id for r in sampling.sample(years, "id", 0.1).collect()}
+    assert drawn == {r.id for r in sampling.sample(years.repartition(13), "id", 0.1).collect()}
+    assert 0.07 < len(drawn) / years.count() < 0.13
+    assert 1.9 < sampling.sample(years, "id", 2.0, replace=True).count() / years.count() < 2.1
+
+
+def test_repeated_keys_count_singly(spark):
+    df = spark.range(2000).select(F.when(F.col("id") < 1500, 7).otherwise(F.col("id")).alias("id"), F.lit(2001).alias("year"))
+    assert sampling.balance_bins(df, "year", "id", n=1001).count() == 1001
+    assert sampling.stratified_split(df, "year", "id", 0.5).filter("is_train").count() == 1000
+
+
+def test_random_pairs_beyond_one_round(spark):
+    nodes = spark.range(11).select(F.concat(F.lit("n"), "id").alias("node"))
+    pairs = sampling.random_pairs(nodes, "node", 23).collect()
+    assert sorted(p.pair_id for p in pairs) == list(range(23))
+    assert all(p.source != p.target and p.source and p.target for p in pairs)
+    for first in range(0, 20, 5):  # a round uses no node twice
+        used = [n for p in pairs if first <= p.pair_id < first + 5 for n in (p.source, p.target)]
+        assert len(set(used)) == len(used)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from itertools import filterfalse
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +15,6 @@ from tunegrain.functions import years
 # Name tokens of columns that are identifiers, not features.
 ID_TOKENS = ("id", "playmeid", "sample_rate", "7digital")
 
-_NUMERIC = (T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
-
-
 def known_year(df: DataFrame, col: str = "year") -> DataFrame:
     return df.filter(years.is_known(F.col(col)))
 
@@ -27,7 +25,9 @@ def drop_incomplete(df: DataFrame, subset: Sequence[str] | None = None) -> DataF
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ("year",)) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC) and f.name not in exclude]
+    """Columns of any numeric type, small integers and decimals included, in table order."""
+    numbers = df.select(*[c for c in df.columns if c not in set(exclude)])
+    return [name for name in numbers.columns if isinstance(numbers.schema[name].dataType, T.NumericType)]
 
 
 def exclude_tokens(cols: Sequence[str], tokens: Sequence[str] = ID_TOKENS, mode: str = "substring") -> list[str]:
@@ -36,12 +36,11 @@ def exclude_tokens(cols: Sequence[str], tokens: Sequence[str] = ID_TOKENS, mode:
     "substring" also drops every `*_confidence*` column, because "id" is part of that word;
     "token" compares whole name parts and keeps them.
     """
-    if mode == "substring":
-        return [c for c in cols if not any(token in c.lower() for token in tokens)]
-    if mode != "token":
+    forms = {"substring": "(?:{})", "token": "(?:^|_)(?:{})(?:id)?(?:_|$)"}
+    if mode not in forms:
         raise ValueError(f"unknown mode {mode!r}")
-    whole = re.compile("(^|_)(" + "|".join(map(re.escape, tokens)) + ")(id)?(_|$)")
-    return [c for c in cols if not whole.search(c.lower())]
+    named = re.compile(forms[mode].format("|".join(re.escape(t) for t in tokens)), re.IGNORECASE)
+    return list(filterfalse(named.search, cols)) if tokens else list(cols)
 
 
 def column_deviations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -58,11 +57,16 @@ def low_variance_columns(df: DataFrame, cols: Sequence[str], min_std: float = 1e
 
 def drop_low_variance(df: DataFrame, cols: Sequence[str], min_std: float = 1e-8) -> tuple[DataFrame, list[str]]:
     """`df` without its near-constant columns, and the names that are left."""
-    weak = low_variance_columns(df, cols, min_std)
-    kept = [c for c in cols if c not in weak]
-    if not kept:
-        raise ValueError("no usable feature column is left")
-    return df.drop(*weak), kept
+    constant = low_variance_columns(df, cols, min_std)
+    return df.drop(*constant), required(cols, constant)
+
+
+def required(cols: Sequence[str], dropped: Sequence[str]) -> list[str]:
+    """`cols` without `dropped`; a model cannot do without any column."""
+    left = [c for c in cols if c not in set(dropped)]
+    if not left:
+        raise ValueError("no feature column is left after cleaning")
+    return left
 
 
 def flatten_arrays(df: DataFrame, widths: dict[str, int], prefixes: dict[str, str] | None = None) -> DataFrame:

@@ -163,20 +163,22 @@ class PerceptronModel(Model, _Columns):
 class PerceptronRegressor(Estimator, _Columns):
     """Multi-layer perceptron with rectified units, trained by Adam on synchronous mini-batches.
 
-    `key` identifies a row. One epoch walks over `batches` mini-batches. With
+    `key` identifies a row. One epoch walks over `batches` mini-batches, by default as many as
+    give about `batch_rows` rows each. With
     `early_stopping`, training ends after `patience` epochs without a better error on the
     held-out share `validation`, and the best weights are kept.
     """
 
     def __init__(
         self, key: str, features_col: str = "features", label_col: str = "label", prediction_col: str = "prediction",
-        hidden: Sequence[int] = (100, 50), epochs: int = 200, batches: int = 1, rate: float = 0.001,
+        hidden: Sequence[int] = (100, 50), epochs: int = 200, batches: int | None = None, batch_rows: int = 65_536, rate: float = 0.001,
         alpha: float = 0.0001, early_stopping: bool = True, validation: float = 0.1, patience: int = 10,
         tol: float = 1e-4, seed: int = 42,
     ) -> None:
         super().__init__()
         self._name(features_col, label_col, prediction_col)
-        self.key, self.hidden, self.epochs, self.batches, self.rate = key, list(hidden), epochs, batches, rate
+        self.key, self.hidden, self.epochs, self.rate = key, list(hidden), epochs, rate
+        self.batches, self.batch_rows = batches, batch_rows
         self.alpha, self.early_stopping, self.validation = alpha, early_stopping, validation
         self.patience, self.tol, self.seed = patience, tol, seed
 
@@ -191,7 +193,8 @@ class PerceptronRegressor(Estimator, _Columns):
     def _fit(self, dataset: DataFrame) -> PerceptronModel:
         names = (self.getFeaturesCol(), self.getLabelCol(), self.getPredictionCol())
         held_out = self.validation if self.early_stopping else 0.0
-        table = batch_table(dataset, names[0], names[1], self.key, self.batches, held_out, self.seed)
+        batches = self.batches or max(1, -(-dataset.count() // self.batch_rows))
+        table = batch_table(dataset, names[0], names[1], self.key, batches, held_out, self.seed)
         layers = [len(table.select("x").first()["x"]), *self.hidden, 1]
         flat = self._start(layers)
         decayed = np.concatenate([
@@ -210,7 +213,7 @@ class PerceptronRegressor(Estimator, _Columns):
 
         for _ in range(self.epochs):
             rows = loss = 0.0
-            for number in range(self.batches):
+            for number in range(batches):
                 # The first step of an epoch also scores the weights that the epoch starts from.
                 parts = [number, VALIDATION] if self.early_stopping and number == 0 else [number]
                 sums = rowsums.total(_batch(table, *parts), lambda x, y, b, w=flat: step(x, y, b, w), scan=True)

@@ -110,8 +110,13 @@ def with_class_weights(train: DataFrame, label: str = "label", to: DataFrame | N
 def error_histogram(
     df: DataFrame, label: str = "label", prediction: str = "prediction", bins: int = 30
 ) -> DataFrame:
-    """(bin, lo, hi, n): equal-width bins of label - prediction; the last bin includes its end."""
-    errors = df.select((F.col(label) - F.col(prediction)).cast("double").alias("e")).filter(F.col("e").isNotNull())
+    """(bin, lo, hi, n): equal-width bins of label - prediction; the last bin includes its end.
+
+    Errors that are null, NaN or infinite belong to no bin.
+    """
+    errors = df.select((F.col(label) - F.col(prediction)).cast("double").alias("e")).filter(
+        F.col("e").isNotNull() & ~F.isnan("e") & (F.abs("e") < float("inf"))
+    )
     lo, hi = errors.agg(F.min("e"), F.max("e")).first()
     if lo is None:
         return df.sparkSession.createDataFrame([], "bin int, lo double, hi double, n bigint")

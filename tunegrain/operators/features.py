@@ -11,14 +11,12 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunegrain.operators.quantiles import exact_percentiles
-from tunegrain.runtime import broadcast_within
-
-# A class label ends up in model matrices, so it must stay enumerable.
-MAX_CLASSES = 100_000
+from tunegrain.operators.ranking import with_rank
+from tunegrain.runtime import broadcast_within, materialize
 
 
 def assemble(cols: Sequence[str], output_col: str = "features", on_invalid: str = "error") -> VectorAssembler:
@@ -127,30 +125,35 @@ def leading_components(model: PCAModel, k: int, output_col: str) -> VectorSlicer
 
 
 def fit_reduction(
-    df: DataFrame, input_col: str, output_col: str, threshold: float = 0.9, max_k: int = 100
+    df: DataFrame, input_col: str, output_col: str, threshold: float = 0.9, max_k: int | None = None
 ) -> tuple[PipelineModel, int]:
-    """PCA cut to the fewest components that explain `threshold` of the variance."""
+    """PCA cut to the fewest components that explain `threshold` of the variance.
+
+    All components are looked at unless `max_k` says less; if those do not reach the threshold, that is an error.
+    """
     width = len(df.select(vector_to_array(F.col(input_col)).alias("v")).first()["v"])
-    model = pca(input_col, f"_{output_col}_all", min(max_k, width)).fit(df)
+    size = min(max_k or width, width)
+    model = pca(input_col, f"_{output_col}_all", size).fit(df)
     k = components_needed(model, threshold)
+    reached = float(sum(model.explainedVariance.toArray()[:k]))
+    if size < width and reached < threshold:
+        raise ValueError(f"{size} components explain {reached:.4f} of the variance, less than {threshold}")
     return PipelineModel([model, leading_components(model, k, output_col)]), k
 
 
 # --- classes ------------------------------------------------------------------------------
 
 
-def class_index(df: DataFrame, col: str, max_classes: int = MAX_CLASSES) -> DataFrame:
-    """(col, label): dense 0-based labels in ascending order of the distinct values."""
+def class_index(df: DataFrame, col: str) -> DataFrame:
+    """(col, label): dense 0-based labels in ascending order of the distinct values, however many there are."""
     classes = df.select(col).filter(F.col(col).isNotNull()).distinct()
-    count = classes.count()
-    if count > max_classes:
-        raise ValueError(f"{count} distinct values of {col} are too many for class labels")
-    return classes.withColumn("label", F.row_number().over(Window.orderBy(col)) - 1)
+    return with_rank(classes, [col], "label").select(col, F.col("label").cast("int"))
 
 
-def with_class_index(df: DataFrame, col: str, max_classes: int = MAX_CLASSES) -> DataFrame:
-    """Adds `label`; rows without a class are left out. The number of classes was checked, so they are broadcast."""
-    return df.join(broadcast_within(class_index(df, col, max_classes), max_classes), col)
+def with_class_index(df: DataFrame, col: str) -> DataFrame:
+    """Adds `label`; rows without a class are left out. Few classes are broadcast, many are joined by shuffle."""
+    index = materialize(class_index(df, col), "classes")
+    return df.join(broadcast_within(index, index.count()), col)
 
 
 def unseen_classes(train: DataFrame, test: DataFrame, col: str) -> DataFrame:

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tunegrain.functions.hashing import key_hash
+from tunegrain.operators.ranking import with_rank
 from tunegrain.runtime import materialize, new_folder
 
 MAX_DEPTH = 10
-LIST_ROWS = 100_000
+LIST_ROWS = 100_000  # neighbours in one row of an adjacency list
 
 
 def load_graph(artists: DataFrame, similarity: DataFrame) -> DataFrame:
@@ -35,44 +37,23 @@ def init_nodes(artists: DataFrame, source: Any) -> DataFrame:
     )
 
 
-def _joined(entries, separator: str = ","):
-    return F.concat_ws(separator, F.sort_array(entries))
-
-
-def _long_lists(edges: DataFrame, degrees: DataFrame, list_rows: int) -> DataFrame:
-    """Lists of artists with more than `list_rows` edges, cut into parts of about that size."""
-    counted = edges.join(degrees, "target").groupBy("target", "similar", "_degree").agg(F.count(F.lit(1)).alias("_n"))
-    # Copies of one edge are cut into runs first, so that even a single repeated edge spreads out.
-    runs = F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / list_rows).cast("int"))
-    spread = counted.withColumn("_run", F.explode(runs))
-    copies = F.least(F.col("_n") - F.col("_run") * F.lit(list_rows), F.lit(list_rows)).cast("int")
-    slot = key_hash(F.concat_ws("/", F.col("similar"), F.col("_run")), 0) % F.ceil(F.col("_degree") / list_rows)
-    entry = F.array_repeat(F.col("similar").cast("string"), copies)
-    return spread.groupBy("target", slot.cast("int").alias("part")).agg(
-        F.sum(copies).alias("n_similar"), _joined(F.flatten(F.collect_list(entry))).alias("similar_artists")
-    )
-
-
 def adjacency(artists: DataFrame, similarity: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
     """(artist_id, part, n_similar, similar_artists): comma-joined, sorted neighbours of every artist.
 
-    An artist has one row, part 0, unless its list is longer than `list_rows`; then the list
-    goes on in further parts, so that no task ever holds one unbounded list. Isolated artists
-    have an empty list.
+    The k-th neighbour of an artist stands in part k // list_rows, so that no task ever holds an
+    unbounded list, and the parts in order are the whole sorted list. Isolated artists have an
+    empty part 0.
     """
-    edges = similarity.select("target", "similar").filter(F.col("similar").isNotNull())
-    degrees = edges.groupBy("target").agg(F.count(F.lit(1)).alias("_degree")).filter(F.col("_degree") > list_rows)
-    hot = materialize(degrees, "hot-artists")  # its measured size plans the joins below
-    some_hot = not hot.isEmpty()
-    short = edges.join(hot.select("target"), "target", "left_anti") if some_hot else edges
-    # No artist left here has many edges, so rows can be grouped by artist before any list is built.
-    lists = short.repartition("target").groupBy("target").agg(
-        F.lit(0).alias("part"),
+    edges = similarity.select("target", F.col("similar").cast("string")).filter(F.col("similar").isNotNull())
+    # copies of an edge are spread by their place, so one repeated edge is no hot range
+    salted = edges.withColumn("_salt", F.monotonically_increasing_id())
+    ranked = with_rank(salted, ["target", "similar", "_salt"], "_rank")
+    first = ranked.groupBy("target").agg(F.min("_rank").alias("_first"))
+    part = F.floor((F.col("_rank") - F.col("_first")) / list_rows).cast("int")
+    lists = ranked.join(first, "target").groupBy("target", part.alias("part")).agg(
         F.count(F.lit(1)).alias("n_similar"),
-        _joined(F.collect_list(F.col("similar").cast("string"))).alias("similar_artists"),
+        F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("_rank", "similar"))), lambda e: e["similar"])).alias("similar_artists"),
     )
-    if some_hot:
-        lists = lists.unionByName(_long_lists(edges, hot, list_rows))
     return artists.join(lists, artists["artist_id"] == lists["target"], "left").select(
         "artist_id",
         F.coalesce("part", F.lit(0)).alias("part"),
@@ -224,7 +205,16 @@ def shortest_path(
 
 
 def first_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """The first row of each key in `order`; partial minima keep a hot key out of the shuffle."""
+    """The first row of each key in `order` (nulls first); of equal rows in that order, one.
+
+    Partial minima keep a hot key out of the shuffle. Only the order columns are aggregated; the
+    rows are found again by key and order.
+    """
     others = [c for c in df.columns if c != key]
-    best = F.min_by(F.struct(*others), F.struct(*order)).alias("_first")
-    return df.groupBy(key).agg(best).select(key, "_first.*")
+    names = {c: f"_first_{c}" for c in (key, *order)}
+    best = df.groupBy(key).agg(F.min(F.struct(*order)).alias("_best")).select(
+        F.col(key).alias(names[key]), *[F.col(f"_best.{c}").alias(names[c]) for c in order]
+    )
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    found = df.join(best, same, "left_semi")
+    return found.dropDuplicates([key, *order]).select(key, *others)

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -27,14 +28,17 @@ def feature_array(df: DataFrame, features_col: str) -> Column:
 
 
 def as_rows(df: DataFrame, features_col: str, label_col: str, *keep: Column) -> DataFrame:
-    """(x, y, ...): features as a plain array and the label, without incomplete rows."""
-    return df.select(
-        feature_array(df, features_col).alias("x"), F.col(label_col).cast("double").alias("y"), *keep
-    ).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    """(x, y, ...): features as a plain array and the label, without rows that hold a null or NaN."""
+    rows = df.select(feature_array(df, features_col).alias("x"), F.col(label_col).cast("double").alias("y"), *keep)
+    gap = F.exists("x", lambda v: v.isNull() | F.isnan(v))
+    return rows.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("y") & ~gap)
 
 
 def matrix(values: pa.Array) -> np.ndarray:
-    """A list column of equal lengths as a rows x width matrix."""
+    """A list column of equal lengths as a rows x width matrix; other lengths are an error."""
+    lengths = values.value_lengths()
+    if len(lengths) and pc.min(lengths) != pc.max(lengths):
+        raise ValueError(f"feature lists of {pc.min(lengths)} to {pc.max(lengths)} values in one table")
     return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
 
 

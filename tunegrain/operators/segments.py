@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunegrain.functions import arrays
-from tunegrain.runtime import allow_wide_codegen
 from tunegrain.schema import CONFIDENCE_GROUPS, SEGMENT_ARRAYS, SEGMENT_DIMS
 
 
@@ -60,7 +59,6 @@ def segment_means(df: DataFrame, key: str, vector: str, dims: int = SEGMENT_DIMS
 
 def segment_covariances(df: DataFrame, key: str, vector: str, dims: int = SEGMENT_DIMS) -> DataFrame:
     """(key, covariances): upper triangle with diagonal, row by row, of the sample covariance."""
-    allow_wide_codegen(df.sparkSession)
     rows = _dim_columns(df, key, vector, dims)
     return rows.groupBy(key).agg(F.array(*_covariances(dims)).alias("covariances"))
 
@@ -70,7 +68,6 @@ def segment_signature(df: DataFrame, key: str, vector: str, dims: int = SEGMENT_
 
     A key with a single segment has null covariances.
     """
-    allow_wide_codegen(df.sparkSession)
     rows = _dim_columns(df, key, vector, dims)
     return rows.groupBy(key).agg(F.array(*_means(dims), *_covariances(dims)).alias("signature"))
 

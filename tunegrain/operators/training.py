@@ -84,10 +84,13 @@ def factorization_machine(features_col: str = "features", label_col: str = "labe
 
 
 def _indexed(train: DataFrame, label_col: str, classifier: Estimator) -> PipelineModel:
-    """Index the label first: raw years would make a class of every integer up to the largest year."""
-    indexer = StringIndexer(
-        inputCol=label_col, outputCol="_class", stringOrderType="alphabetAsc", handleInvalid="keep"
-    ).fit(train)
+    """Index the label first: raw years would make a class of every integer up to the largest year.
+
+    Rows without a label teach nothing and are left out.
+    """
+    label = F.col(label_col)
+    train = train.filter(label.isNotNull() & ~F.isnan(label.cast("double")) if dict(train.dtypes)[label_col] in ("double", "float") else label.isNotNull())
+    indexer = StringIndexer(inputCol=label_col, outputCol="_class", stringOrderType="alphabetAsc").fit(train)
     fitted = classifier.fit(indexer.transform(train))
     names = IndexToString(inputCol="_prediction", outputCol="prediction", labels=indexer.labels)
     return PipelineModel([fitted, names])

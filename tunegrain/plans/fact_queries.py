@@ -115,10 +115,10 @@ def drop_low_variance(spark, d):
 
 
 @query("flatten_array", "select vec_id, " + ", ".join(
-    f"round(embedding[{i + 1}]::double, 6) as timbre_{i}" for i in range(12)) + " from embeddings")
+    f"round(embedding[{i + 1}]::double, 6) as timbre_{i}" for i in range(64)) + " from embeddings")
 def flatten_array(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    return rounded(cleaning.flatten_array(rows, "e", 12, "timbre"))
+    return rounded(cleaning.flatten_array(rows, "e", 64, "timbre"))
 
 
 @query("scale_label", f"select song_id, round((year - 1924.0) / 87.0, 6) as scaled, "

@@ -11,7 +11,8 @@ from tunegrain.sources.songs import write_matrix_csv
 
 _COLS = ["l_quantity", "l_extendedprice", "l_discount"]
 _KEYS = ["l_orderkey", "l_linenumber"]
-_DIMS = [f"d{i}" for i in range(12)]
+_WIDTH = 64
+_DIMS = [f"d{i}" for i in range(_WIDTH)]
 
 
 def _lines(spark, d):
@@ -115,11 +116,11 @@ def unseen_classes(spark, d):
 
 
 def _vectors(spark, d):
-    """Segment vectors as twelve numeric columns."""
+    """Vectors as numeric columns, all 64 of them."""
     return cleaning.flatten_array(
         table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e")),
-        "e", 12, "d",
-    ).withColumnsRenamed({f"d_{i}": f"d{i}" for i in range(12)})
+        "e", _WIDTH, "d",
+    ).withColumnsRenamed({f"d_{i}": f"d{i}" for i in range(_WIDTH)})
 
 
 def _corr_sql(i: int, j: int) -> str:
@@ -127,10 +128,9 @@ def _corr_sql(i: int, j: int) -> str:
 
 
 _CORR = (
-    "with c as (select " + ", ".join(f"{_corr_sql(i, j)} as r_{i}_{j}" for i in range(12) for j in range(12))
-    + " from embeddings), m as (" + " union all ".join(
-        f"select 'd{i}' as a, 'd{j}' as b, {i} as i, {j} as j, r_{i}_{j} as r from c"
-        for i in range(12) for j in range(12)) + ")"
+    "with c as (select [" + ", ".join(_corr_sql(i, j) for i in range(_WIDTH) for j in range(_WIDTH))
+    + f"] as r from embeddings), k as (select unnest(range(0, {_WIDTH * _WIDTH}))::int as k, unnest(r) as r from c), "
+    f"m as (select 'd' || (k // {_WIDTH}) as a, 'd' || (k % {_WIDTH}) as b, k // {_WIDTH} as i, k % {_WIDTH} as j, r from k)"
 )
 
 
@@ -151,7 +151,7 @@ def pair_correlation(spark, d):
 
 
 @query("matrix_csv", f"{_CORR} select a as feature, " + ", ".join(
-    f"max(case when j = {j} then r end) as d{j}" for j in range(12)) + " from m group by a")
+    f"max(case when j = {j} then r end) as d{j}" for j in range(_WIDTH)) + " from m group by a")
 def matrix_csv(spark, d):
     """The correlation table written as CSV and read back."""
     matrix = features.wide_matrix(features.correlation_matrix(_vectors(spark, d), _DIMS), _DIMS)

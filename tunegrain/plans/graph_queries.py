@@ -81,12 +81,14 @@ def init_nodes(spark, d):
 
 
 @query("adjacency", f"""
-with {_EDGES}, a as ({_nodes_sql('RNCSPO')})
-select a.artist_id, 0 as part, count(raw.dst) as n_similar,
-  coalesce(string_agg(raw.dst, ',' order by raw.dst), '') as similar_artists
-from a left join raw on raw.src = a.artist_id group by 1""")
+with {_EDGES}, a as ({_nodes_sql('RNCSPO')}),
+k as (select src, dst, (row_number() over (partition by src order by dst) - 1) // 50 as part from raw)
+select a.artist_id, coalesce(k.part, 0)::int as part, count(k.dst) as n_similar,
+  coalesce(string_agg(k.dst, ',' order by k.dst), '') as similar_artists
+from a left join k on k.src = a.artist_id group by 1, 2""")
 def adjacency(spark, d):
-    return graph.adjacency(artists(spark, d), edges(spark, d))
+    """Parts of fifty neighbours, so that long lists are split at every scale."""
+    return graph.adjacency(artists(spark, d), edges(spark, d), list_rows=50)
 
 
 @query("bfs_levels", f"with recursive {_EDGES}, starts as (select 'N0' as source), {_SEARCH} "
@@ -107,7 +109,7 @@ from asked left join reached r on r.source = asked.source and r.node = asked.tar
 
 _PAIRS = f"""
 drawn as (select artist_id, row_number() over (order by
-    ('0x' || substr(md5('0/' || artist_id || ':42'), 1, 15))::bigint, artist_id) - 1 as r from ({_nodes_sql('NCSP')})),
+    ('0x' || substr(md5('0/' || artist_id || ':42'), 1, 15))::bigint, artist_id) - 1 as r from ({_nodes_sql('RNCSPO')})),
 pairs as (select r // 2 as pair_id, max(case when r % 2 = 0 then artist_id end) as source,
     max(case when r % 2 = 1 then artist_id end) as target from drawn where r < 16 group by 1)"""
 
@@ -127,14 +129,24 @@ with recursive {_EDGES}, {_PAIRS},
 asked as (select source, target from pairs union select 'N0', 'R0' union select 'C1', 'C1' union select 'X', 'C1'),
 starts as (select distinct source from asked), {_SEARCH}, {_PATH}""")
 def shortest_paths(spark, d):
-    drawn = sampling.random_pairs(artists(spark, d, "NCSP"), "artist_id", 8).select("source", "target")
+    drawn = sampling.random_pairs(artists(spark, d), "artist_id", 8).select("source", "target")
     fixed = spark.createDataFrame([("N0", "R0"), ("C1", "C1"), ("X", "C1")], ["source", "target"])
     return _shown(graph.shortest_paths(edges(spark, d), drawn.unionByName(fixed)))
 
 
-@query("random_pairs", f"with {_PAIRS} select pair_id, source, target from pairs")
+_MANY = f"""
+a as (select artist_id from ({_nodes_sql('RNCSPO')})), n as (select count(*) // 2 as per from a),
+drawn as (select artist_id, t, row_number() over (partition by t order by
+    ('0x' || substr(md5(t || '/' || artist_id || ':42'), 1, 15))::bigint, artist_id) - 1 as r from a, (select unnest(range(0, 2)) as t)),
+pairs as (select t * per + r // 2 as pair_id, max(case when r % 2 = 0 then artist_id end) as source,
+    max(case when r % 2 = 1 then artist_id end) as target from drawn, n where r < 2 * per group by 1)"""
+
+
+@query("random_pairs", f"with {_MANY} select pair_id, source, target from pairs where pair_id < (select per from n) + 100")
 def random_pairs(spark, d):
-    return sampling.random_pairs(artists(spark, d, "NCSP"), "artist_id", 8)
+    """A hundred more pairs than one round over all artists gives."""
+    nodes = artists(spark, d)
+    return sampling.random_pairs(nodes, "artist_id", nodes.count() // 2 + 100)
 
 
 @query("first_per_key", """

@@ -72,7 +72,7 @@ def ridge_loocv(spark, d):
     return rounded(ridge.leave_one_out(lines, model), 0)
 
 
-_SGD_BATCHES, _SGD_STEPS = 4, 12
+_SGD_BATCHES, _SGD_STEPS = 10, 800
 
 
 def _priced(spark, d):
@@ -179,7 +179,7 @@ def _class_score(predictions, label="label"):
 def linear_poly(spark, d):
     """64 features and their products are 2,144 terms."""
     train, test = _vectors(spark, d)
-    return _regression_score(training.fit_linear_poly(train, maxIter=30, regParam=0.1), test)
+    return _regression_score(training.fit_linear_poly(train, regParam=0.1), test)
 
 
 @query("forest_regression")
@@ -191,14 +191,14 @@ def forest_regression(spark, d):
 @query("boosted_regression")
 def boosted_regression(spark, d):
     train, test = _vectors(spark, d)
-    return _regression_score(training.fit_boosted_trees(train, maxIter=10), test)
+    return _regression_score(training.fit_boosted_trees(train), test)
 
 
 @query("boosted_years")
 def boosted_years(spark, d):
     """Boosted trees on the scaled label, predictions brought back into the label's range."""
     train, test = _vectors(spark, d)
-    regressor = training.boosted_trees_long(label_col="scaled", maxIter=10)
+    regressor = training.boosted_trees_long(label_col="scaled")
     model = training.fit_year_model(train, regressor, "label", 0, 9, "scaled")
     return _regression_score(model, test)
 
@@ -207,7 +207,7 @@ def boosted_years(spark, d):
 def factorization_years(spark, d):
     train, test = _vectors(spark, d)
     chain = features.chain(
-        features.minmax_scaler("features", "unit"), training.factorization_machine("unit", "scaled", maxIter=50)
+        features.minmax_scaler("features", "unit"), training.factorization_machine("unit", "scaled")
     )
     return _regression_score(training.fit_year_model(train, chain, "label", 0, 9, "scaled"), test)
 
@@ -218,7 +218,7 @@ def perceptron_years(spark, d):
     chain = features.chain(
         features.standard_scaler("features", "z"),
         descent.PerceptronRegressor(
-            key="vec_id", features_col="z", label_col="scaled", hidden=(32, 16), epochs=15, rate=0.02
+            key="vec_id", features_col="z", label_col="scaled"
         ),
     )
     return _regression_score(training.fit_year_model(train, chain, "label", 0, 9, "scaled"), test)
@@ -227,7 +227,7 @@ def perceptron_years(spark, d):
 @query("logistic_classes")
 def logistic_classes(spark, d):
     train, test = _vectors(spark, d)
-    predicted = training.fit_logistic(train, maxIter=30).transform(test)
+    predicted = training.fit_logistic(train).transform(test)
     return _class_score(predicted.withColumn("prediction", F.col("prediction").cast("double")))
 
 
@@ -235,11 +235,11 @@ def logistic_classes(spark, d):
 def forest_classes(spark, d):
     train, test = _vectors(spark, d)
     weighted = evaluation.with_class_weights(train)
-    return _class_score(training.fit_forest_classifier(weighted, numTrees=30, maxDepth=8).transform(test))
+    return _class_score(training.fit_forest_classifier(weighted).transform(test))
 
 
 @query("perceptron_classes")
 def perceptron_classes(spark, d):
     train, test = _vectors(spark, d)
-    model = training.fit_perceptron_classifier(train, classes=10, width=64, maxIter=50)
+    model = training.fit_perceptron_classifier(train, classes=10, width=64)
     return _class_score(model.transform(test))

@@ -54,16 +54,20 @@ def balance_eras(spark, d):
     )
 
 
-@query("sample_share")
+_POISSON = sampling.poisson_cuts(0.3)
+
+
+@query("sample_share", f"""
+with h as (select song_id, {hash_sql('song_id')} as h from {ORDER_YEARS_SQL}),
+c as (select song_id, {' + '.join(f'(h >= {cut})::int' for cut in _POISSON)} as copies from h)
+select 'bernoulli' as kind, song_id, 0 as replica from h where h < {fraction_cut(0.1)}
+union all select 'poisson', song_id, unnest(range(0, copies))::int from c""")
 def sample_share(spark, d):
-    """Shares drawn by a tenth without, and three tenths with replacement."""
-    orders = order_years(spark, d)
-    total = orders.agg(F.count(F.lit(1)).alias("n")).scalar()
-    plain = sampling.sample(orders, 0.1).agg((F.count(F.lit(1)) / total).alias("share"))
-    again = sampling.sample(orders, 0.3, replace=True).agg((F.count(F.lit(1)) / total).alias("share"))
-    return plain.select(F.lit("bernoulli").alias("kind"), F.round("share", 2).alias("share")).unionByName(
-        again.select(F.lit("poisson").alias("kind"), F.round("share", 2).alias("share"))
-    )
+    """The rows drawn by a tenth without, and three tenths with replacement."""
+    orders = order_years(spark, d).select("song_id")
+    plain = sampling.sample(orders, "song_id", 0.1).select(F.lit("bernoulli").alias("kind"), "song_id", F.lit(0).alias("replica"))
+    again = sampling.sample(orders, "song_id", 0.3, replace=True)
+    return plain.unionByName(again.select(F.lit("poisson").alias("kind"), "song_id", "replica"))
 
 
 @query("hash_spread", f"""

@@ -9,6 +9,9 @@ from tunegrain.plans.registry import query, rounded, table
 
 _DIMS = 12
 _PAIRS = [(i, j) for i in range(_DIMS) for j in range(i, _DIMS)]
+# The 64 values of a vector as four segments of sixteen.
+_WIDE = 16
+_WIDE_PAIRS = [(i, j) for i in range(_WIDE) for j in range(i, _WIDE)]
 
 
 def _values(name: str, width: int, parts: list[str]) -> str:
@@ -18,12 +21,17 @@ def _values(name: str, width: int, parts: list[str]) -> str:
     listed = ", ".join(f"v{k}" for k in range(width))
     return (
         f"select label, unnest(range(0, {width}))::int as pos, unnest([{listed}]) as value "
-        f"from (select label, {columns} from embeddings group by label)"
+        f"from (select label, {columns} from (select label, embedding, unnest(range(0, 4)) as s from embeddings) group by label)"
     )
 
 
-_MEANS = [f"avg(embedding[{i + 1}]::double)" for i in range(_DIMS)]
-_COVS = [f"covar_samp(embedding[{i + 1}]::double, embedding[{j + 1}]::double)" for i, j in _PAIRS]
+_MEANS = [f"avg(embedding[s * {_WIDE} + {i + 1}]::double)" for i in range(_WIDE)]
+_COVS = [f"covar_samp(embedding[s * {_WIDE} + {i + 1}]::double, embedding[s * {_WIDE} + {j + 1}]::double)" for i, j in _WIDE_PAIRS]
+
+
+def _segments(spark, d):
+    cut = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda s: F.slice("embedding", s * _WIDE + 1, _WIDE))
+    return table(spark, d, "embeddings").select("label", F.explode(cut).alias("segment"))
 
 
 def _long(df, key, array):
@@ -44,20 +52,20 @@ def grouped_stats(spark, d):
     return rounded(segments.grouped_stats(table(spark, d, "events"), "user_id", "value"))
 
 
-@query("segment_means", _values("means", _DIMS, _MEANS))
+@query("segment_means", _values("means", _WIDE, _MEANS))
 def segment_means(spark, d):
-    return _long(segments.segment_means(table(spark, d, "embeddings"), "label", "embedding"), "label", "means")
+    return _long(segments.segment_means(_segments(spark, d), "label", "segment", _WIDE), "label", "means")
 
 
-@query("segment_covariances", _values("covariances", len(_PAIRS), _COVS))
+@query("segment_covariances", _values("covariances", len(_WIDE_PAIRS), _COVS))
 def segment_covariances(spark, d):
-    found = segments.segment_covariances(table(spark, d, "embeddings"), "label", "embedding")
+    found = segments.segment_covariances(_segments(spark, d), "label", "segment", _WIDE)
     return _long(found, "label", "covariances")
 
 
-@query("segment_signature", _values("signature", _DIMS + len(_PAIRS), _MEANS + _COVS))
+@query("segment_signature", _values("signature", _WIDE + len(_WIDE_PAIRS), _MEANS + _COVS))
 def segment_signature(spark, d):
-    found = segments.segment_signature(table(spark, d, "embeddings"), "label", "embedding")
+    found = segments.segment_signature(_segments(spark, d), "label", "segment", _WIDE)
     return _long(found, "label", "signature")
 
 

@@ -27,13 +27,11 @@ def read_songs(spark, d):
 def merge_tables(spark, d):
     """One table per market segment, merged into one."""
     folder = new_folder(spark, "segments")
-    table(spark, d, "customer").write.partitionBy("c_mktsegment").parquet(f"{folder}/parts")
     whole = table(spark, d, "customer")
+    # one partitioned write: each folder is a table of its own
+    whole.withColumn("part", F.col("c_mktsegment")).write.partitionBy("part").parquet(f"{folder}/parts")
     names = [r[0] for r in whole.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]  # five segments
-    paths = []
-    for i, name in enumerate(names):
-        paths.append(f"{folder}/table{i}")
-        whole.filter(F.col("c_mktsegment") == name).write.parquet(paths[-1])
+    paths = [f"{folder}/parts/part={name}" for name in names]
     merged = songs.merge_tables(spark, paths, f"{folder}/merged")
     return merged.groupBy("c_mktsegment").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance")

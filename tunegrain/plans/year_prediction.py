@@ -47,10 +47,7 @@ def numeric_features(
     flat = cleaning.flatten_arrays(songs, parts)
     names = cleaning.exclude_tokens(cleaning.numeric_columns(flat, exclude=("year", key)), mode=mode)
     complete = cleaning.known_year(cleaning.drop_incomplete(flat.select(key, "year", *names), [*names, "year"]))
-    weak = cleaning.low_variance_columns(complete, names, min_std)
-    kept = [c for c in names if c not in weak]
-    if not kept:
-        raise ValueError("no usable feature column is left")
+    kept = cleaning.required(names, cleaning.low_variance_columns(complete, names, min_std))
     return features.assemble(kept).transform(complete).select(key, "year", "features"), kept
 
 

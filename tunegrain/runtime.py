@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A broadcast hint is only given to a side whose row count is proven to stay below this.
+# A broadcast hint is only given to a side that is proven to stay below both.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 * 1024 * 1024
+_TYPE_BYTES = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "date": 4, "timestamp": 8}
 
 
 def build_session(app: str = "tunegrain", master: str | None = None, **conf: str) -> SparkSession:
@@ -20,6 +22,9 @@ def build_session(app: str = "tunegrain", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # The dozens of covariances of a signature need over 300 buffer fields; beyond the limit Spark
+        # runs them outside whole-stage code, more than three times slower.
+        .config("spark.sql.codegen.maxFields", "2000")
     )
     if master:
         builder = builder.master(master)
@@ -28,31 +33,20 @@ def build_session(app: str = "tunegrain", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def allow_wide_codegen(spark: SparkSession, fields: int = 2000) -> None:
-    """Raise the session's column limit for generated code.
-
-    The dozens of covariances of a signature need over 300 buffer fields; above the limit Spark
-    runs them outside whole-stage code, more than three times slower.
-    """
-    name = "spark.sql.codegen.maxFields"
-    if int(spark.conf.get(name)) < fields:
-        spark.conf.set(name, str(fields))
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by spark.checkpoint.dir.
+    """The folder that all executors can reach, as named by spark.checkpoint.dir.
 
-    Only a local master may fall back to a temporary folder: on a cluster it would exist
-    on one machine and its files would be lost with that machine.
+    A session that runs in one process may do without: it then gets a temporary folder of its own.
+    Anywhere else such a folder would be on one machine and be lost with it, so the setting is required.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="tunegrain-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not configured:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        configured = tempfile.mkdtemp(prefix="tunegrain-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
@@ -75,5 +69,9 @@ def materialize(df: DataFrame, purpose: str = "table", partition_by: str | None
 
 
 def broadcast_within(df: DataFrame, row_bound: int) -> DataFrame:
-    """Hint a broadcast only if `row_bound`, a proven upper bound on the rows, is small."""
-    return F.broadcast(df) if row_bound <= BROADCAST_ROWS else df
+    """Hint a broadcast only if `row_bound`, a proven upper bound on the rows, is small, and so are the rows together.
+
+    Columns without a fixed width count as 100 bytes each.
+    """
+    width = sum(_TYPE_BYTES.get(kind, 100) for _, kind in df.dtypes)
+    return F.broadcast(df) if row_bound <= BROADCAST_ROWS and row_bound * width <= BROADCAST_BYTES else df

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import gzip
+import zlib
 from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import orc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tunegrain.runtime import broadcast_within, materialize
 from tunegrain.schema import SONG_SCHEMA
 
 TARGET_FILE_BYTES = 256 * 1024 * 1024
@@ -36,11 +43,12 @@ def write_songs(
     df.write.format(fmt).option("compression", compression).mode(mode).save(path)
 
 
-def output_files(spark: SparkSession, paths: Sequence[str], glob: str, target_bytes: int) -> int:
-    """Number of output files for the bytes found below `paths`; file contents are not read."""
-    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    total = sizes.load(list(paths)).agg(F.sum("length")).first()[0] or 0
-    return max(1, -(-total // target_bytes))
+def output_files(spark: SparkSession, files: Sequence[str], target_bytes: int) -> int:
+    """Number of output files for the bytes of `files`; file contents are not read."""
+    if not files:
+        return 1
+    sizes = spark.read.format("binaryFile").load([unquote(f) for f in files])
+    return max(1, -(-(sizes.agg(F.sum("length")).first()[0] or 0) // target_bytes))
 
 
 def merge_tables(
@@ -54,7 +62,7 @@ def merge_tables(
         if schema != schemas[0]:
             raise ValueError(f"schema mismatch in {path}")
     merged = spark.read.format(fmt).schema(schemas[0]).load(list(paths))
-    files = output_files(spark, paths, f"*.{fmt}", target_bytes)
+    files = output_files(spark, merged.inputFiles(), target_bytes)
     # Coalescing joins input splits without a shuffle; every task still writes about one target file.
     write_songs(merged.coalesce(files), out, fmt)
     return spark.read.format(fmt).schema(schemas[0]).load(out)
@@ -67,19 +75,30 @@ def compact_small_files(
 ) -> DataFrame:
     """Read all matching files below `folder`, one or more records each, into few large files.
 
-    Files that cannot be read are skipped; `unreadable_files` names them. `transform` turns the
-    raw records into table rows, for example `segments.song_features`.
+    A file comes through whole or not at all: files that break anywhere are left out, and
+    `unreadable_files` names them. Without a `schema` the columns of all files are merged.
+    `transform` turns the raw records into table rows, for example `segments.song_features`.
     """
-    raw = _small_files(spark, folder, glob, fmt, schema)
+    broken = materialize(unreadable_files(spark, folder, glob, fmt), "broken")
+    source = _small_files(spark, folder, glob, fmt, schema)
+    columns = source.columns
+    tagged = source.withColumn("_file", _plain(F.col("_metadata.file_path")))
+    raw = tagged.join(broadcast_within(broken, broken.count()), tagged["_file"] == broken["path"], "left_anti").select(*columns)
     if transform:
         # Features are far smaller than their input: files are sized by what comes out.
         rows = transform(raw).hint("rebalance")
     else:
-        rows = raw.coalesce(output_files(spark, [folder], glob, target_bytes))
+        rows = raw.coalesce(output_files(spark, source.inputFiles(), target_bytes))
     write_songs(rows, out)
     return spark.read.schema(rows.schema).parquet(out)
 
 
+def _plain(path: Column) -> Column:
+    """One form for a file's path: readers give it encoded or not, with one slash or three before it."""
+    bare = F.regexp_replace(path, "^([a-z0-9]+):/+", "$1:/")
+    return F.coalesce(F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))), bare)
+
+
 def _small_files(
     spark: SparkSession, folder: str, glob: str, fmt: str, schema: T.StructType | None
 ) -> DataFrame:
@@ -89,20 +108,38 @@ def _small_files(
         .option("pathGlobFilter", glob)
         .option("ignoreCorruptFiles", "true")
     )
-    return (reader.schema(schema) if schema is not None else reader).load(folder)
+    return (reader.schema(schema) if schema is not None else reader.option("mergeSchema", "true")).load(folder)
 
 
-def unreadable_files(
-    spark: SparkSession, folder: str, glob: str, fmt: str = "parquet", schema: T.StructType | None = None
-) -> DataFrame:
-    """(path): files below `folder` that gave no record."""
+def _breaks(name: str, data: bytes, fmt: str) -> bool:
+    """Whether a file's bytes cannot be read to their end."""
+    try:
+        if name.endswith(".gz"):
+            data = gzip.decompress(data)
+        if fmt == "parquet":
+            for _ in pq.ParquetFile(pa.BufferReader(data)).iter_batches():
+                pass
+        elif fmt == "orc":
+            orc.ORCFile(pa.BufferReader(data)).read()
+    except (pa.ArrowException, OSError, EOFError, zlib.error):
+        return True
+    return False
+
+
+def unreadable_files(spark: SparkSession, folder: str, glob: str, fmt: str = "parquet") -> DataFrame:
+    """(path): files below `folder` that break before their end, in Parquet, ORC or gzip-compressed text.
+
+    Every file is read whole in its task, as fits the many small files of this job.
+    """
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    # Both sides carry the file's own path; the scheme prefix differs between the two readers.
-    bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    every = listing.load(folder).select(bare(F.col("path")).alias("path"))
-    read = _small_files(spark, folder, glob, fmt, schema)
-    seen = read.select(bare(F.col("_metadata.file_path")).alias("path")).distinct()
-    return every.join(seen, "path", "left_anti")
+
+    def work(batches):
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            bad = [n for n, data in zip(names, batch.column(1)) if _breaks(n, data.as_buffer().to_pybytes(), fmt)]
+            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], names=["path"])
+
+    return listing.load(folder).select(_plain(F.col("path")).alias("path"), "content").mapInArrow(work, "path string")
 
 
 def write_matrix_csv(matrix: DataFrame, path: str, mode: str = "errorifexists") -> None:
