@@ -21,6 +21,8 @@ from tunegrain.operators import rowsums
 from tunegrain.runtime import materialize
 
 VALIDATION = -1
+# Sums of products that are brought to the driver for all batches together, at most.
+MOMENT_VALUES = 4_000_000
 
 
 def batch_table(
@@ -92,14 +94,23 @@ class SGDRegressor(Estimator, _Columns):
         names = (self.getFeaturesCol(), self.getLabelCol(), self.getPredictionCol())
         table = batch_table(dataset, names[0], names[1], self.key, batches, 0.0, self.seed)
         width = len(table.select("x").first()["x"])
+        # A batch's gradient is linear in the weights: with its sums of products at hand no step reads rows.
+        small = batches * (width + 2) ** 2 <= MOMENT_VALUES
+        moments = self._moments(table, batches, width) if small else None
         weights, intercept = np.zeros(width), 0.0
         for t in range(1, self.steps + 1):
+            number = (t - 1) % batches
 
             def gradient(x: np.ndarray, y: np.ndarray, w=weights, b=intercept) -> np.ndarray:
                 error = x @ w + b - y
                 return np.concatenate([[len(y), error.sum()], x.T @ error])
 
-            sums = rowsums.total(_batch(table, (t - 1) % batches).select("x", "y"), gradient, scan=True)
+            if moments is None:
+                sums = rowsums.total(_batch(table, number).select("x", "y"), gradient, scan=True)
+            else:
+                own = moments[number]
+                error = own @ np.concatenate([weights, [intercept, -1.0]])
+                sums = np.concatenate([[own[-2, -2], error[-2]], error[:-2]]) if own[-2, -2] else None
             if sums is None:  # a tiny table may leave a batch empty
                 continue
             rate = self.step / np.sqrt(t) if self.decay else self.step
@@ -109,6 +120,19 @@ class SGDRegressor(Estimator, _Columns):
                 intercept -= rate * sums[1] / sums[0]
         return LinearModel(weights, float(intercept), names)
 
+    @staticmethod
+    def _moments(table: DataFrame, batches: int, width: int) -> np.ndarray:
+        """For each batch the sums of products of (features, 1, label) with each other, from one pass."""
+        def products(x: np.ndarray, y: np.ndarray, batch: np.ndarray) -> np.ndarray:
+            rows = np.column_stack([x, np.ones(len(y)), y])
+            out = np.zeros((batches, width + 2, width + 2))
+            for number in np.unique(batch):
+                own = rows[batch == number]
+                out[int(number)] = own.T @ own
+            return out.ravel()
+
+        return rowsums.total(table.select("x", "y", "batch"), products).reshape(batches, width + 2, width + 2)
+
 
 def _unpack(flat: np.ndarray, layers: Sequence[int]) -> list[tuple[np.ndarray, np.ndarray]]:
     out, at = [], 0
