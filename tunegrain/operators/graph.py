@@ -8,7 +8,7 @@ from functools import reduce
 from operator import and_
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tunegrain.operators.ranking import with_rank
@@ -135,10 +135,10 @@ def search(
                 if waiting.isEmpty():
                     break
             frontier = frontier.join(waiting.select("source").distinct(), "source", "left_semi")
-        level = Observation()
-        fresh = _advance(frontier, edges, visited).observe(level, F.count(F.lit(1)).alias("rows"))
-        fresh.write.parquet(f"{path}/dist={depth + 1}", mode="overwrite")
-        if not level.get["rows"]:
+        _advance(frontier, edges, visited).write.parquet(f"{path}/dist={depth + 1}", mode="overwrite")
+        # The written level is asked rather than an Observation: a session that has had one can no
+        # longer ship binary logistic models, whose summary holds the session.
+        if levels().filter(F.col("dist") == depth + 1).isEmpty():
             break
         depth += 1
     return Search(levels().filter(F.col("dist") <= depth), depth, path)
