@@ -1,11 +1,11 @@
 """Removal of byte strings that start in an earlier document, by suffix arrays over shards.
 
 A string of 50 bytes is found wherever it stands by the anchor in it: the 16 bytes of least hash. Anchors
-are dealt by hash; those of several documents remain. Occurrences whose whole surroundings (all
-strings around that anchor) are equal to those in a smaller document are repeats as they stand. Of
-every different surrounding the smallest document's text is fetched; shards of them are
-suffix-sorted by induction, and neighbours in the array that agree in 50 bytes give the
-remaining repeats, byte for byte.
+are dealt by hash. Occurrences whose whole surroundings (all strings around that anchor) are
+equal to those in a smaller document are repeats as they stand. Other surroundings can only
+share a string if they agree in the half before or the half behind the anchor; of those the
+smallest document's text is fetched, shards of them are suffix-sorted by induction, and
+neighbours in the array that agree in 50 bytes give the remaining repeats, byte for byte.
 """
 
 from __future__ import annotations
@@ -23,8 +23,7 @@ from tunegrain.runtime import broadcast_within, materialize
 LENGTH = 50
 GRAM = 16
 BLOCK_ANCHORS = 600_000  # anchors that a task gathers before it deals them out
-BUCKET_BYTES = 4_000_000  # text bytes whose anchors share a bucket, about
-SHARD_PIECES = 15_000  # surroundings in a suffix array, about
+BUCKET_BYTES = 2_000_000  # text bytes whose anchors share a bucket and a suffix array, about
 SLICE = 400_000
 
 
@@ -37,8 +36,9 @@ def _slide(values: np.ndarray, width: int, best) -> np.ndarray:
     return best(values[: len(values) - (width - done)], values[width - done:]) if done < width else values
 
 
-def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, place, anchor hash and surroundings hash (48 bits each) of all anchors.
+def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """Of all anchors: text number, place, hash, and hashes of the anchor with half of what may stand before
+    it in a string, with half of what may stand behind it, and with all surroundings.
 
     Every `length` bytes of a text hold the anchor that has the least hash among its GRAM-byte
     strings; equal strings have the same anchor at the same place.
@@ -48,7 +48,7 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
     none = np.zeros(0, np.int64)
     width = length - GRAM + 1
     if len(joined) < length:
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        return (none, none, *[none.view(np.uint64)] * 4)
     gram = mix(np.arange(256, dtype=np.uint64))[joined]
     factor, span = np.uint64(0xD6E8FEB86659FD93), 1
     while span < GRAM:
@@ -69,12 +69,16 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
     at = np.flatnonzero(fits & (key == chosen))
     base = ends[at] - sizes[text[at]]
     start, stop = np.maximum(base, at - width + 1), np.minimum(ends[at], at + length)
-    around = RangeHashes(joined).of(start, stop) + (stop - at).astype(np.uint64) * np.uint64(1_000_003) + (at - start).astype(np.uint64)
-    mask = np.uint64((1 << 48) - 1)
-    return text[at], at - base, gram[at] & mask, mix(around) & mask
+    hashes, half = RangeHashes(joined), (width - 1) // 2
 
+    def of(a, b):
+        return mix(hashes.of(a, b) + (b - at).astype(np.uint64) * np.uint64(1_000_003) + (at - a).astype(np.uint64))
 
-_FIELDS = (("doc_id", "<i8"), ("tag", "<u2"), ("place", "<u4"), ("h1", "<u4"), ("h2", "<u2"), ("s1", "<u4"), ("s2", "<u2"))
+    before, behind = np.maximum(start, at - half), np.minimum(stop, at + GRAM + half)
+    return text[at], at - base, gram[at], of(before, at + GRAM), of(at, behind), of(start, stop)
+
+
+_FIELDS = (("doc_id", "<i8"), ("tag", "<u2"), ("place", "<u4"), ("before", "<u4"), ("behind", "<u4"), ("s1", "<u4"), ("s2", "<u2"))
 
 
 def _dealt(buckets: int, length: int):
@@ -88,16 +92,16 @@ def _dealt(buckets: int, length: int):
             order = np.argsort(bucket, kind="stable")
             edge = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             ends = np.append(edge[1:], len(order))
-            doc_id, tag, place, h, s = (c[order] for c in columns)
-            low = np.uint64(0xFFFF)
-            parts = (doc_id, tag, place, h >> np.uint64(16), h & low, s >> np.uint64(16), s & low)
+            doc_id, tag, place, _, before, behind, s = (c[order] for c in columns)
+            # halves only need to agree within a bucket, so 32 bits do; equal surroundings are told by 48
+            parts = (doc_id, tag, place, before >> np.uint64(32), behind >> np.uint64(32), s >> np.uint64(32), (s >> np.uint64(16)) & np.uint64(0xFFFF))
             parts = [p.astype(kind) for p, (_, kind) in zip(parts, _FIELDS)]
             rows = [b"".join(p[a:b].tobytes() for p in parts) for a, b in zip(edge.tolist(), ends.tolist())]
             return pa.RecordBatch.from_arrays([pa.array(bucket[order][edge].astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "anchors"])
 
         for part, texts in text_slices(batches, size=SLICE):
-            text, place, h, s = anchors([t.encode() for t in texts], length)
-            held.append((np.asarray(part.column("doc_id"))[text], np.asarray(part.column("tag"))[text], place, h, s))
+            text, *found = anchors([t.encode() for t in texts], length)
+            held.append((np.asarray(part.column("doc_id"))[text], np.asarray(part.column("tag"))[text], *found))
             waiting += len(text)
             if waiting >= BLOCK_ANCHORS:
                 yield deal()
@@ -117,28 +121,36 @@ def _read(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _alike(key: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    """Which rows share their key with a row of another document."""
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    at, of = np.flatnonzero(new), np.cumsum(new) - 1
+    ids = doc_id[order]
+    out = np.empty(len(key), bool)
+    out[order] = (np.minimum.reduceat(ids, at) < np.maximum.reduceat(ids, at))[of]
+    return out
+
+
 def _compare(table: pa.Table) -> pa.Table:
-    """Anchors of one bucket: places that repeat whole surroundings (anchor null), and the first place of each
-    surrounding that differs from others of its anchor."""
+    """Anchors of one bucket: places that repeat whole surroundings (shard null), and the first places of
+    surroundings that agree with others in a half."""
     columns = [np.concatenate(c) for c in zip(*(_read(x.as_buffer().to_pybytes()) for x in table.column("anchors").combine_chunks()))]
-    doc_id, tag, place = columns[0], columns[1], columns[2]
-    h = (columns[3].astype(np.uint64) << np.uint64(16)) | columns[4]
     s = (columns[5].astype(np.uint64) << np.uint64(16)) | columns[6]
-    order = np.lexsort((doc_id, s, h))
-    doc_id, tag, place, h, s = doc_id[order], tag[order], place[order], h[order], s[order]
-    new_h = np.concatenate([[True], h[1:] != h[:-1]])
-    new_s = new_h | np.concatenate([[True], s[1:] != s[:-1]])
-    at_h, at_s = np.flatnonzero(new_h), np.flatnonzero(new_s)
-    of_h, of_s = np.cumsum(new_h) - 1, np.cumsum(new_s) - 1
-    least = doc_id[at_s][of_s]  # rows are in doc_id order within a surrounding
-    low, high = np.minimum.reduceat(doc_id, at_h)[of_h], np.maximum.reduceat(doc_id, at_h)[of_h]
-    kinds = np.add.reduceat(new_s.astype(np.int64), at_h)[of_h]
-    repeat = doc_id > least
-    ask = ~repeat & (low < high) & (kinds > 1)
+    order = np.lexsort((columns[0], s))
+    doc_id, tag, place, before, behind = (c[order] for c in columns[:5])
+    s = s[order]
+    new = np.concatenate([[True], s[1:] != s[:-1]])
+    at, of = np.flatnonzero(new), np.cumsum(new) - 1
+    # rows of equal surroundings are in doc_id order
+    repeat = doc_id > doc_id[at][of]
+    alike = _alike(before[at], doc_id[at]) | _alike(behind[at], doc_id[at])
+    ask = ~repeat & alike[of]
     both = np.concatenate([np.flatnonzero(repeat), np.flatnonzero(ask)])
-    anchor = pa.array(h[both].astype(np.int64), mask=np.arange(len(both)) < int(repeat.sum()))
+    shard = np.full(len(both), table.column("bucket")[0].as_py(), np.int32)
     return pa.table({
-        "doc_id": doc_id[both].astype(np.int64), "tag": tag[both].astype(np.int32), "place": place[both].astype(np.int32), "anchor": anchor,
+        "doc_id": doc_id[both].astype(np.int64), "tag": tag[both].astype(np.int32), "place": place[both].astype(np.int32),
+        "shard": pa.array(shard, mask=np.arange(len(both)) < int(repeat.sum())),
     })
 
 
@@ -151,7 +163,7 @@ def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.join(broadcast_within(ids, keys.count()), "doc_id", "left_semi").join(keys, ["doc_id", "tag"])
 
 
-def _pieces(shards: int, length: int):
+def _pieces(length: int):
     around = length - GRAM
 
     def work(batches):
@@ -161,7 +173,7 @@ def _pieces(shards: int, length: int):
                 data = text.encode()
                 for a in asked:
                     start = max(0, a["place"] - around)
-                    out.append((a["anchor"] % shards, doc_id, tag, start, data[start: a["place"] + length]))
+                    out.append((a["shard"], doc_id, tag, start, data[start: a["place"] + length]))
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["shard", "doc_id", "tag", "start", "piece"]
@@ -193,16 +205,15 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     dealt = docs.select("doc_id", "tag", "text").mapInArrow(_dealt(buckets, length), "bucket int, anchors binary")
     found = materialize(
-        dealt.groupBy("bucket").applyInArrow(_compare, "doc_id long, tag int, place int, anchor long"), "anchors"
+        dealt.groupBy("bucket").applyInArrow(_compare, "doc_id long, tag int, place int, shard int"), "anchors"
     )
     around = length - GRAM
-    equal = found.filter("anchor is null").select("doc_id", "tag", (F.col("place") - around).alias("start"), (F.col("place") + length).alias("end"))
+    equal = found.filter("shard is null").select("doc_id", "tag", (F.col("place") - around).alias("start"), (F.col("place") + length).alias("end"))
 
-    different = found.filter("anchor is not null")
-    shards = max(1, -(-different.count() // SHARD_PIECES))
-    asked = materialize(different.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "anchor")).alias("asked")), "asked")
+    different = found.filter("shard is not null")
+    asked = materialize(different.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "shard")).alias("asked")), "asked")
     pieces = _texts(docs, asked).select("doc_id", "tag", "text", "asked").mapInArrow(
-        _pieces(shards, length), "shard int, doc_id long, tag int, start long, piece binary"
+        _pieces(length), "shard int, doc_id long, tag int, start long, piece binary"
     )
     sorted_ = pieces.groupBy("shard").applyInArrow(_sort_shard(length), "doc_id long, tag int, start long, end long")
     return equal.select("doc_id", "tag", F.col("start").cast("long"), F.col("end").cast("long")).unionByName(sorted_)
