@@ -212,3 +212,24 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # only repeated ids need a shuffle of texts
     repeated = not found.filter("kept").groupBy("doc_id").count().filter("count > 1").isEmpty()
     return left.dropDuplicates(["doc_id", "text"]) if repeated else left
+
+
+NEAR_DUPLICATES_SQL = r"""
+with recursive word as (
+  select row_number() over () as r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), shingle as materialized (
+  select distinct r, s from (select r, unnest(case
+    when len(w) >= 5 then list_transform(range(0, len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from word)
+), size as (select r, count(*) as n from shingle group by r),
+pair as (select a.r as a, b.r as b, count(*) as k from shingle a join shingle b on a.s = b.s and a.r < b.r group by 1, 2),
+link as materialized (
+  select a, b from pair join size x on x.r = a join size y on y.r = b where 100 * k >= 75 * (x.n + y.n - k)
+), arc as (select a, b from link union all select b, a from link),
+reach as (select r, r as t from word union select reach.r, arc.b from reach join arc on reach.t = arc.a),
+named as (select reach.r, min(word.doc_id) as component_id from reach join word on word.r = reach.t group by 1)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, coalesce(doc_id = component_id, false) as kept
+from word join named using (r) left join size using (r)
+"""

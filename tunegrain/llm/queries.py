@@ -77,6 +77,6 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op10_near_duplicates")
+@query("op10_near_duplicates", near_duplicates.NEAR_DUPLICATES_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, folder, "documents"))
