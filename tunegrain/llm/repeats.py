@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,8 +134,8 @@ def _alike(key: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """Anchors of one bucket: places that repeat whole surroundings (shard null), and the first places of
-    surroundings that agree with others in a half."""
+    """Anchors of one bucket: places that repeat whole surroundings, and the first places of surroundings that
+    agree with others in a half (`ask`)."""
     columns = [np.concatenate(c) for c in zip(*(_read(x.as_buffer().to_pybytes()) for x in table.column("anchors").combine_chunks()))]
     s = (columns[5].astype(np.uint64) << np.uint64(16)) | columns[6]
     order = np.lexsort((columns[0], s))
@@ -146,11 +147,9 @@ def _compare(table: pa.Table) -> pa.Table:
     repeat = doc_id > doc_id[at][of]
     alike = _alike(before[at], doc_id[at]) | _alike(behind[at], doc_id[at])
     ask = ~repeat & alike[of]
-    both = np.concatenate([np.flatnonzero(repeat), np.flatnonzero(ask)])
-    shard = np.full(len(both), table.column("bucket")[0].as_py(), np.int32)
+    told = np.flatnonzero(repeat | ask)
     return pa.table({
-        "doc_id": doc_id[both].astype(np.int64), "tag": tag[both].astype(np.int32), "place": place[both].astype(np.int32),
-        "shard": pa.array(shard, mask=np.arange(len(both)) < int(repeat.sum())),
+        "doc_id": doc_id[told].astype(np.int64), "tag": tag[told].astype(np.int32), "place": place[told].astype(np.int32), "ask": ask[told],
     })
 
 
@@ -163,7 +162,7 @@ def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.join(broadcast_within(ids, keys.count()), "doc_id", "left_semi").join(keys, ["doc_id", "tag"])
 
 
-def _pieces(length: int):
+def _pieces(shards: int, length: int):
     around = length - GRAM
 
     def work(batches):
@@ -171,10 +170,11 @@ def _pieces(length: int):
             out: list[tuple] = []
             for text, doc_id, tag, asked in zip(texts, part.column("doc_id").to_pylist(), part.column("tag").to_pylist(), part.column("asked").to_pylist()):
                 data = text.encode()
-                for a in asked:
-                    start = max(0, a["place"] - around)
-                    out.append((a["shard"], doc_id, tag, start, data[start: a["place"] + length]))
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+                for place in asked:
+                    start = max(0, place - around)
+                    shard = xxhash.xxh3_64_intdigest(data[place: place + GRAM]) % shards
+                    out.append((shard, doc_id, tag, start, data[start: place + length]))
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["shard", "doc_id", "tag", "start", "piece"]
             )
@@ -188,16 +188,17 @@ def _sort_shard(length: int):
         number, first, last = repeated_windows(table.column("piece").to_pylist(), doc_id, length)
         return pa.table({
             "doc_id": doc_id[number], "tag": table.column("tag").to_numpy()[number],
-            "start": start[number] + first, "end": start[number] + last + length,
+            "start": (start[number] + first).astype(np.int32), "end": (start[number] + last + length).astype(np.int32),
         })
 
     return work
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, tag, start, end: byte ranges of `docs` (doc_id, tag, text) that repeat strings of smaller documents.
+    """What repeats strings of smaller documents in `docs` (doc_id, tag, text), as rows of two kinds.
 
-    Ranges of a document may overlap, reach before its start or behind its end.
+    doc_id, tag and place: everything around an anchor there, that is the bytes from place - length + GRAM to
+    place + length as far as the text goes. Or doc_id, tag, start and end: these bytes. Ranges may overlap.
     """
     if length < 2 * GRAM:
         raise ValueError(f"strings need at least {2 * GRAM} bytes")
@@ -205,43 +206,50 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     dealt = docs.select("doc_id", "tag", "text").mapInArrow(_dealt(buckets, length), "bucket int, anchors binary")
     found = materialize(
-        dealt.groupBy("bucket").applyInArrow(_compare, "doc_id long, tag int, place int, shard int"), "anchors"
+        dealt.groupBy("bucket").applyInArrow(_compare, "doc_id long, tag int, place int, ask boolean"), "anchors"
     )
-    around = length - GRAM
-    equal = found.filter("shard is null").select("doc_id", "tag", (F.col("place") - around).alias("start"), (F.col("place") + length).alias("end"))
-
-    different = found.filter("shard is not null")
-    asked = materialize(different.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "shard")).alias("asked")), "asked")
+    equal = found.filter("not ask").select("doc_id", "tag", "place")
+    asked = materialize(found.filter("ask").groupBy("doc_id", "tag").agg(F.collect_list("place").alias("asked")), "asked")
     pieces = _texts(docs, asked).select("doc_id", "tag", "text", "asked").mapInArrow(
-        _pieces(length), "shard int, doc_id long, tag int, start long, piece binary"
+        _pieces(buckets, length), "shard int, doc_id long, tag int, start int, piece binary"
+    )
+    sorted_ = pieces.groupBy("shard").applyInArrow(_sort_shard(length), "doc_id long, tag int, start int, end int")
+    return equal.unionByName(sorted_, allowMissingColumns=True)
+
+
+def _removal(length: int):
+    def work(batches):
+        for part, texts in text_slices(batches):
+            yield _remove(part, texts, length)
+
+    return work
+
+
+def _remove(part: pa.RecordBatch, texts: list[str], length: int) -> pa.RecordBatch:
+    counts = np.zeros((3, len(texts)), np.int64)
+    kept = []
+    places, ranges = part.column("places").to_pylist(), part.column("ranges").to_pylist()
+    for i, text in enumerate(texts):
+        data = text.encode()
+        counts[0, i] = len(data)
+        if places[i] or ranges[i]:
+            anchor = np.array(places[i] or [], np.int64)
+            # ranges come as start and end in turn
+            pairs = np.concatenate([
+                np.stack([anchor - length + GRAM, anchor + length], 1), np.array(ranges[i] or [], np.int64).reshape(-1, 2)
+            ])
+            pairs = np.clip(pairs[np.argsort(pairs[:, 0], kind="stable")], 0, len(data))
+            reach = np.maximum.accumulate(pairs[:, 1])
+            new = np.concatenate([[True], pairs[1:, 0] > reach[:-1]])
+            first = np.flatnonzero(new)
+            starts, ends = pairs[first, 0], reach[np.append(first[1:], len(pairs)) - 1]
+            counts[1, i], counts[2, i] = (ends - starts).sum(), len(first)
+            data = b"".join(data[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(data)]))
+        kept.append(data)
+    return pa.RecordBatch.from_arrays(
+        [part.column("doc_id"), *(pa.array(c) for c in counts), pa.array(kept, pa.binary())],
+        names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
     )
-    sorted_ = pieces.groupBy("shard").applyInArrow(_sort_shard(length), "doc_id long, tag int, start long, end long")
-    return equal.select("doc_id", "tag", F.col("start").cast("long"), F.col("end").cast("long")).unionByName(sorted_)
-
-
-def _remove(batches):
-    for part, texts in text_slices(batches):
-        counts = np.zeros((3, len(texts)), np.int64)
-        kept = []
-        spans = part.column("spans").to_pylist()
-        for i, text in enumerate(texts):
-            data = text.encode()
-            counts[0, i] = len(data)
-            if spans[i]:
-                # ranges come as start and end in turn
-                pairs = np.array(spans[i], np.int64).reshape(-1, 2)
-                pairs = np.clip(pairs[np.argsort(pairs[:, 0], kind="stable")], 0, len(data))
-                reach = np.maximum.accumulate(pairs[:, 1])
-                new = np.concatenate([[True], pairs[1:, 0] > reach[:-1]])
-                first = np.flatnonzero(new)
-                starts, ends = pairs[first, 0], reach[np.append(first[1:], len(pairs)) - 1]
-                counts[1, i], counts[2, i] = (ends - starts).sum(), len(first)
-                data = b"".join(data[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(data)]))
-            kept.append(data)
-        yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), *(pa.array(c) for c in counts), pa.array(kept, pa.binary())],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
-        )
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -257,11 +265,39 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     placed = rows.filter("doc_id is not null")
     found = find_repeats(placed, length)
     spans = materialize(
-        found.groupBy("doc_id", "tag").agg(F.flatten(F.collect_set(F.array("start", "end"))).alias("spans")), "spans"
+        found.groupBy("doc_id", "tag").agg(
+            F.collect_list("place").alias("places"), F.flatten(F.collect_list(F.when(F.col("end").isNotNull(), F.array("start", "end")))).alias("ranges")
+        ), "spans"
     )
     ids = broadcast_within(spans.select("doc_id").distinct(), spans.count())
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     hit = rows.join(ids, "doc_id", "left_semi").join(spans, ["doc_id", "tag"], "left")
-    clean = rows.join(ids, "doc_id", "left_anti").withColumn("spans", F.lit(None).cast("array<bigint>"))
-    columns = ("doc_id", "text", "spans")
-    return hit.select(*columns).mapInArrow(_remove, schema).unionByName(clean.select(*columns).mapInArrow(_remove, schema))
+    clean = rows.join(ids, "doc_id", "left_anti").withColumns({c: F.lit(None).cast("array<int>") for c in ("places", "ranges")})
+    columns = ("doc_id", "text", "places", "ranges")
+    work = _removal(length)
+    return hit.select(*columns).mapInArrow(work, schema).unionByName(clean.select(*columns).mapInArrow(work, schema))
+
+
+# Bytes as pairs of hexadecimal digits: 50 bytes are 100 of them.
+REPEATS_SQL = """
+with doc as (
+  select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), place as (
+  select r, doc_id, unnest(range(0, greatest(0, len(h) // 2 - 49))) as p, h from doc where doc_id is not null
+), part as materialized (select r, doc_id, p, substr(h, 2 * p + 1, 100) as s from place),
+origin as (select s, min(doc_id) as least from part group by s),
+again as (select r, p from part join origin using (s) where least < doc_id),
+marked as (select r, p, case when p <= lag(p) over (partition by r order by p) + 50 then 0 else 1 end as new from again),
+numbered as (select r, p, sum(new) over (partition by r order by p) as g from marked),
+span as (select r, min(p) as a, max(p) + 50 as b from numbered group by r, g),
+gap as (
+  select r, a as nth, coalesce(lag(b) over (partition by r order by a), 0) as a, a as b from span
+  union all select r, 9223372036854775807, max(b), null from span group by r
+), kept as (
+  select r, string_agg(case when b is null then substr(h, 2 * a + 1) else substr(h, 2 * a + 1, 2 * (b - a)) end, '' order by nth) as k
+  from gap join doc using (r) group by r
+), total as (select r, sum(b - a) as n_removed, count(*) as n_spans from span group by r)
+select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(coalesce(k, h))) as kept_sha256
+from doc left join total using (r) left join kept using (r)
+"""
