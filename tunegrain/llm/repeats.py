@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tunegrain.llm.encode import text_slices
 from tunegrain.llm.fingerprints import mix
 from tunegrain.llm.suffixes import RangeHashes, repeated_windows
-from tunegrain.runtime import broadcast_within, materialize
+from tunegrain.runtime import BROADCAST_ROWS, broadcast_within, materialize
 
 LENGTH = 50
 GRAM = 16
@@ -156,10 +156,17 @@ def _compare(table: pa.Table) -> pa.Table:
 def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of `docs` (doc_id, tag, text) joined with `keys`, which has one row for each (doc_id, tag).
 
-    Texts without a key are filtered out before the shuffle while the keys' ids are few enough to be broadcast.
+    While the keys' ids are few enough to be broadcast, texts without one are filtered out before the shuffle.
     """
-    ids = keys.select("doc_id").distinct()
-    return docs.join(broadcast_within(ids, keys.count()), "doc_id", "left_semi").join(keys, ["doc_id", "tag"])
+    few = _few(keys)
+    wanted = docs if few is None else docs.join(few, "doc_id", "left_semi")
+    return wanted.join(keys, ["doc_id", "tag"])
+
+
+def _few(keys: DataFrame) -> DataFrame | None:
+    """The ids of `keys` for a broadcast, None if they are too many; a filter that shuffles texts would save nothing."""
+    count = keys.count()
+    return broadcast_within(keys.select("doc_id").distinct(), count) if count <= BROADCAST_ROWS else None
 
 
 def _pieces(shards: int, length: int):
@@ -269,13 +276,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             F.collect_list("place").alias("places"), F.flatten(F.collect_list(F.when(F.col("end").isNotNull(), F.array("start", "end")))).alias("ranges")
         ), "spans"
     )
-    ids = broadcast_within(spans.select("doc_id").distinct(), spans.count())
+    ids = _few(spans)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    hit = rows.join(ids, "doc_id", "left_semi").join(spans, ["doc_id", "tag"], "left")
-    clean = rows.join(ids, "doc_id", "left_anti").withColumns({c: F.lit(None).cast("array<int>") for c in ("places", "ranges")})
+    hit = (rows if ids is None else rows.join(ids, "doc_id", "left_semi")).join(spans, ["doc_id", "tag"], "left")
     columns = ("doc_id", "text", "places", "ranges")
-    work = _removal(length)
-    return hit.select(*columns).mapInArrow(work, schema).unionByName(clean.select(*columns).mapInArrow(work, schema))
+    out = hit.select(*columns).mapInArrow(_removal(length), schema)
+    if ids is None:
+        return out
+    clean = rows.join(ids, "doc_id", "left_anti").withColumns({c: F.lit(None).cast("array<int>") for c in ("places", "ranges")})
+    return out.unionByName(clean.select(*columns).mapInArrow(_removal(length), schema))
 
 
 # Bytes as pairs of hexadecimal digits: 50 bytes are 100 of them.
