@@ -99,6 +99,22 @@ def test_grammar_round_trip_and_random_access(letters):
     assert (grammar.expand(symbols, left, right) == ids).all() and len(grammar.re_pair(ids[:0])[0]) == 0
 
 
+def test_grammar_leaves_no_pair_that_pays():
+    rng = np.random.default_rng(2)
+    copies = np.tile(rng.integers(0, 40_000, 300), 2000)
+    rare = rng.permutation(np.repeat(rng.integers(40_000, 60_000, (300, 2)), 6, axis=0)).ravel()
+    for ids in (copies, rare, np.zeros(70_000, int), rng.integers(0, 50, 30_000)):
+        symbols, left, right = grammar.re_pair(ids.astype(np.uint32))
+        assert (grammar.expand(symbols, left, right) == ids).all()
+        count, last = {}, {}
+        for i, pair in enumerate(zip(symbols.tolist(), symbols[1:].tolist())):
+            if last.get(pair, -2) < i - 1:  # occurrences that overlap count once
+                count[pair], last[pair] = count.get(pair, 0) + 1, i
+        assert max(count.values(), default=0) < grammar.LEAST_USES
+    assert len(grammar.re_pair(copies.astype(np.uint32))[0]) < 20
+    assert len(grammar.re_pair(rare.astype(np.uint32))[0]) <= len(rare) / 2
+
+
 def test_fingerprints(spark, folder, texts):
     rows = {r.doc_id: r for r in queries.op1(spark, folder).collect()}
     ids = sorted(texts, reverse=True)

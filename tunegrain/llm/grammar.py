@@ -23,87 +23,112 @@ from tunegrain.runtime import broadcast_within, new_folder
 
 MAGIC = b"TGRP0001"
 FIRST_RULE = 1 << 16
-BLOCK_IDS = 1 << 19
-# Pairs that occur less often than this are left alone.
-LEAST_COUNT = 24
-# and a pair becomes a rule from so many replacements on.
+BLOCK_IDS = 1 << 20
+# A rule takes three numbers in the block and each use saves one, so it pays from this many uses on.
 LEAST_USES = 4
-ROUNDS = 3
 
 
-def re_pair(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_COUNT):
+def re_pair(ids: np.ndarray, rounds: int | None = None, least: int = LEAST_USES):
     """Symbols and rules (left, right) that expand to `ids`.
 
-    A round counts all adjacent pairs by a hash and makes the pairs of frequent slots rules; where
-    occurrences overlap, the one of the more frequent slot wins, and the left one on ties.
+    A round counts all adjacent pairs without overlaps and replaces those that occur `least` times; where
+    occurrences of two pairs overlap, the one of the more frequent pair wins. Rounds go on until no pair occurs so
+    often, or to the number of `rounds`. The most frequent pair wins everywhere, so each round makes a rule.
     """
     symbols = ids.astype(np.uint32)
     left, right = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
-    rules = 0
-    bits = min(20, max(8, len(symbols).bit_length()))
-    for _ in range(rounds):
-        if len(symbols) < 2 * least:
+    rules = done = 0
+    # Pairs that start here may still occur often enough. Counts of known pairs only fall, so a pair that is too rare
+    # stays out, and only pairs with a new symbol come in.
+    live = np.ones(len(symbols), bool)
+    live[-1:] = False
+    while rounds is None or done < rounds:
+        at = np.flatnonzero(live)
+        if len(at) < least:
             break
-        a, b = symbols[:-1], symbols[1:]
-        slot = (((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - bits)).astype(np.int64)
-        count = np.bincount(slot, minlength=1 << bits).astype(np.int32)[slot]
-        wins = count >= least
-        wins[:-1] &= count[:-1] >= count[1:]
-        wins[1:] &= (count[1:] > count[:-1]) | (slot[1:] == slot[:-1])
-        # in a run of one slot every second occurrence
-        place = np.arange(len(slot))
-        first = np.ones(len(slot), bool)
-        first[1:] = slot[1:] != slot[:-1]
-        wins &= (place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0
-        at = np.flatnonzero(wins)
-        pairs = (a[at].astype(np.uint64) << np.uint64(32)) | b[at]
-        found, rule, often = np.unique(pairs, return_inverse=True, return_counts=True)
-        good = often >= LEAST_USES
-        if not good.any():
+        # a slot holds all occurrences of its pairs, so those of rare slots need no exact count
+        a, b = symbols[at], symbols[at + 1]
+        bits = min(20, max(8, len(at).bit_length()))
+        slot = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - bits)
+        often = np.bincount(slot, minlength=1 << bits)[slot] >= least
+        live[at[~often]] = False
+        at = at[often]
+        pairs = (a[often].astype(np.uint64) << np.uint64(32)) | b[often]
+        found, of = np.unique(pairs, return_inverse=True)
+        # in a run of one pair every second occurrence
+        touch = at[1:] == at[:-1] + 1
+        place = np.arange(len(at))
+        first = np.ones(len(at), bool)
+        first[1:] = ~touch | (of[1:] != of[:-1])
+        own = (place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0
+        count = np.bincount(of[own], minlength=len(found))
+        pays = count >= least
+        if not pays.any():
             break
-        at, rule = at[good[rule]], (np.cumsum(good) - 1)[rule[good[rule]]]
-        found = found[good]
-        left.append((found >> np.uint64(32)).astype(np.uint32))
-        right.append((found & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        live[at[~pays[of]]] = False
+        rank = np.empty(len(found), np.int64)
+        rank[np.argsort(count, kind="stable")] = np.arange(len(found))
+        rank = rank[of]
+        own &= pays[of]
+        own[:-1] &= ~touch | (rank[:-1] >= rank[1:])
+        own[1:] &= ~touch | (rank[1:] >= rank[:-1])
+        good = np.bincount(of[own], minlength=len(found)) >= least
+        own &= good[of]
+        at, rule = at[own], (np.cumsum(good) - 1)[of[own]]
+        left.append((found[good] >> np.uint64(32)).astype(np.uint32))
+        right.append((found[good] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         symbols[at] = (FIRST_RULE + rules + rule).astype(np.uint32)
-        rules += len(found)
+        rules += int(good.sum())
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        symbols = symbols[keep]
+        symbols, live = symbols[keep], live[keep]
+        new = at - np.arange(len(at))
+        live[new] = live[np.maximum(new - 1, 0)] = True
+        live[-1] = False
+        done += 1
     return symbols, np.concatenate(left), np.concatenate(right)
 
 
+def _levels(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """1 for rules of two terminals, else one more than the higher side."""
+    level = np.zeros(FIRST_RULE + len(left), np.int64)
+    while True:
+        new = np.maximum(level[left], level[right]) + 1
+        if np.array_equal(new, level[FIRST_RULE:]):
+            return new
+        level[FIRST_RULE:] = new
+
+
 def expansion_lengths(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Ids below each rule; a rule's sides are earlier rules or terminals."""
-    sizes = np.ones(len(left), np.int64)
+    sizes = np.ones(FIRST_RULE + len(left), np.int64)
     while True:
-        def size(side):
-            return np.where(side < FIRST_RULE, 1, sizes[np.maximum(side.astype(np.int64) - FIRST_RULE, 0)]) if len(sizes) else side
-
-        new = size(left) + size(right)
-        if np.array_equal(new, sizes):
-            return sizes
-        sizes = new
+        new = sizes[left] + sizes[right]
+        if np.array_equal(new, sizes[FIRST_RULE:]):
+            return new
+        sizes[FIRST_RULE:] = new
 
 
 def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The ids below `symbols`: rules are written out once, then every symbol is looked up."""
-    rules = np.arange(FIRST_RULE, FIRST_RULE + len(left), dtype=np.uint32)
-    below = rules
-    while len(below) and (rule := below >= FIRST_RULE).any():
-        at = below[rule].astype(np.int64) - FIRST_RULE
-        place = np.arange(len(below)) + np.cumsum(rule) - rule
-        out = np.empty(len(below) + len(at), np.uint32)
-        out[place] = below
-        out[place[rule]] = left[at]
-        out[place[rule] + 1] = right[at]
-        below = out
+    """The ids below `symbols`: rules are written out once, sides first, then every symbol is looked up."""
     sizes = np.concatenate([np.ones(FIRST_RULE, np.int64), expansion_lengths(left, right)])
-    flat = np.concatenate([np.arange(FIRST_RULE, dtype=np.uint32), below])
     starts = np.cumsum(sizes) - sizes
-    width = sizes[symbols]
-    shift = np.repeat(starts[symbols] - (np.cumsum(width) - width), width)
-    return flat[shift + np.arange(len(shift))]
+    flat = np.arange(int(sizes.sum()), dtype=np.uint32)
+
+    def gather(wanted):
+        width = sizes[wanted]
+        shift = np.repeat(starts[wanted] - (np.cumsum(width) - width), width)
+        return flat[shift + np.arange(len(shift))]
+
+    level = _levels(left, right)
+    order = np.argsort(level, kind="stable")
+    edges = np.searchsorted(level[order], np.arange(int(level.max(initial=0)) + 2))
+    for a, b in zip(edges[1:-1].tolist(), edges[2:].tolist()):
+        rule = order[a:b]
+        width = sizes[FIRST_RULE + rule]
+        shift = np.repeat(starts[FIRST_RULE + rule] - (np.cumsum(width) - width), width)
+        flat[shift + np.arange(len(shift))] = gather(np.stack([left[rule], right[rule]], 1).ravel())
+    return gather(symbols)
 
 
 def write_block(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
