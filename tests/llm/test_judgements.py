@@ -223,6 +223,15 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
+def test_dropped_texts_of_repeated_ids(spark):
+    clean, near = (" ".join(f"{c}{i}" for i in range(60)) for c in "an")
+    rows = [(3, near), (7, clean), (7, near + " end"), (9, clean + " more"), (2, "x y z " * 9), (2, "X y z " * 9), (2, "x y  z " * 9), (8, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = near_duplicates.drop_near_duplicates(df).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id not in (2, 8)) == [(3, near), (7, clean)]
+    assert sorted(r.doc_id for r in kept) == [2, 3, 7, 8, 8]
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 3), (5, 6), (6, 5), (7, 7)] + [(100 + i, 101 + i) for i in range(40)]
     rows = components.components(spark.createDataFrame(links, "a long, b long")).collect()

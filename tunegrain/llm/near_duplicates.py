@@ -42,14 +42,14 @@ def _signatures(docs: DataFrame) -> DataFrame:
             sets = shingler.sets(texts)
             keys = [_key(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
+                [part.column("doc_id"), part.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
                  pa.array([k[1] for k in keys], pa.int64()), pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "k1", "k2", "sketch"],
+                names=["doc_id", "text_hash", "n_shingles", "k1", "k2", "sketch"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        work, f"doc_id {kind}, n_shingles long, k1 long, k2 long, sketch array<bigint>"
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        work, f"doc_id {kind}, text_hash long, n_shingles long, k1 long, k2 long, sketch array<bigint>"
     )
 
 
@@ -142,18 +142,13 @@ def _labelled(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]
     return found, materialize(known.join(split, "value"), "lists")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row.
-
-    Two texts are linked if 100 * common >= percent * union of their distinct 5-word shingles.
-    Null and empty texts have no shingles and no links. A row without a doc_id takes part, but names no
-    component, unless the component has no other name. Rows with the same doc_id are judged by their texts.
-    """
+def _judged(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id of every row, and the text_hash of its component's first row (`stands`)."""
     rows = materialize(_signatures(docs).withColumn("row", F.monotonically_increasing_id()), "signatures")
     some = rows.filter("n_shingles > 0")
     members = some.groupBy("k1", "k2").agg(
         F.min("row").alias("node"), F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"),
-        F.count("*").alias("copies"),
+        F.count("*").alias("copies"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("stands"),
     )
     classes = materialize(members, "classes")
 
@@ -191,24 +186,39 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
     label = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    label = materialize(label.select("k1", "k2", "component", "first"), "labels")
-    names = label.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = label.join(names, "component").select("k1", "k2", "component_id")
+    label = materialize(label.select("k1", "k2", "component", "first", "stands"), "labels")
+    names = label.groupBy("component").agg(F.min("first").alias("component_id"), F.min("stands")["text_hash"].alias("stands"))
+    named = label.drop("stands").join(names, "component").select("k1", "k2", "component_id", "stands")
     return (
-        rows.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
+        rows.select("doc_id", "text_hash", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
         .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-        .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+        .select("doc_id", "text_hash", "n_shingles", "component_id", "stands")
+    )
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row.
+
+    Two texts are linked if 100 * common >= percent * union of their distinct 5-word shingles.
+    Null and empty texts have no shingles and no links. A row without a doc_id takes part, but names no
+    component, unless the component has no other name. Rows with the same doc_id are judged by their texts.
+    """
+    return _judged(docs, percent).select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
     )
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of `docs`, with all columns, that stand for their group; equal rows become one.
 
-    Rows without a doc_id stay.
+    A group's smallest doc_id stays, with one text if several of the group have that doc_id. Rows with the same doc_id
+    are judged by their texts. Rows without a doc_id stay.
     """
-    found = materialize(near_duplicates(docs, percent).select("doc_id", "kept"), "kept")
-    gone = found.filter("not kept").select("doc_id").dropna().distinct()
-    left = docs.join(broadcast_within(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    stands = (F.col("n_shingles") == 0) | ((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("stands")))
+    found = materialize(_judged(docs, percent).dropna(subset=["doc_id"]).select("doc_id", "text_hash", stands.alias("kept")), "kept")
+    gone = found.filter("not kept").select("doc_id", "text_hash").distinct()
+    gone = broadcast_within(gone, gone.count()).toDF("_gone", "_hash")
+    left = docs.join(gone, (docs["doc_id"] == F.col("_gone")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
     # only repeated ids need a shuffle of texts
     repeated = not found.filter("kept").groupBy("doc_id").count().filter("count > 1").isEmpty()
     return left.dropDuplicates(["doc_id", "text"]) if repeated else left
