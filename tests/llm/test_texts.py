@@ -59,6 +59,15 @@ def test_packing_meets_in_fewer_groups(spark, odd, empty):
     assert packing.pack_documents(odd).count() == len(ODD) and packing.pack_documents(empty).count() == 0
 
 
+def test_packing_groups_stay_small(spark):
+    """Pieces of more than half a sequence with much room: nothing can be exchanged, and no task gets all of them."""
+    sizes = random.Random(2)
+    pieces = spark.createDataFrame([(i, sizes.randint(33, 61)) for i in range(800)], "doc_id long, length long")
+    rows = packing.pack_pieces(pieces, 64, 100).toPandas()
+    assert len(rows) == rows.sequence_id.nunique() == 800
+    assert rows.groupby(rows.sequence_id // 2**28).size().max() <= 200
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     for _ in range(60):

@@ -3,7 +3,7 @@
 Every partition of the pieces is packed by best-fit decreasing and compared with a lower bound
 on its sequences. Sequences with room, and all sequences with any room where the bound was
 missed, give their pieces back; those are dealt into fewer partitions and packed again, until
-one partition holds what is left.
+one partition holds what is left. After a round without progress sequences with room stay where the bound is met.
 """
 
 from __future__ import annotations
@@ -102,7 +102,7 @@ def lower_bound(histogram: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _pack_group(capacity: int, turn: int, last: bool):
+def _pack_group(capacity: int, turn: int, last: bool, settle: bool = False):
     loose = capacity // 32
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
@@ -111,7 +111,7 @@ def _pack_group(capacity: int, turn: int, last: bool):
         used = int(bins.max()) + 1
         room = capacity - np.bincount(bins, lengths, used).astype(np.int64)
         gap = used - lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        free = np.zeros(used, bool) if last else room > (0 if gap else loose)
+        free = np.zeros(used, bool) if last or settle and not gap else room > (0 if gap else loose)
         group = int(part["pack"].iloc[0])
         return pd.DataFrame({
             "row": part["row"], "length": part["length"], "sequence_id": (turn << 56) + (group << 28) + bins,
@@ -128,7 +128,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = G
     holds about `group_rows` lengths. No piece is dropped; an empty table gives an empty table.
     """
     stored = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
-    open_, placed, turn = stored.select("row", "length"), None, 0
+    open_, placed, turn, settle = stored.select("row", "length"), None, 0, False
     left = open_.count()
     while True:
         groups = max(1, -(-left // group_rows))
@@ -136,7 +136,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = G
         dealt = open_.withColumn("pack", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(groups)))
         done = materialize(
             dealt.groupBy("pack").applyInPandas(
-                _pack_group(capacity, turn, last), "row long, length long, sequence_id long, offset long, free boolean"
+                _pack_group(capacity, turn, last, settle), "row long, length long, sequence_id long, offset long, free boolean"
             ), "packed",
         )
         kept = done.filter(~F.col("free")).select("row", "sequence_id", "offset")
@@ -145,8 +145,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = G
             break
         open_ = done.filter("free").select("row", "length")
         before, left, turn = left, open_.count(), turn + 1
-        if left == before:  # nothing certified: packing alone again would not help, so meet in larger groups
-            group_rows *= 4
+        # no sequence was filled: partitions that met their bound are done, others are dealt anew
+        settle = left == before
     return stored.join(placed, "row").drop("row")
 
 
