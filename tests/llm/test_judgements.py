@@ -77,6 +77,12 @@ def test_labels_of_the_held_out_fold_are_not_read(spark, texts):
     assert toxicity.train(docs, labels) == toxicity.train(docs, turned)
 
 
+def test_passages_beside_a_dotted_capital():
+    text = "İstanbul is far. vile vile vile. DİYAR"
+    (found,) = toxicity.Scorer(toxicity.ToxicityModel({"vile": 6.0}, 1.0, 1.0, 1.0, 0.0)).score([text])[1]
+    assert [text[p["start"]: p["end"]] for p in found] == ["vile vile vile"]
+
+
 # --- language
 
 

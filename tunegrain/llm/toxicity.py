@@ -56,14 +56,14 @@ class ToxicityModel:
 
 
 class WordScores(dict):
-    """Word -> its score, the highest of its known features less the drift."""
+    """Word, in any case -> its score, the highest of its known features less the drift."""
 
     def __init__(self, weights: dict[str, float]):
         super().__init__()
         self._weights = weights
 
     def __missing__(self, word: str) -> float:
-        known = [self._weights[f] for f in features(word) if f in self._weights]
+        known = [self._weights[f] for f in features(word.lower()) if f in self._weights]
         value = self[word] = (max(known) if known else 0.0) - DRIFT
         return value
 
@@ -143,8 +143,8 @@ def _count(batches):
     for part, texts in text_slices(batches):
         for text, y in zip(texts, part.column("_y").to_pylist()):
             found = set()
-            for word in set(WORD.findall(text.lower())):
-                found.update(features(word))
+            for word in set(WORD.findall(text)):
+                found.update(features(word.lower()))
             seen[int(y == 1)].update(found)
         if len(seen[0]) + len(seen[1]) > 300_000:
             yield flush()
@@ -223,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
         scores, found = WordScores(weights), Counter()
         for part, texts in text_slices(batches):
             for text, y in zip(texts, part.column("_y").to_pylist()):
-                words = np.fromiter(map(scores.__getitem__, WORD.findall(text.lower())), float)
+                words = np.fromiter(map(scores.__getitem__, WORD.findall(text)), float)
                 best = max((s[2] for s in maximal_segments(words)), default=0.0)
                 # two digits each: the number of different rows stays bounded
                 found["text", int(y == 1), float(f"{best:.2g}"), float(f"{len(words):.2g}")] += 1
@@ -264,8 +264,8 @@ class Scorer:
         best, count, passages = np.zeros(len(texts)), np.zeros(len(texts)), []
         for i, text in enumerate(texts):
             found = []
-            # lower-casing keeps word order; offsets are taken from the text itself
-            words = np.fromiter(map(self._scores.__getitem__, WORD.findall((text or "").lower())), float)
+            # words are found before they are lower-cased, which may split one ("İ" gets a mark of its own)
+            words = np.fromiter(map(self._scores.__getitem__, WORD.findall(text or "")), float)
             count[i] = len(words)
             if len(words) and words.max() > 0:
                 segments = maximal_segments(words)
@@ -273,7 +273,7 @@ class Scorer:
                 places = [m.span() for m in WORD.finditer(text)]
                 for first, end, score in segments:
                     expected = math.exp(-self._model.surprise(score, len(words)))
-                    if expected < SIGNIFICANT and len(places) == len(words):
+                    if expected < SIGNIFICANT:
                         found.append({"start": places[first][0], "end": places[end - 1][1], "expected": expected})
             passages.append(found)
         if len(self._scores) > KNOWN_WORDS:
