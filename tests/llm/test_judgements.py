@@ -117,6 +117,28 @@ def test_languages(spark, odd, empty):
     assert {r.lang_pred for r in language.identify(odd, none).collect()} == {"und"}
 
 
+def test_languages_of_short_texts(spark):
+    """Texts of one to three words only, of more languages than most models have."""
+    rng = random.Random(6)
+    stems = {f"l{i:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(4)] for i in range(70)}
+    rows = [(n * 70 + i, " ".join(rng.choice(stems[lang]) for _ in range(1 + n % 3)), lang) for n in range(12) for i, lang in enumerate(stems)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert model.languages == sorted(stems)
+    found = {r.doc_id: r.lang_pred for r in language.identify(docs, model).collect()}
+    assert sum(found[d] == lang for d, _, lang in rows) >= 0.9 * len(rows)
+
+
+def test_padding_does_not_count():
+    rng = np.random.default_rng(3)
+    scores, change, gold = rng.normal(size=(2, 6, 3)), rng.normal(size=(3, 3)), rng.integers(0, 3, (2, 6))
+    lengths = np.array([2, 6])
+    by_word, by_change = language._sequence_gradient(scores, change, gold, lengths)
+    parts = [language._sequence_gradient(scores[i: i + 1, :n], change, gold[i: i + 1, :n], np.array([n])) for i, n in enumerate(lengths)]
+    assert np.allclose(by_change, parts[0][1] + parts[1][1]) and not by_word[0, 2:].any()
+    assert all(np.allclose(by_word[i, :n], parts[i][0][0]) for i, n in enumerate(lengths))
+
+
 # --- secrets
 
 

@@ -18,14 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunegrain.llm.encode import text_slices
+from tunegrain.runtime import broadcast_within, materialize
 
-LANGUAGES = 64  # the most frequent ones are learned, at most so many
 SAMPLE_TEXTS = 1_000  # texts per language that are learned from, about
-WINDOW, WINDOWS = 32, 4  # words in a training sequence, sequences per text
+WINDOW, WINDOWS = 32, 4  # words in a training sequence, at most, and sequences per text
 SLOTS = 1 << 17  # hashed features
 NGRAMS = (1, 2, 3, 4)
 BLOCK = 64
+STATES = 1 << 23  # entries of transfer matrices in one call, about
 KNOWN_WORDS = 400_000
+DRAWS = 1_000_003
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -126,9 +128,10 @@ class LanguageModel:
     change: np.ndarray
 
 
-def _sequence_gradient(scores: np.ndarray, change: np.ndarray, gold: np.ndarray):
-    """Gradients of the log-likelihood of equally long label sequences, by words and by changes."""
+def _sequence_gradient(scores: np.ndarray, change: np.ndarray, gold: np.ndarray, lengths: np.ndarray):
+    """Gradients of the log-likelihood of label sequences, by words and by changes; what lies behind a sequence's length counts for nothing."""
     count, length, labels = scores.shape
+    filled = np.arange(length) < lengths[:, None]
     table = np.exp(change - change.max())
     weight = np.exp(scores - scores.max(2, keepdims=True))
     forward, backward = np.empty_like(weight), np.ones_like(weight)
@@ -139,19 +142,21 @@ def _sequence_gradient(scores: np.ndarray, change: np.ndarray, gold: np.ndarray)
         forward[:, t] = state / state.sum(1, keepdims=True)
     for t in range(length - 2, -1, -1):
         state = (backward[:, t + 1] * weight[:, t + 1]) @ table.T
-        backward[:, t] = state / state.sum(1, keepdims=True)
+        backward[:, t] = np.where(filled[:, t + 1, None], state / state.sum(1, keepdims=True), 1)
     word = forward * backward
     word /= word.sum(2, keepdims=True)
-    pair = forward[:, :-1, :, None] * table * (weight[:, 1:] * backward[:, 1:])[:, :, None, :]
-    pair /= pair.sum((2, 3), keepdims=True)
+    # expected changes, summed over all places without a table for each
+    both = filled[:, 1:]
+    before, behind = forward[:, :-1][both], (weight[:, 1:] * backward[:, 1:])[both]
+    pairs = table * ((before / (before @ table * behind).sum(1, keepdims=True)).T @ behind)
     truth = np.eye(labels)[gold]
     true_pairs = np.zeros((labels, labels))
-    np.add.at(true_pairs, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), 1)
-    return truth - word, true_pairs - pair.sum((0, 1))
+    np.add.at(true_pairs, (gold[:, :-1][both], gold[:, 1:][both]), 1)
+    return (truth - word) * filled[:, :, None], true_pairs - pairs
 
 
 def fit(sequences: list[tuple[str, list[str]]], epochs: int = 4, batch: int = 256, seed: int = 7) -> LanguageModel:
-    """Weights from equally long word sequences of one language each, a quarter of them spliced in pairs."""
+    """Weights from sequences of 1 to WINDOW words of one language each, a quarter of them spliced in pairs."""
     languages = sorted({language for language, _ in sequences})
     labels = len(languages)
     weights = np.zeros((SLOTS, labels), np.float32)
@@ -163,12 +168,18 @@ def fit(sequences: list[tuple[str, list[str]]], epochs: int = 4, batch: int = 25
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, words in sequences for w in words}))}
     slots, counts = word_features(list(vocabulary))
     starts = np.cumsum(counts) - counts
-    words = np.array([[vocabulary[w] for w in sequence] for _, sequence in sequences])
-    gold = np.repeat(np.array([of[language] for language, _ in sequences])[:, None], WINDOW, 1)
+    words, gold = np.zeros((2, len(sequences), WINDOW), np.int64)
+    lengths = np.array([len(sequence) for _, sequence in sequences])
+    for i, (language, sequence) in enumerate(sequences):
+        words[i, : lengths[i]], gold[i] = [vocabulary[w] for w in sequence], of[language]
     spliced = rng.permutation(len(words))[: len(words) // 4]
     other = rng.permutation(len(words))[: len(words) // 4]
-    cut = WINDOW // 2
-    words[spliced, cut:], gold[spliced, cut:] = words[other, cut:].copy(), gold[other, cut:].copy()
+    # the first half of one and the second half of another
+    plain, label, size = words.copy(), gold.copy(), lengths.copy()
+    for i, j in zip(spliced.tolist(), other.tolist()):
+        cut, behind = -(-size[i] // 2), size[j] // 2
+        lengths[i] = cut + size[j] - behind
+        words[i, cut: lengths[i]], gold[i, cut: lengths[i]] = plain[j, behind: size[j]], label[j, behind: size[j]]
     squares, change_squares = np.full((SLOTS, labels), 1e-6, np.float32), np.full((labels, labels), 1e-6)
     for epoch in range(epochs):
         for at in np.array_split(rng.permutation(len(words)), max(1, len(words) // batch)):
@@ -176,7 +187,7 @@ def fit(sequences: list[tuple[str, list[str]]], epochs: int = 4, batch: int = 25
             size = counts[own]
             feature = slots[np.repeat(starts[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
             score = np.add.reduceat(weights[feature], np.cumsum(size) - size, axis=0)
-            by_word, by_change = _sequence_gradient(score[back].reshape(len(at), WINDOW, labels), change, gold[at])
+            by_word, by_change = _sequence_gradient(score[back].reshape(len(at), WINDOW, labels), change, gold[at], lengths[at])
             step = np.zeros((len(own), labels))
             np.add.at(step, back.ravel(), by_word.reshape(-1, labels))
             step = np.repeat(step, size, 0) / len(at)
@@ -194,35 +205,33 @@ def fit(sequences: list[tuple[str, list[str]]], epochs: int = 4, batch: int = 25
 def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> LanguageModel:
     """Learn from about `sample_texts` texts of each language outside the held-out fold.
 
-    Texts are chosen by a hash, and at most WINDOWS sequences of each, spread over the whole text,
-    come to the driver. Rows with a null text or language teach nothing.
+    Different texts are chosen by a hash, and at most WINDOWS sequences of each, spread over the whole text,
+    come to the driver; a text of fewer than WINDOW words is one shorter sequence. Every language with a word
+    is learned, so the model has a column of SLOTS weights for each. Rows with a null text or language, and
+    texts without a word, teach nothing.
     """
     labelled = docs.select("doc_id", "text", "lang").filter(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     )
-    known = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not known:
-        return LanguageModel([], np.zeros((SLOTS, 0), np.float32), np.zeros((0, 0)))
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003))
-    chosen = F.lit(False)
-    for row in known:
-        cut = -(-1_000_003 * sample_texts // row["count"])
-        chosen = F.when(F.col("lang") == row["lang"], draw < min(cut, 1_000_003)).otherwise(chosen)
+    labelled = labelled.withColumn("hash", F.xxhash64("text"))
+    # equal texts have equal hashes and count once
+    known = labelled.select("lang", "hash").distinct().groupBy("lang").count()
+    known = materialize(known.select("lang", F.least(F.lit(DRAWS), F.ceil(F.lit(DRAWS * sample_texts) / F.col("count"))).alias("cut")), "languages")
+    count = known.count()
+    chosen = labelled.join(broadcast_within(known, count), "lang").filter(F.pmod("hash", F.lit(DRAWS)) < F.col("cut")).select("lang", "text")
 
     def windows(batches):
         for part, texts in text_slices(batches):
             languages, found = [], []
             for text, language in zip(texts, part.column("lang").to_pylist()):
                 words = WORD.findall(text.lower())
-                last = len(words) - WINDOW
-                for at in sorted({last * i // (WINDOWS - 1) for i in range(WINDOWS)}) if last >= 0 else ():
+                last = max(0, len(words) - WINDOW)
+                for at in sorted({last * i // (WINDOWS - 1) for i in range(WINDOWS)}) if words else ():
                     languages.append(language)
                     found.append(words[at: at + WINDOW])
             yield pa.RecordBatch.from_arrays([pa.array(languages, pa.string()), pa.array(found, pa.list_(pa.string()))], names=["lang", "words"])
 
-    # equal texts have equal draws and count once, so the sample stays near its size
-    sample = labelled.filter(chosen).mapInArrow(windows, "lang string, words array<string>").distinct()
-    rows = sample.limit(2 * sample_texts * WINDOWS * len(known)).collect()
+    rows = chosen.mapInArrow(windows, "lang string, words array<string>").distinct().collect()
     return fit(sorted((r["lang"], r["words"]) for r in rows))
 
 
@@ -264,8 +273,13 @@ def identify(docs: DataFrame, model: LanguageModel, runs: bool = False) -> DataF
             spans: list[list] = [[] for _ in texts]
             own = np.flatnonzero(lengths)
             if len(own):
-                word = posteriors(table[np.array(rows)], model.change, lengths[own])
                 starts = np.cumsum(lengths[own]) - lengths[own]
+                states = np.cumsum(-(-lengths[own] // BLOCK)) * len(model.languages) ** 2
+                edges = [0, *(np.flatnonzero(np.diff(states // STATES)) + 1).tolist(), len(own)]
+                word = np.concatenate([
+                    posteriors(table[np.array(rows[starts[a]: starts[b - 1] + lengths[own[b - 1]]])], model.change, lengths[own[a:b]])
+                    for a, b in zip(edges, edges[1:])
+                ])
                 mean = np.add.reduceat(word, starts, axis=0) / lengths[own][:, None]
                 best[own], score[own] = mean.argmax(1), np.clip(mean.max(1), 0, 1)
                 if runs:
