@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -190,6 +191,16 @@ def test_repeats_of_odd_rows(spark, odd, empty):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_surroundings_are_told_by_all_bits(monkeypatch):
+    n = 4
+    s = np.array([8, 8, 9, 8], np.uint64)  # the third differs in its last bit, the fourth in its anchor
+    found = (np.arange(n), np.zeros(n, np.int64), np.array([5, 5, 5, 6], np.uint64), *[np.zeros(n, np.uint64)] * 2, s)
+    monkeypatch.setattr(repeats, "anchors", lambda texts, length: found)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([0] * n, pa.int32()), pa.array(["x"] * n)], names=["doc_id", "tag", "text"])
+    table = repeats._compare(pa.Table.from_batches(repeats._dealt(1, 50)([batch])))
+    assert [d for d, ask in zip(table["doc_id"].to_pylist(), table["ask"].to_pylist()) if not ask] == [2]
+
+
 def test_suffix_order():
     rng = np.random.default_rng(0)
     for size, letters in ((1, 3), (5, 2), (200, 2), (200, 4), (2000, 3), (2000, 250)):

@@ -2,10 +2,10 @@
 
 A string of 50 bytes is found wherever it stands by the anchor in it: the 16 bytes of least hash. Anchors
 are dealt by hash. Occurrences whose whole surroundings (all strings around that anchor) are
-equal to those in a smaller document are repeats as they stand. Other surroundings can only
-share a string if they agree in the half before or the half behind the anchor; of those the
-smallest document's text is fetched, shards of them are suffix-sorted by induction, and
-neighbours in the array that agree in 50 bytes give the remaining repeats, byte for byte.
+equal to those in a smaller document, by a 64-bit hash of them and another of the anchor, are repeats as
+they stand. Other surroundings can only share a string if they agree in the half before or the half behind
+the anchor; of those the smallest document's text is fetched, shards of them are suffix-sorted by
+induction, and neighbours in the array that agree in 50 bytes, by 64-bit range hashes, give the remaining repeats.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return text[at], at - base, gram[at], of(before, at + GRAM), of(at, behind), of(start, stop)
 
 
-_FIELDS = (("doc_id", "<i8"), ("tag", "<u2"), ("place", "<u4"), ("before", "<u4"), ("behind", "<u4"), ("s1", "<u4"), ("s2", "<u2"))
+_FIELDS = (("doc_id", "<i8"), ("tag", "<u2"), ("place", "<u4"), ("before", "<u4"), ("behind", "<u4"), ("s", "<u8"), ("gram", "<u8"))
 
 
 def _dealt(buckets: int, length: int):
@@ -93,9 +93,9 @@ def _dealt(buckets: int, length: int):
             order = np.argsort(bucket, kind="stable")
             edge = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             ends = np.append(edge[1:], len(order))
-            doc_id, tag, place, _, before, behind, s = (c[order] for c in columns)
-            # halves only need to agree within a bucket, so 32 bits do; equal surroundings are told by 48
-            parts = (doc_id, tag, place, before >> np.uint64(32), behind >> np.uint64(32), s >> np.uint64(32), (s >> np.uint64(16)) & np.uint64(0xFFFF))
+            doc_id, tag, place, gram, before, behind, s = (c[order] for c in columns)
+            # halves that agree by chance only cost a look, so 32 bits do; equal surroundings are told by all bits and the anchor's
+            parts = (doc_id, tag, place, before >> np.uint64(32), behind >> np.uint64(32), s, gram)
             parts = [p.astype(kind) for p, (_, kind) in zip(parts, _FIELDS)]
             rows = [b"".join(p[a:b].tobytes() for p in parts) for a, b in zip(edge.tolist(), ends.tolist())]
             return pa.RecordBatch.from_arrays([pa.array(bucket[order][edge].astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "anchors"])
@@ -137,11 +137,9 @@ def _compare(table: pa.Table) -> pa.Table:
     """Anchors of one bucket: places that repeat whole surroundings, and the first places of surroundings that
     agree with others in a half (`ask`)."""
     columns = [np.concatenate(c) for c in zip(*(_read(x.as_buffer().to_pybytes()) for x in table.column("anchors").combine_chunks()))]
-    s = (columns[5].astype(np.uint64) << np.uint64(16)) | columns[6]
-    order = np.lexsort((columns[0], s))
-    doc_id, tag, place, before, behind = (c[order] for c in columns[:5])
-    s = s[order]
-    new = np.concatenate([[True], s[1:] != s[:-1]])
+    order = np.lexsort((columns[0], columns[6], columns[5]))
+    doc_id, tag, place, before, behind, s, gram = (c[order] for c in columns)
+    new = np.concatenate([[True], (s[1:] != s[:-1]) | (gram[1:] != gram[:-1])])
     at, of = np.flatnonzero(new), np.cumsum(new) - 1
     # rows of equal surroundings are in doc_id order
     repeat = doc_id > doc_id[at][of]
