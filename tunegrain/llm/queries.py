@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunegrain.llm import (
-    decontamination, fingerprints, grammar, language, near_duplicates, packing, repeats, secrets, toxicity, warc,
+    decontamination, fingerprints, grammar, infill, language, manifest, near_duplicates, packing, repeats, search, secrets, toxicity, warc,
 )
 from tunegrain.plans.registry import Query, Run, table
 
@@ -80,3 +80,19 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_near_duplicates", near_duplicates.NEAR_DUPLICATES_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op11_fill_in_middle", infill.INFILL_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    rows = infill.restore(infill.fill_in_middle(table(spark, folder, "documents")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+@query("op12_exact_search", search.PRODUCTS_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return search.top_products(table(spark, folder, "embeddings"))
+
+
+@query("op13_manifest", manifest.MANIFEST_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.document_proofs(table(spark, folder, "documents")).drop("path")
