@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 SENTINELS = (b"<P>", b"<S>", b"<M>")  # before the prefix, the suffix and the middle
 # The parts prefix 0, suffix 1 and middle 2 in the order of each form.
@@ -166,6 +167,7 @@ def restore(rows: DataFrame, output: str = "output", form: str = "form") -> Data
     """`rows` with restored_text and restored_sha256 added, from the columns `output` and `form` alone.
 
     Null outputs count as empty; a form that is null or plain leaves the output as it is. An output without the sentinels of its form is an error.
+    Columns that have the added names are replaced.
     """
     added = [("restored_text", pa.string()), ("restored_sha256", pa.string())]
 
@@ -183,10 +185,8 @@ def restore(rows: DataFrame, output: str = "output", form: str = "form") -> Data
                 names=[*batch.schema.names, *[n for n, _ in added]],
             )
 
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    schema = StructType([*rows.schema.fields, *[StructField(n, StringType()) for n, _ in added]])
-    return rows.mapInArrow(back, schema)
+    kept = rows.drop(*[n for n, _ in added])
+    return kept.mapInArrow(back, StructType([*kept.schema.fields, *[StructField(n, StringType()) for n, _ in added]]))
 
 
 INFILL_SQL = f"""

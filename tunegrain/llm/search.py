@@ -195,6 +195,8 @@ class Best:
         for start in range(0, len(self.queries.ids), TILE):
             stop = min(start + TILE, len(self.queries.ids))
             scores = accumulate(self.queries, candidates, start, stop, kind)
+            if kind is object:  # sums beyond a long are its limits
+                scores = np.minimum(np.maximum(scores, -(1 << 63)), (1 << 63) - 1)
             inside = (mine >= start) & (mine < stop)
             scores[mine[inside] - start, own[inside]] = -np.inf  # a query is not its own candidate
             reached = scores >= self.least[start:stop].astype(kind)[:, None]
@@ -204,10 +206,8 @@ class Best:
 
     def _merge(self, query: int, places: np.ndarray, scores: np.ndarray, candidates: Postings) -> None:
         places = places[select(scores[places], self.k)]
-        new = scores[places]
-        # sums beyond a long are its limits
-        new = np.array([min(max(v, -(1 << 63)), (1 << 63) - 1) for v in new.tolist()] if new.dtype == object else new, np.int64)
-        score, ids, known = (np.concatenate(p) for p in zip(self.found[query], (new, candidates.ids[places], candidates.known[places])))
+        new = scores[places].astype(np.int64), candidates.ids[places], candidates.known[places]
+        score, ids, known = (np.concatenate(p) for p in zip(self.found[query], new))
         order = np.lexsort((ids, ~known, ~score))[: self.k]
         self.found[query] = score[order], ids[order], known[order]
         if len(order) == self.k:
