@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -125,6 +126,26 @@ def test_grammar_leaves_no_pair_that_pays():
     assert len(grammar.re_pair(rare.astype(np.uint32))[0]) <= len(rare) / 2
 
 
+def test_grammar_of_rising_copies_is_quick_and_read_at_random():
+    """Every pair occurs equally often: a hash settles them, so rounds, depth and rules' lengths stay small."""
+    for n in (1000, 60_000):
+        ids = np.tile(np.arange(n), 4).astype(np.uint32)
+        start = time.process_time()
+        symbols, left, right = grammar.re_pair(ids)
+        assert time.process_time() - start < 5 and len(symbols) == 4 and len(left) == n - 1
+        sizes = grammar.expansion_lengths(left, right)
+        assert sizes.sum() < 40 * n and (grammar.expand(symbols, left, right, sizes) == ids).all()
+    looked = []
+
+    class Watched(np.ndarray):
+        def __getitem__(self, key):
+            looked.append(np.size(key))
+            return np.asarray(self)[key]
+
+    part = grammar.expand(symbols, left.view(Watched), right, sizes, 70_000, 70_010)
+    assert (part == ids[70_000:70_010]).all() and sum(looked) < 400
+
+
 def test_fingerprints(spark, folder, texts):
     rows = {r.doc_id: r for r in queries.op1(spark, folder).collect()}
     ids = sorted(texts, reverse=True)

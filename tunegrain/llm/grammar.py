@@ -28,75 +28,105 @@ BLOCK_IDS = 1 << 20
 LEAST_USES = 4
 
 
+def _sorted_pairs(left: np.ndarray, right: np.ndarray, places: np.ndarray, bits: int, place_bits: int):
+    """Pairs (left in the upper 32 bits) and their places, ordered by both; symbols have `bits` bits."""
+    if 2 * bits + place_bits <= 64:  # in one number, which is sorted fastest
+        packed = (left.astype(np.uint64) << np.uint64(bits + place_bits)) | (right.astype(np.uint64) << np.uint64(place_bits)) | places.astype(np.uint64)
+        packed.sort()
+        places = (packed & np.uint64((1 << place_bits) - 1)).astype(np.int64)
+        packed >>= np.uint64(place_bits)
+        return (packed >> np.uint64(bits) << np.uint64(32)) | (packed & np.uint64((1 << bits) - 1)), places
+    pairs = (left.astype(np.uint64) << np.uint64(32)) | right
+    order = np.argsort(pairs, kind="stable")
+    return pairs[order], places[order].astype(np.int64)
+
+
+def _every_second(same: np.ndarray) -> np.ndarray:
+    """True for the first, third, ... of each run; same[i]: i + 1 goes on with the run of i."""
+    place = np.arange(len(same) + 1)
+    first = np.append(True, ~same)
+    return (place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0
+
+
 def re_pair(ids: np.ndarray, rounds: int | None = None, least: int = LEAST_USES):
     """Symbols and rules (left, right) that expand to `ids`.
 
-    A round counts all adjacent pairs without overlaps and replaces those that occur `least` times; where
-    occurrences of two pairs overlap, the one of the more frequent pair wins. Rounds go on until no pair occurs so
-    often, or to the number of `rounds`. The most frequent pair wins everywhere, so each round makes a rule.
+    A round counts the pairs without overlaps and replaces those that occur `least` times; where occurrences of two pairs
+    overlap, the one of the more frequent pair wins. Frequencies count by their power of two and pairs of one class
+    are ordered by a hash, so that many equal pairs in a row are settled in few rounds. Rounds go on until no pair occurs so
+    often, or to the number of `rounds`. The first pair in that order wins everywhere, so each round makes a rule.
+
+    Replaced places stay where they are and are linked to the next living one; a round costs what can still change.
     """
+    n = len(ids)
+    index = np.int32 if n < 1 << 31 else np.int64
     symbols = ids.astype(np.uint32)
+    after, before = np.arange(1, n + 1, dtype=index), np.arange(-1, n, dtype=index)
+    alive, live = np.ones(n, bool), np.ones(n, bool)
+    live[-1:] = False
+    wins = np.full(n + 1, -1, index)  # order of the occurrence that starts here; the last one stands for both ends
     left, right = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
     rules = done = 0
-    # Pairs that start here may still occur often enough. Counts of known pairs only fall, so a pair that is too rare
-    # stays out, and only pairs with a new symbol come in.
-    live = np.ones(len(symbols), bool)
-    live[-1:] = False
     while rounds is None or done < rounds:
-        at = np.flatnonzero(live)
-        if len(at) < least:
+        # Pairs that start at live places may still occur often enough. Counts of known pairs only fall, so a pair that is
+        # too rare stays out, and only pairs with a new symbol come in.
+        places = np.flatnonzero(live)
+        if len(places) < least:
             break
+        a, b = symbols[places], symbols[after[places]]
         # a slot holds all occurrences of its pairs, so those of rare slots need no exact count
-        a, b = symbols[at], symbols[at + 1]
-        bits = min(20, max(8, len(at).bit_length()))
-        slot = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - bits)
-        often = np.bincount(slot, minlength=1 << bits)[slot] >= least
-        live[at[~often]] = False
-        at = at[often]
-        pairs = (a[often].astype(np.uint64) << np.uint64(32)) | b[often]
-        found, of = np.unique(pairs, return_inverse=True)
-        # in a run of one pair every second occurrence
-        touch = at[1:] == at[:-1] + 1
-        place = np.arange(len(at))
-        first = np.ones(len(at), bool)
-        first[1:] = ~touch | (of[1:] != of[:-1])
-        own = (place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0
-        count = np.bincount(of[own], minlength=len(found))
+        slot_bits = min(20, max(8, len(places).bit_length()))
+        slot = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - slot_bits)
+        often = (np.bincount(slot, minlength=1 << slot_bits) >= least)[slot]
+        live[places[~often]] = False
+        pairs, places = _sorted_pairs(a[often], b[often], places[often], (FIRST_RULE + rules).bit_length(), n.bit_length())
+        if not len(places):
+            break
+        ends = np.flatnonzero(np.append(pairs[1:] != pairs[:-1], True)) + 1
+        found, count = pairs[ends - 1], np.diff(ends, prepend=0)
+        twin = np.flatnonzero(found >> np.uint64(32) == found & np.uint64(0xFFFFFFFF))
+        skipped = []  # in a run of one symbol every second occurrence of its pair
+        for i in twin[count[twin] >= least].tolist():
+            here = places[ends[i] - count[i]: ends[i]]
+            own = _every_second(after[here[:-1]] == here[1:])
+            skipped.append(here[~own])
+            count[i] = np.count_nonzero(own)
         pays = count >= least
         if not pays.any():
             break
-        live[at[~pays[of]]] = False
-        rank = np.empty(len(found), np.int64)
-        rank[np.argsort(count, kind="stable")] = np.arange(len(found))
-        rank = rank[of]
-        own &= pays[of]
-        own[:-1] &= ~touch | (rank[:-1] >= rank[1:])
-        own[1:] &= ~touch | (rank[1:] >= rank[:-1])
-        good = np.bincount(of[own], minlength=len(found)) >= least
-        own &= good[of]
-        at, rule = at[own], (np.cumsum(good) - 1)[of[own]]
-        left.append((found[good] >> np.uint64(32)).astype(np.uint32))
-        right.append((found[good] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        mixed = (found ^ (found >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        order = np.lexsort((mixed * np.uint64(0x94D049BB133111EB), np.frexp(count)[1]))
+        order = order[pays[order]]
+        rank = np.full(len(found), -1, index)
+        rank[order] = np.arange(len(order), dtype=index)
+        rank = np.repeat(rank, np.diff(ends, prepend=0))
+        live[places[rank < 0]] = False
+        wins[places] = rank
+        for here in skipped:
+            wins[here] = -1
+        at = np.flatnonzero(wins >= 0)
+        rank = wins[at]
+        own = (wins[before[at]] < rank) & (wins[after[at]] < rank)
+        wins[at] = -1
+        at, rank = at[own], rank[own]
+        good = np.bincount(rank, minlength=len(order)) >= least
+        own = good[rank]
+        at, rule = at[own], (np.cumsum(good) - 1)[rank[own]]
+        found = found[order[good]]
+        left.append((found >> np.uint64(32)).astype(np.uint32))
+        right.append((found & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        gone = after[at]
         symbols[at] = (FIRST_RULE + rules + rule).astype(np.uint32)
-        rules += int(good.sum())
-        keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        symbols, live = symbols[keep], live[keep]
-        new = at - np.arange(len(at))
-        live[new] = live[np.maximum(new - 1, 0)] = True
-        live[-1] = False
+        after[at] = after[gone]
+        before[after[at]] = at
+        alive[gone] = live[gone] = False
+        live[at] = after[at] < n
+        previous = before[at]
+        live[previous[previous >= 0]] = True
+        rules += len(found)
         done += 1
-    return symbols, np.concatenate(left), np.concatenate(right)
-
-
-def _levels(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """1 for rules of two terminals, else one more than the higher side."""
-    level = np.zeros(FIRST_RULE + len(left), np.int64)
-    while True:
-        new = np.maximum(level[left], level[right]) + 1
-        if np.array_equal(new, level[FIRST_RULE:]):
-            return new
-        level[FIRST_RULE:] = new
+    return symbols[alive], np.concatenate(left), np.concatenate(right)
 
 
 def expansion_lengths(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -109,26 +139,40 @@ def expansion_lengths(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         sizes[FIRST_RULE:] = new
 
 
-def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The ids below `symbols`: rules are written out once, sides first, then every symbol is looked up."""
-    sizes = np.concatenate([np.ones(FIRST_RULE, np.int64), expansion_lengths(left, right)])
-    starts = np.cumsum(sizes) - sizes
-    flat = np.arange(int(sizes.sum()), dtype=np.uint32)
-
-    def gather(wanted):
-        width = sizes[wanted]
-        shift = np.repeat(starts[wanted] - (np.cumsum(width) - width), width)
-        return flat[shift + np.arange(len(shift))]
+def expand(
+    symbols: np.ndarray, left: np.ndarray, right: np.ndarray, sizes: np.ndarray | None = None, start: int = 0, stop: int | None = None
+) -> np.ndarray:
+    """The ids `start` to `stop` of those below `symbols`, by descent: only rules above wanted ids are looked at.
 
-    level = _levels(left, right)
-    order = np.argsort(level, kind="stable")
-    edges = np.searchsorted(level[order], np.arange(int(level.max(initial=0)) + 2))
-    for a, b in zip(edges[1:-1].tolist(), edges[2:].tolist()):
-        rule = order[a:b]
-        width = sizes[FIRST_RULE + rule]
-        shift = np.repeat(starts[FIRST_RULE + rule] - (np.cumsum(width) - width), width)
-        flat[shift + np.arange(len(shift))] = gather(np.stack([left[rule], right[rule]], 1).ravel())
-    return gather(symbols)
+    `sizes` are the rules' expansion lengths. Every step splits all open symbols into their sides and writes ids out.
+    """
+    sizes = expansion_lengths(left, right) if sizes is None else sizes
+
+    def width(symbols):
+        known = np.ones(len(symbols), np.int64)
+        rule = symbols >= FIRST_RULE
+        known[rule] = sizes[symbols[rule] - FIRST_RULE]
+        return known
+
+    symbols = symbols.astype(np.int64)
+    widths = width(symbols)
+    ends = np.cumsum(widths)
+    total = int(ends[-1]) if len(ends) else 0
+    stop = total if stop is None else min(stop, total)
+    out = np.empty(max(0, stop - start), np.uint32)
+    places = ends - widths - start
+    while len(symbols):
+        wanted = (places < len(out)) & (places + widths > 0)
+        if not wanted.all():
+            symbols, places = symbols[wanted], places[wanted]
+        terminal = symbols < FIRST_RULE
+        out[places[terminal]] = symbols[terminal]
+        rule, places = symbols[~terminal] - FIRST_RULE, places[~terminal]
+        first, second = left[rule].astype(np.int64), right[rule].astype(np.int64)
+        one = width(first)
+        symbols, places = np.concatenate([first, second]), np.concatenate([places, places + one])
+        widths = np.concatenate([one, sizes[rule] - one])
+    return out
 
 
 def write_block(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -151,11 +195,11 @@ class Block:
         self.lengths = np.frombuffer(data, "<u4", docs, at := at + 8 * docs)
         self._left = np.frombuffer(data, "<u4", rules, at := at + 4 * docs)
         self._right = np.frombuffer(data, "<u4", rules, at := at + 4 * rules)
-        sizes = np.frombuffer(data, "<u4", rules, at := at + 4 * rules)
+        self._sizes = np.frombuffer(data, "<u4", rules, at := at + 4 * rules).astype(np.int64)
         self._symbols = np.frombuffer(data, "<u4", symbols, at + 4 * rules)
         rule = self._symbols >= FIRST_RULE
         width = np.ones(symbols, np.int64)
-        width[rule] = sizes[self._symbols[rule].astype(np.int64) - FIRST_RULE]
+        width[rule] = self._sizes[self._symbols[rule].astype(np.int64) - FIRST_RULE]
         self._ends = np.cumsum(width)
 
     def ids(self, start: int = 0, count: int | None = None) -> np.ndarray:
@@ -164,8 +208,8 @@ class Block:
         if stop <= start:
             return np.zeros(0, np.uint32)
         a, b = np.searchsorted(self._ends, start, "right"), np.searchsorted(self._ends, stop - 1, "right") + 1
-        skip = start - (int(self._ends[a - 1]) if a else 0)
-        return expand(self._symbols[a:b], self._left, self._right)[skip: skip + stop - start]
+        skip = int(self._ends[a - 1]) if a else 0
+        return expand(self._symbols[a:b], self._left, self._right, self._sizes, start - skip, stop - skip)
 
     def document(self, index: int) -> np.ndarray:
         return self.ids(int(self.lengths[:index].sum()), int(self.lengths[index]))
