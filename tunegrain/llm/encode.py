@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 from unicodedata import normalize
 
@@ -181,6 +182,12 @@ class TextEncoder:
         return ids, lengths
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> TextEncoder:
+    """One encoder for all tasks that a worker process runs, so that a part is encoded once per worker, not once per task."""
+    return TextEncoder(path)
+
+
 def text_slices(
     batches: Iterable[pa.RecordBatch], column: str = "text", size: int = SLICE_CHARS
 ) -> Iterator[tuple[pa.RecordBatch, list]]:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tunegrain.llm.encode import TextEncoder, default_tokenizer, text_slices
+from tunegrain.llm.encode import default_tokenizer, text_slices, worker_encoder
 from tunegrain.runtime import broadcast_within, new_folder
 
 MAGIC = b"TGRP0001"
@@ -28,17 +28,23 @@ BLOCK_IDS = 1 << 20
 LEAST_USES = 4
 
 
-def _sorted_pairs(left: np.ndarray, right: np.ndarray, places: np.ndarray, bits: int, place_bits: int):
-    """Pairs (left in the upper 32 bits) and their places, ordered by both; symbols have `bits` bits."""
-    if 2 * bits + place_bits <= 64:  # in one number, which is sorted fastest
-        packed = (left.astype(np.uint64) << np.uint64(bits + place_bits)) | (right.astype(np.uint64) << np.uint64(place_bits)) | places.astype(np.uint64)
-        packed.sort()
-        places = (packed & np.uint64((1 << place_bits) - 1)).astype(np.int64)
-        packed >>= np.uint64(place_bits)
-        return (packed >> np.uint64(bits) << np.uint64(32)) | (packed & np.uint64((1 << bits) - 1)), places
-    pairs = (left.astype(np.uint64) << np.uint64(32)) | right
-    order = np.argsort(pairs, kind="stable")
-    return pairs[order], places[order].astype(np.int64)
+def _grouped(pairs: np.ndarray, slots: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each of the `pairs` and the pair of each number; equal pairs have equal numbers.
+
+    The number is the pair's hash slot. Where different pairs share a slot, new numbers are given.
+    """
+    table = np.zeros(1 << bits, np.uint64)
+    table[slots] = pairs
+    shared = slots[table[slots] != pairs]
+    if not len(shared):
+        return slots, table
+    several = np.zeros(1 << bits, bool)
+    several[shared] = True
+    inside = np.flatnonzero(several[slots])
+    others, number = np.unique(pairs[inside], return_inverse=True)
+    slots = slots.copy()
+    slots[inside] = (1 << bits) + number
+    return slots, np.concatenate([table, others])
 
 
 def _every_second(same: np.ndarray) -> np.ndarray:
@@ -52,9 +58,9 @@ def re_pair(ids: np.ndarray, rounds: int | None = None, least: int = LEAST_USES)
     """Symbols and rules (left, right) that expand to `ids`.
 
     A round counts the pairs without overlaps and replaces those that occur `least` times; where occurrences of two pairs
-    overlap, the one of the more frequent pair wins. Frequencies count by their power of two and pairs of one class
-    are ordered by a hash, so that many equal pairs in a row are settled in few rounds. Rounds go on until no pair occurs so
-    often, or to the number of `rounds`. The first pair in that order wins everywhere, so each round makes a rule.
+    overlap, the one of the more frequent pair wins. Equally frequent pairs are ordered by a hash, so that many of
+    them in a row are settled in few rounds. Rounds go on until no pair occurs so often, or to the number of `rounds`.
+    The first pair in that order wins everywhere, so each round makes a rule.
 
     Replaced places stay where they are and are linked to the next living one; a round costs what can still change.
     """
@@ -75,38 +81,34 @@ def re_pair(ids: np.ndarray, rounds: int | None = None, least: int = LEAST_USES)
             break
         a, b = symbols[places], symbols[after[places]]
         # a slot holds all occurrences of its pairs, so those of rare slots need no exact count
-        slot_bits = min(20, max(8, len(places).bit_length()))
-        slot = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - slot_bits)
-        often = (np.bincount(slot, minlength=1 << slot_bits) >= least)[slot]
-        live[places[~often]] = False
-        pairs, places = _sorted_pairs(a[often], b[often], places[often], (FIRST_RULE + rules).bit_length(), n.bit_length())
+        bits = min(20, max(8, len(places).bit_length()))
+        slots = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - bits)
+        often = (np.bincount(slots, minlength=1 << bits) >= least)[slots]
+        if not often.all():
+            live[places[~often]] = False
+            places, a, b, slots = places[often], a[often], b[often], slots[often]
         if not len(places):
             break
-        ends = np.flatnonzero(np.append(pairs[1:] != pairs[:-1], True)) + 1
-        found, count = pairs[ends - 1], np.diff(ends, prepend=0)
-        twin = np.flatnonzero(found >> np.uint64(32) == found & np.uint64(0xFFFFFFFF))
-        skipped = []  # in a run of one symbol every second occurrence of its pair
-        for i in twin[count[twin] >= least].tolist():
-            here = places[ends[i] - count[i]: ends[i]]
-            own = _every_second(after[here[:-1]] == here[1:])
-            skipped.append(here[~own])
-            count[i] = np.count_nonzero(own)
-        pays = count >= least
-        if not pays.any():
+        of, found = _grouped((a.astype(np.uint64) << np.uint64(32)) | b, slots, bits)
+        own = np.ones(len(places), bool)
+        twin = np.flatnonzero(a == b)
+        if len(twin):  # in a run of one symbol every second occurrence of its pair
+            own[twin] = _every_second((after[places[twin[:-1]]] == places[twin[1:]]) & (a[twin[:-1]] == a[twin[1:]]))
+        count = np.bincount(of[own], minlength=len(found))
+        paying = np.flatnonzero(count >= least)
+        if not len(paying):
             break
+        found = found[paying]
         mixed = (found ^ (found >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(32)
-        order = np.lexsort((mixed * np.uint64(0x94D049BB133111EB), np.frexp(count)[1]))
-        order = order[pays[order]]
-        rank = np.full(len(found), -1, index)
-        rank[order] = np.arange(len(order), dtype=index)
-        rank = np.repeat(rank, np.diff(ends, prepend=0))
+        order = np.lexsort((mixed * np.uint64(0x94D049BB133111EB), count[paying]))
+        ranks = np.full(len(count), -1, index)
+        ranks[paying[order]] = np.arange(len(paying), dtype=index)
+        rank = ranks[of]
         live[places[rank < 0]] = False
-        wins[places] = rank
-        for here in skipped:
-            wins[here] = -1
-        at = np.flatnonzero(wins >= 0)
-        rank = wins[at]
+        own &= rank >= 0
+        at, rank = places[own], rank[own]
+        wins[at] = rank
         own = (wins[before[at]] < rank) & (wins[after[at]] < rank)
         wins[at] = -1
         at, rank = at[own], rank[own]
@@ -144,9 +146,22 @@ def expand(
 ) -> np.ndarray:
     """The ids `start` to `stop` of those below `symbols`, by descent: only rules above wanted ids are looked at.
 
-    `sizes` are the rules' expansion lengths. Every step splits all open symbols into their sides and writes ids out.
+    `sizes` are the rules' expansion lengths. Every step splits all open symbols into their sides and writes ids out. Rules that
+    stand among `symbols` are written out once, where that is less than half of what is wanted.
     """
     sizes = expansion_lengths(left, right) if sizes is None else sizes
+    if start == 0 and stop is None and len(sizes):
+        used = np.flatnonzero(np.bincount(symbols[symbols >= FIRST_RULE] - FIRST_RULE, minlength=len(sizes)))
+        widths = np.ones(FIRST_RULE + len(sizes), np.int64)
+        widths[FIRST_RULE:] = sizes
+        widths, below = widths[symbols], int(sizes[used].sum())
+        if 2 * below < int(widths.sum()):
+            flat = np.concatenate([np.arange(FIRST_RULE, dtype=np.uint32), expand(FIRST_RULE + used, left, right, sizes, 0, below)])
+            starts = np.arange(FIRST_RULE + len(sizes))
+            starts[FIRST_RULE + used] = FIRST_RULE + np.cumsum(sizes[used]) - sizes[used]
+            shift = np.repeat(starts[symbols] - (np.cumsum(widths) - widths), widths)
+            shift += np.arange(len(shift))
+            return flat[shift]
 
     def width(symbols):
         known = np.ones(len(symbols), np.int64)
@@ -209,6 +224,8 @@ class Block:
             return np.zeros(0, np.uint32)
         a, b = np.searchsorted(self._ends, start, "right"), np.searchsorted(self._ends, stop - 1, "right") + 1
         skip = int(self._ends[a - 1]) if a else 0
+        if stop - start == total:
+            return expand(self._symbols, self._left, self._right, self._sizes)
         return expand(self._symbols[a:b], self._left, self._right, self._sizes, start - skip, stop - skip)
 
     def document(self, index: int) -> np.ndarray:
@@ -227,7 +244,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def blocks(batches):
-        encoder, part = TextEncoder(name), TaskContext.get().partitionId()
+        encoder, part = worker_encoder(name), TaskContext.get().partitionId()
         held: list[tuple] = []
         waiting = number = start = 0
 
