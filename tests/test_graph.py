@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +46,61 @@ def test_shortest_paths_of_all_cases_at_once(spark):
         assert (row.found, row.distance, row.hits, path) == expected, name
 
 
+def test_searches_share_a_layout_and_hubs_stay_out_of_the_buckets(spark):
+    """Random graph with two hubs, more pairs than bits of a number: against a plain search in Python."""
+    rng = random.Random(4)
+    rows = [(rng.randrange(60), rng.randrange(60)) for _ in range(70)] + [(7, i) for i in range(60)] + [(i, 9) for i in range(0, 60, 2)] + [(7, 8)] * 3
+    rows += [(None, 3), (3, None)]
+    laid = graph.lay_out(spark.createDataFrame(rows, "target int, similar int"), both=True, buckets=4, hub_edges=20)
+    assert laid.forward.hub_count == 1 and laid.backward.hub_count == 1
+    copies = Counter((a, b) for a, b in rows if a is not None and b is not None)
+    into = {}
+    for (a, b), n in copies.items():
+        into.setdefault(b, {})[a] = n
+
+    def plain(a, b, most=6):
+        dist, frontier = {a: 0}, [a]
+        for d in range(1, most + 1):
+            frontier = sorted({t for s, t in copies if s in set(frontier)} - dist.keys())
+            dist.update((n, d) for n in frontier)
+        if b not in dist:
+            return False, None, 0, None
+        path, hits = [b], 0
+        while path[0] != a:
+            before = {s: n for s, n in into[path[0]].items() if dist.get(s) == dist[path[0]] - 1}
+            hits = hits or sum(before.values())
+            path.insert(0, min(before))
+        return True, dist[b], hits, path
+
+    pairs = [(a, b) for a in range(0, 60, 4) for b in range(1, 60, 6)] + [(99, 99), (99, 1), (1, 99), (7, 7)]
+    asked = spark.createDataFrame(pairs, "source int, target int")
+    found = {(r.source, r.target): (r.found, r.distance, r.hits, r.path) for r in graph.shortest_paths(laid, asked, 6, batch=70).collect()}
+    assert found == {p: (True, 0, 0, [p[0]]) if p[0] == p[1] else plain(*p) for p in pairs}
+    levels = {r.node: (r.dist, r.backpointer) for r in graph.bfs_levels(laid, 7, 6).collect()}
+    assert levels == {b: (plain(7, b)[1], (plain(7, b)[3][-2:-1] or [None])[0]) for b in range(60) if plain(7, b)[0]}
+
+
+def test_a_level_moves_neither_edges_nor_what_was_reached(spark):
+    pairs = spark.range(3000).select((F.col("id") % 100).cast("string").alias("target"), (F.col("id") * 7 % 997).cast("string").alias("similar"))
+    laid = graph.lay_out(pairs)
+    levels = laid.levels()
+    levels.append(spark.createDataFrame([(3, None, 0, 0)], "node long, backpointer long, hits long, dist int"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        frontier = levels.read().filter(F.col("dist") == 0).select("node")
+        plan = graph._next_level(frontier, laid.forward, levels.read())._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    levels.close()
+    assert plan.count("Exchange") == 1 and "SortAggregate" not in plan and "HashAggregate" in plan
+    # three scans in buckets: the frontier and the edges below the one exchange of partial sums, what was reached beside it
+    below = plan[plan.index("Exchange"):]
+    assert plan.count("Bucketed: true") == 3 and below.count("Bucketed: true") == 3 - plan[: plan.index("Exchange")].count("Bucketed: true")
+
+
 def test_shortest_path(spark):
     row = graph.shortest_path(edges(spark, "A>C A>D C>B D>B B>E"), "A", "B").first()
     assert (row.found, row.distance, row.hits, row.path) == (True, 2, 2, ["A", "C", "B"])

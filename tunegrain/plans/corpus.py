@@ -17,7 +17,7 @@ def compact_corpus(spark: SparkSession, folder: str, out: str, glob: str = "*.pa
 
 
 def distance_experiment(
-    artists: DataFrame, similarity: DataFrame, pairs: int, max_depth: int = graph.MAX_DEPTH, seed: int = 42
+    artists: DataFrame, similarity: DataFrame | graph.Layout, pairs: int, max_depth: int = graph.MAX_DEPTH, seed: int = 42
 ) -> DataFrame:
     """Shortest paths of `pairs` random artist pairs, all advanced together."""
     drawn = sampling.random_pairs(artists, "artist_id", pairs, seed)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from tunegrain.operators import graph, sampling
@@ -91,10 +93,20 @@ def adjacency(spark, d):
     return graph.adjacency(artists(spark, d), edges(spark, d), list_rows=50)
 
 
+@lru_cache(maxsize=4)
+def _laid_out(spark, application: str, d: str):
+    return graph.lay_out(edges(spark, d), both=True)
+
+
+def layout(spark, d):
+    """The edges of folder `d`, laid out by the first search of an application and used by all."""
+    return _laid_out(spark, spark.sparkContext.applicationId, d)
+
+
 @query("bfs_levels", f"with recursive {_EDGES}, starts as (select 'N0' as source), {_SEARCH} "
                      f"select node, dist, backpointer, hits from reached")
 def bfs_levels(spark, d):
-    return graph.bfs_levels(edges(spark, d), "N0")
+    return graph.bfs_levels(layout(spark, d), "N0")
 
 
 _PATH = """
@@ -121,7 +133,7 @@ def _shown(paths):
 @query("shortest_path", f"with recursive {_EDGES}, starts as (select 'C1' as source), "
                         f"asked as (select 'C1' as source, 'S7' as target), {_SEARCH}, {_PATH}")
 def shortest_path(spark, d):
-    return _shown(graph.shortest_path(edges(spark, d), "C1", "S7"))
+    return _shown(graph.shortest_path(layout(spark, d), "C1", "S7"))
 
 
 @query("shortest_paths", f"""
@@ -131,7 +143,7 @@ starts as (select distinct source from asked), {_SEARCH}, {_PATH}""")
 def shortest_paths(spark, d):
     drawn = sampling.random_pairs(artists(spark, d), "artist_id", 8).select("source", "target")
     fixed = spark.createDataFrame([("N0", "R0"), ("C1", "C1"), ("X", "C1")], ["source", "target"])
-    return _shown(graph.shortest_paths(edges(spark, d), drawn.unionByName(fixed)))
+    return _shown(graph.shortest_paths(layout(spark, d), drawn.unionByName(fixed)))
 
 
 _MANY = f"""

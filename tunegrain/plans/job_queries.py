@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tunegrain.functions.hashing import fraction_cut
 from tunegrain.operators import features, graph, timing, training
 from tunegrain.plans import corpus, year_prediction
-from tunegrain.plans.graph_queries import _EDGES, _PAIRS, _PATH, _SEARCH, _shown, artists, edges
+from tunegrain.plans.graph_queries import _EDGES, _PAIRS, _PATH, _SEARCH, _shown, artists, layout
 from tunegrain.plans.registry import ORDER_YEARS_SQL, hash_sql, order_years, query, rounded, table
 from tunegrain.runtime import new_folder
 from tunegrain.schema import SIGNATURE_WIDTH
@@ -47,7 +47,7 @@ def timing_log(spark, d):
 with recursive {_EDGES}, {_PAIRS}, asked as (select source, target from pairs),
 starts as (select distinct source from asked), {_SEARCH}, {_PATH}""")
 def distance_experiment(spark, d):
-    return _shown(corpus.distance_experiment(artists(spark, d), edges(spark, d), 8))
+    return _shown(corpus.distance_experiment(artists(spark, d), layout(spark, d), 8))
 
 
 @query("search_levels", f"with recursive {_EDGES}, starts as (select 'S1' as source), {_SEARCH} "
@@ -55,7 +55,7 @@ def distance_experiment(spark, d):
 def search_levels(spark, d):
     """The levels that a search leaves in its folder."""
     path = new_folder(spark, "levels")
-    graph.bfs_levels(edges(spark, d), "S1", state_dir=path)
+    graph.bfs_levels(layout(spark, d), "S1", state_dir=path)
     return spark.read.parquet(path).select("source", "node", "dist", "backpointer", "hits")
 
 
