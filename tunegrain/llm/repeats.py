@@ -79,7 +79,7 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return text[at], at - base, gram[at], of(before, at + GRAM), of(at, behind), of(start, stop)
 
 
-_FIELDS = (("doc_id", "<i8"), ("tag", "<u2"), ("place", "<u4"), ("before", "<u4"), ("behind", "<u4"), ("s", "<u8"), ("gram", "<u8"))
+_FIELDS = (("doc_id", "<i8"), ("tag", "<i8"), ("place", "<u4"), ("before", "<u4"), ("behind", "<u4"), ("s", "<u8"), ("gram", "<u8"))
 
 
 def _dealt(buckets: int, length: int):
@@ -147,7 +147,7 @@ def _compare(table: pa.Table) -> pa.Table:
     ask = ~repeat & alike[of]
     told = np.flatnonzero(repeat | ask)
     return pa.table({
-        "doc_id": doc_id[told].astype(np.int64), "tag": tag[told].astype(np.int32), "place": place[told].astype(np.int32), "ask": ask[told],
+        "doc_id": doc_id[told].astype(np.int64), "tag": tag[told].astype(np.int64), "place": place[told].astype(np.int32), "ask": ask[told],
     })
 
 
@@ -179,7 +179,7 @@ def _pieces(shards: int, length: int):
                     start = max(0, place - around)
                     shard = xxhash.xxh3_64_intdigest(data[place: place + GRAM]) % shards
                     out.append((shard, doc_id, tag, start, data[start: place + length]))
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["shard", "doc_id", "tag", "start", "piece"]
             )
@@ -211,14 +211,14 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     dealt = docs.select("doc_id", "tag", "text").mapInArrow(_dealt(buckets, length), "bucket int, anchors binary")
     found = materialize(
-        dealt.groupBy("bucket").applyInArrow(_compare, "doc_id long, tag int, place int, ask boolean"), "anchors"
+        dealt.groupBy("bucket").applyInArrow(_compare, "doc_id long, tag long, place int, ask boolean"), "anchors"
     )
     equal = found.filter("not ask").select("doc_id", "tag", "place")
     asked = materialize(found.filter("ask").groupBy("doc_id", "tag").agg(F.collect_list("place").alias("asked")), "asked")
     pieces = _texts(docs, asked).select("doc_id", "tag", "text", "asked").mapInArrow(
-        _pieces(buckets, length), "shard int, doc_id long, tag int, start int, piece binary"
+        _pieces(buckets, length), "shard int, doc_id long, tag long, start int, piece binary"
     )
-    sorted_ = pieces.groupBy("shard").applyInArrow(_sort_shard(length), "doc_id long, tag int, start int, end int")
+    sorted_ = pieces.groupBy("shard").applyInArrow(_sort_shard(length), "doc_id long, tag long, start int, end int")
     return equal.unionByName(sorted_, allowMissingColumns=True)
 
 
@@ -265,8 +265,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     place in the order: they stay whole and are no source. Rows with the same doc_id do not repeat each other.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # tells texts with the same doc_id apart
-    rows = rows.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int"))
+    # tells texts with the same doc_id apart, by all bits: millions of rows may have one doc_id
+    rows = rows.withColumn("tag", F.xxhash64("text"))
     placed = rows.filter("doc_id is not null")
     found = find_repeats(placed, length)
     spans = materialize(
