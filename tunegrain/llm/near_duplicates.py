@@ -2,8 +2,7 @@
 
 Texts with equal shingle sets form one class; only classes are compared. A class keeps the k
 smallest shingle hashes. Inverted lists of kept values, rarest first, find pairs: two
-sets of similarity 0.75 share so many kept values (at least LEAST_SHARE of them, but for odds
-below one in a million) that one of the few rarest is common, so a passage that is found in very many
+linked sets share so many kept values (`least_shared`, but for odds below MISS) that one of the few rarest is common, so a passage that is found in very many
 texts is not listed unless it makes up about half a text. Each list is compared with its head, the
 member with the fewest values of its own; the union sketch filters pairs, the full sets decide.
 Lists that still hold several components are then built again from full sets, where no odds are
@@ -12,21 +11,33 @@ left, compared with their heads, and at last among the classes of different comp
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tunegrain.llm.columns import unused
 from tunegrain.llm.components import components
 from tunegrain.llm.encode import text_slices
 from tunegrain.llm.shingles import Shingler
 from tunegrain.runtime import broadcast_within, materialize
 
 SKETCH = 64
-LEAST_SHARE = 0.47  # 30 of 64 values; 48 are expected at a similarity of 0.75
+MISS = 1e-7  # odds that a pair at the threshold shares fewer kept values than `least_shared`
 BITS = [f"w{i}" for i in range(16)]  # words of a set's bitmap
-EXACT_BELOW = 48  # such sets and all their partners are kept whole, so the share is exact
+
+
+def least_shared(percent: int) -> int:
+    """The kept values that two sets at the threshold share but for odds of MISS: each is common with odds of percent / 100 (28 of 64 at 75)."""
+    share, tail = percent / 100, 0.0
+    for shared in range(SKETCH + 1):
+        tail += comb(SKETCH, shared) * share**shared * (1 - share) ** (SKETCH - shared)
+        if tail >= MISS:
+            return max(1, shared)
+    return SKETCH
 
 
 def _key(values: np.ndarray) -> tuple[int, int]:
@@ -99,7 +110,7 @@ def _alike_sketches(pairs: DataFrame, classes: DataFrame, percent: int) -> DataF
     )
     lowest = F.slice(F.array_sort(F.transform(F.array_union("sa", "sb"), _unsigned)), 1, SKETCH)
     both = F.size(F.array_intersect(F.transform(F.array_intersect("sa", "sb"), _unsigned), lowest))
-    return materialize(near.filter(both >= LEAST_SHARE * F.size(lowest)).select("a", "b"), "pairs")
+    return materialize(near.filter(both * SKETCH >= least_shared(percent) * F.size(lowest)).select("a", "b"), "pairs")
 
 
 def _alike_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -153,7 +164,9 @@ def _judged(docs: DataFrame, percent: int) -> DataFrame:
     classes = materialize(members, "classes")
 
     kept = F.size("sketch")
-    least = F.when(F.col("n") <= EXACT_BELOW, F.ceil(F.col("s") * percent / 100)).otherwise(F.ceil(F.col("s") * LEAST_SHARE))
+    # Up to that size sets and all their partners are kept whole, so the share is exact.
+    whole = F.col("n") <= SKETCH * percent // 100
+    least = F.when(whole, F.ceil(F.col("s") * percent / 100)).otherwise(F.ceil(F.col("s") * least_shared(percent) / SKETCH))
     values = classes.select("node", "n", kept.alias("s"), F.explode("sketch").alias("value"))
     lists = materialize(_prefixes(values, least), "prefixes")
     near = _alike_sketches(_heads(lists), classes, percent)
@@ -217,8 +230,9 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     stands = (F.col("n_shingles") == 0) | ((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("stands")))
     found = materialize(_judged(docs, percent).dropna(subset=["doc_id"]).select("doc_id", "text_hash", stands.alias("kept")), "kept")
     gone = found.filter("not kept").select("doc_id", "text_hash").distinct()
-    gone = broadcast_within(gone, gone.count()).toDF("_gone", "_hash")
-    left = docs.join(gone, (docs["doc_id"] == F.col("_gone")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    id_, hash_ = unused(docs, "gone", "gone_hash")
+    gone = broadcast_within(gone, gone.count()).toDF(id_, hash_)
+    left = docs.join(gone, (docs["doc_id"] == F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(hash_)), "left_anti")
     # only repeated ids need a shuffle of texts
     repeated = not found.filter("kept").groupBy("doc_id").count().filter("count > 1").isEmpty()
     return left.dropDuplicates(["doc_id", "text"]) if repeated else left
