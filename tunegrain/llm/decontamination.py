@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tunegrain.llm.columns import unused
 from tunegrain.runtime import broadcast_within, materialize
 
 WINDOW = 13
@@ -67,8 +68,7 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tup
     """
     parts, holders = _windows(items, window)
     parts, holders = materialize(parts, "windows"), materialize(holders, "holders")
-    wanted = parts.select("size", "shingle").distinct()
-    bound = parts.count()
+    wanted = materialize(parts.select("size", "shingle").distinct(), "wanted")
     sizes = [r["size"] for r in parts.select("size").distinct().collect()]
     texts = docs.select(
         "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), words_of("text").alias("w")
@@ -82,7 +82,7 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tup
     )
     spread = texts.select("row", "doc_id", "text_hash", F.size("w").alias("n_words"), F.inline(entries))
     mark = docs.sparkSession.range(1).select(F.lit(0).alias("size"), F.lit("").alias("shingle"))
-    keys = broadcast_within(wanted.unionByName(mark), bound + 1)
+    keys = broadcast_within(wanted.unionByName(mark), wanted.count() + 1)
     found = materialize(spread.join(keys, ["size", "shingle"]), "shingles")
     rows = found.filter("size = 0").select("row", "doc_id", "text_hash", "n_words")
     hits = found.filter("size > 0")
@@ -94,11 +94,11 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tup
         F.min(F.coalesce("often", F.lit(0))).alias("least"), F.count("*").alias("shingles"),
     ).filter("least > 0")
     prefix = materialize(ranked.select("wid", "length", "shingles", "p.size", "p.shingle", "p.place"), "prefixes")
-    windows = broadcast_within(prefix, bound)
+    windows = broadcast_within(prefix, prefix.count())
     candidates = hits.join(windows, ["size", "shingle"]).withColumn("start", F.col("pos") - F.col("place")).filter(
         "start >= 0 and start + length <= n_words"
     ).select("row", "wid", "start", "length", "shingles")
-    needed = candidates.join(broadcast_within(parts.drop("length"), bound), "wid").withColumn("pos", F.col("start") + F.col("place"))
+    needed = candidates.join(broadcast_within(parts.drop("length"), parts.count()), "wid").withColumn("pos", F.col("start") + F.col("place"))
     places = hits.select("row", "pos", "size", "shingle")
     whole = (
         needed.join(places, ["row", "pos", "size", "shingle"]).groupBy("row", "wid", "start", "length", "shingles")
@@ -137,9 +137,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of `docs`, with all columns, that are not contaminated."""
-    bad = contamination(docs, items, window).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    id_, hash_ = unused(docs, "bad_id", "bad_hash")
+    bad = contamination(docs, items, window).filter("contaminated").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
     bad = materialize(bad.distinct(), "contaminated")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(hash_))
     return docs.join(broadcast_within(bad, bad.count()), same, "left_anti")
 
 

@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tunegrain.llm.columns import unused
 from tunegrain.runtime import broadcast_within, materialize
 
 # The patterns of the base kinds, and the least lengths of what they find.
@@ -165,10 +166,11 @@ def redact(docs: DataFrame, weights: list[int], mark: str = "[secret]") -> DataF
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")
     )
     # equal texts have equal spans
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans").dropDuplicates(["_id", "_hash"])
+    id_, hash_, found = unused(docs, "span_id", "span_hash", "found_spans")
+    spans = spans.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("spans").alias(found)).dropDuplicates([id_, hash_])
     spans = materialize(spans, "spans")
     spans = broadcast_within(spans, spans.count())
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash")), "left")
+    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(hash_)), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def put(done, span):
@@ -180,8 +182,8 @@ def redact(docs: DataFrame, weights: list[int], mark: str = "[secret]") -> DataF
     def finish(done):
         return F.concat(done["out"], F.col("text").substr((done["at"] + 1).cast("int"), F.length("text")))
 
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.aggregate("spans", start, put, finish))
+    text = F.when(F.col(found).isNull(), F.col("text")).otherwise(F.aggregate(found, start, put, finish))
     changed = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        changed = changed.withColumn("n_chars", F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return changed.select(*docs.columns)
