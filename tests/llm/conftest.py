@@ -26,7 +26,8 @@ def texts():
 @pytest.fixture
 def odd(spark):
     return spark.createDataFrame(
-        [(*r, 7, 0, "k") for r in ODD], "doc_id long, text string, node string, row int, start int, value string"
+        [(*r, 7, 0, "k", 1, 2, 3, "s") for r in ODD],
+        "doc_id long, text string, node string, row int, start int, value string, _gone long, _hash long, _id long, spans string",
     )
 
 

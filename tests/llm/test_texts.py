@@ -212,6 +212,18 @@ def test_repeats_of_odd_rows(spark, odd, empty):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_many_texts_of_one_id_keep_their_own_bytes(spark):
+    """Texts of one doc_id are told apart by all bits of a hash, whatever their number."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(80))
+    rows = [(1, passage)]
+    for i in range(1600):
+        start, end = ("".join(rng.choice("klmnopqrst ") for _ in range(60)) for _ in range(2))
+        rows.append((2, start + (passage if i % 2 else "") + end))
+    found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == remove(rows)
+
+
 def test_surroundings_are_told_by_all_bits(monkeypatch):
     n = 4
     s = np.array([8, 8, 9, 8], np.uint64)  # the third differs in its last bit, the fourth in its anchor

@@ -1,8 +1,8 @@
 """WARC derivatives: metadata and plain-text conversion records of fetched pages.
 
 Every response gives two records that refer back to it by its identifier, address and date, and
-keep its HTTP headers and payload digest. Identifiers are names (digests of kind, address and
-payload in UUID form), so a repeated task writes the same records.
+keep its HTTP headers and payload digest. Identifiers are names (digests in UUID form): of a response's page, date,
+address and payload, and of a derived record's kind and response, so a repeated task writes the same records.
 """
 
 from __future__ import annotations
@@ -52,13 +52,13 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
         F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: "), F.octet_length(payload).cast("string")
     )
     return pages.select(
-        "page_id", record_id("response", uri, digest).alias("record_id"), uri.alias("target_uri"), F.lit(date).alias("date"),
+        "page_id", record_id("response", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(date), uri, digest).alias("record_id"), uri.alias("target_uri"), F.lit(date).alias("date"),
         headers.alias("headers"), payload.alias("payload"), digest.alias("payload_digest"),
     )
 
 
-def record_id(kind: str, uri: Column, digest: Column) -> Column:
-    name = F.md5(F.concat_ws("|", F.lit(kind), uri, digest).cast("binary"))
+def record_id(kind: str, *parts: Column) -> Column:
+    name = F.md5(F.concat_ws("|", F.lit(kind), *parts).cast("binary"))
     parts = [F.substring(name, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -66,11 +66,12 @@ def record_id(kind: str, uri: Column, digest: Column) -> Column:
 def _metadata_block() -> Column:
     title = F.trim(F.regexp_replace(_decoded(F.regexp_replace(F.regexp_extract("payload", TITLE, 1), "<[^>]*>", "")), r"\s+", " "))
     links = F.regexp_extract_all("payload", F.lit(LINK), F.lit(1))
+    lines = F.split("headers", EOL)
     return F.concat_ws(
         EOL, F.concat(F.lit("title: "), title), F.concat(F.lit("language: "), F.regexp_extract("payload", LANGUAGE, 1)),
         F.transform(links, lambda x: F.concat(F.lit("outlink: "), _decoded(x))),
         # the source's own header lines
-        F.transform(F.slice(F.split("headers", EOL), 2, 100), lambda x: F.concat(F.lit("source-header: "), x)),
+        F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.concat(F.lit("source-header: "), x)),
     )
 
 
@@ -84,14 +85,16 @@ def derive(source: DataFrame) -> DataFrame:
     rows = source.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("payload_digest").alias("source_digest"), F.inline(blocks))
     digest = F.concat(F.lit("sha256:"), F.sha2(F.col("block").cast("binary"), 256))
     rows = rows.withColumn("block_digest", digest).withColumn("content_length", F.octet_length("block").cast("long"))
-    name = F.when(F.col("record_type") == "metadata", record_id("metadata", F.col("target_uri"), F.col("source_digest"))).otherwise(
-        record_id("conversion", F.col("target_uri"), F.col("source_digest"))
+    name = F.when(F.col("record_type") == "metadata", record_id("metadata", F.col("refers_to"))).otherwise(
+        record_id("conversion", F.col("refers_to"))
     )
     rows = rows.withColumn("record_id", name)
+    # a line end in an address would end the header line
+    uri = F.replace(F.replace(F.col("target_uri"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     lines = [
         F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), "record_type"), F.concat(F.lit("WARC-Record-ID: "), "record_id"),
-        F.concat(F.lit("WARC-Date: "), "date"), F.concat(F.lit("WARC-Target-URI: "), "target_uri"), F.concat(F.lit("WARC-Refers-To: "), "refers_to"),
-        F.concat(F.lit("WARC-Refers-To-Target-URI: "), "target_uri"), F.concat(F.lit("WARC-Refers-To-Date: "), "date"),
+        F.concat(F.lit("WARC-Date: "), "date"), F.concat(F.lit("WARC-Target-URI: "), uri), F.concat(F.lit("WARC-Refers-To: "), "refers_to"),
+        F.concat(F.lit("WARC-Refers-To-Target-URI: "), uri), F.concat(F.lit("WARC-Refers-To-Date: "), "date"),
         F.concat(F.lit("WARC-Source-Payload-Digest: "), "source_digest"), F.concat(F.lit("WARC-Block-Digest: "), "block_digest"),
         F.concat(F.lit("Content-Type: "), "content_type"), F.concat(F.lit("Content-Length: "), F.col("content_length").cast("string")),
     ]
@@ -113,8 +116,8 @@ def _decode_sql(text: str) -> str:
     return text
 
 
-def _uuid_sql(kind: str, digest: str) -> str:
-    name = f"md5('{kind}|' || uri || '|' || {digest})"
+def _uuid_sql(kind: str, rest: str) -> str:
+    name = f"md5('{kind}|' || {rest})"
     return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({name}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
 
 
@@ -127,16 +130,18 @@ _TITLE = rf"trim(regexp_replace({_decode_sql(f"regexp_replace(regexp_extract(htm
 DERIVED_SQL = rf"""
 with page as (
   select page_id, coalesce(url, '') as uri, coalesce(html, '') as html, 'sha256:' || sha256(coalesce(html, '')) as source_digest from pages
+), fetched as (
+  select *, {_uuid_sql('response', f"coalesce(page_id::varchar, '') || '|{DATE}|' || uri || '|' || source_digest")} as refers_to from page
 ), block as (
-  select *, {_uuid_sql('response', 'source_digest')} as refers_to, 'conversion' as record_type, {_uuid_sql('conversion', 'source_digest')} as record_id,
-    'text/plain; charset=utf-8' as content_type, {_TEXT} as block from page
+  select *, 'conversion' as record_type, {_uuid_sql('conversion', 'refers_to')} as record_id,
+    'text/plain; charset=utf-8' as content_type, {_TEXT} as block from fetched
   union all
-  select *, {_uuid_sql('response', 'source_digest')}, 'metadata', {_uuid_sql('metadata', 'source_digest')}, 'application/warc-fields',
+  select *, 'metadata', {_uuid_sql('metadata', 'refers_to')}, 'application/warc-fields',
     array_to_string(list_concat(
       ['title: ' || {_TITLE}, 'language: ' || regexp_extract(html, '{LANGUAGE}', 1)],
       list_transform(regexp_extract_all(html, '{LINK}', 1), lambda x: 'outlink: ' || {_decode_sql('x')}),
       ['source-header: Content-Type: text/html; charset=utf-8', 'source-header: Content-Length: ' || strlen(html)]
-    ), chr(13) || chr(10)) from page
+    ), chr(13) || chr(10)) from fetched
 )
 select page_id, record_type, record_id, refers_to, uri as target_uri, content_type, strlen(block)::bigint as content_length,
   'sha256:' || sha256(block) as block_digest, source_digest from block
