@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 from functools import reduce
+from math import prod
 from operator import and_, or_
 from typing import Any
 
@@ -284,13 +286,46 @@ def shortest_path(edges: DataFrame | Layout, source: Any, target: Any, max_depth
     return shortest_paths(edges, spark.createDataFrame([(source, target)], ["source", "target"]), max_depth)
 
 
+def _order_code(df: DataFrame, order: Sequence[str]) -> Column | None:
+    """`order` as one whole number that sorts alike (nulls first), or None if a column is no whole number, date or time, or the ranges are too wide."""
+    kinds = dict(df.dtypes)
+    numbers = []
+    for c in order:
+        if kinds[c] in ("tinyint", "smallint", "int", "bigint", "boolean"):
+            numbers.append(F.col(c).cast("bigint"))
+        elif kinds[c] == "date":
+            numbers.append(F.unix_date(c).cast("bigint"))
+        elif kinds[c] in ("timestamp", "timestamp_ntz"):
+            numbers.append(F.unix_micros(F.col(c).cast("timestamp")))
+        else:
+            return None
+    ends = df.agg(*[f(n) for n in numbers for f in (F.min, F.max)]).first()
+    lows = [ends[2 * i] or 0 for i in range(len(numbers))]
+    radices = [(ends[2 * i + 1] or 0) - low + 2 for i, low in enumerate(lows)]
+    if prod(radices) >= 10**38:
+        return None
+    kind = "bigint" if prod(radices) < 1 << 63 else "decimal(38,0)"
+    code = F.lit(0).cast(kind)
+    for number, low, radix in zip(numbers, lows, radices):
+        # the lowest place is for null
+        place = F.coalesce(number.cast("decimal(20,0)") - F.lit(Decimal(low - 1)).cast("decimal(20,0)"), F.lit(0)).cast(kind)
+        code = (code * F.lit(Decimal(radix)).cast(kind) + place).cast(kind)
+    return code
+
+
 def first_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The first row of each key in `order` (nulls first); of equal rows in that order, one.
 
-    Partial minima keep a hot key out of the shuffle. Only the order columns are aggregated; the
-    rows are found again by key and order.
+    Partial minima keep a hot key out of the shuffle. Whole numbers, dates and times are packed into one number of fixed width, so the
+    minimum is found by hashing; other orders are compared as structs, which takes a sort. Rows are found again by key and order.
     """
     others = [c for c in df.columns if c != key]
+    code = _order_code(df, order)
+    if code is not None:
+        coded = df.withColumn("_code", code)
+        best = coded.groupBy(F.col(key).alias("_key")).agg(F.min("_code").alias("_least"))
+        found = coded.join(best, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_code") == F.col("_least")), "left_semi")
+        return found.dropDuplicates([key, "_code"]).select(key, *others)
     names = {c: f"_first_{c}" for c in (key, *order)}
     best = df.groupBy(key).agg(F.min(F.struct(*order)).alias("_best")).select(
         F.col(key).alias(names[key]), *[F.col(f"_best.{c}").alias(names[c]) for c in order]

@@ -10,7 +10,7 @@ from tunegrain.operators import features, graph, timing, training
 from tunegrain.plans import corpus, year_prediction
 from tunegrain.plans.graph_queries import _EDGES, _PAIRS, _PATH, _SEARCH, _shown, artists, layout
 from tunegrain.plans.registry import ORDER_YEARS_SQL, hash_sql, order_years, query, rounded, table
-from tunegrain.runtime import new_folder
+from tunegrain.runtime import broadcast_within, materialize, new_folder
 from tunegrain.schema import SIGNATURE_WIDTH
 from tunegrain.sources.logs import read_timing_log
 
@@ -74,8 +74,8 @@ def decade_classes(spark, d):
     songs = _customer_years(spark, d)
     report, _ = year_prediction.predict_decades(songs)
     names = features.class_index(songs.select((F.floor(F.col("year") / 10) * 10).alias("decade")), "decade")
-    predicted = names.select(F.col("decade").alias("predicted"), F.col("label").cast("double").alias("prediction"))
-    return report.predictions.join(F.broadcast(predicted.limit(10)), "prediction").select(
+    predicted = materialize(names.select(F.col("decade").alias("predicted"), F.col("label").cast("double").alias("prediction")), "decades")
+    return report.predictions.join(broadcast_within(predicted, predicted.count()), "prediction").select(
         "song_id", F.col("decade").cast("int").alias("decade"), F.col("predicted").cast("int").alias("predicted")
     )
 
