@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import bz2
 import gzip
 import json
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
@@ -87,3 +89,40 @@ def test_ranks_are_dense_over_partitions(spark):
     df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("v")).repartition(5)
     rows = ranking.with_rank(df, ["v"]).collect()
     assert all(r.v == r["rank"] for r in rows) and len(rows) == 1000
+
+
+def _avro(rows: int) -> bytes:
+    """A container of `rows` blocks with one long each, put together by hand."""
+    def number(n):
+        n, out = n << 1, b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def run(data):
+        return number(len(data)) + data
+
+    head = b"Obj\x01" + number(2) + run(b"avro.schema") + run(b'"long"') + run(b"avro.codec") + run(b"null") + number(0)
+    marker = bytes(range(16))
+    return head + marker + b"".join(number(1) + run(number(300 + i)) + marker for i in range(rows))
+
+
+def test_packed_and_avro_files_come_whole_or_are_named(spark, tmp_path):
+    text = "".join(f'{{"a": {i}, "b": "x{i * i}"}}\n' for i in range(2000)).encode()
+    packed = {
+        "json.bz2": bz2.compress(text), "json.zst": zstandard.ZstdCompressor().compress(text), "json.gz": gzip.compress(text), "avro": _avro(40),
+    }
+    for ending, data in packed.items():
+        folder = tmp_path / ending
+        folder.mkdir()
+        (folder / f"whole.{ending}").write_bytes(data)
+        (folder / f"half.{ending}").write_bytes(data[: len(data) // 2])
+        (folder / f"short.{ending}").write_bytes(data[:-3])
+        fmt = "avro" if ending == "avro" else "json"
+        broken = [r.path.rsplit("/", 1)[1] for r in songs.unreadable_files(spark, str(folder), f"*.{ending}", fmt).collect()]
+        assert sorted(broken) == [f"half.{ending}", f"short.{ending}"]
+    two = tmp_path / "two.json.zst"
+    two.write_bytes(packed["json.zst"] * 2)
+    assert songs.unreadable_files(spark, str(tmp_path), "two.*", "json").count() == 0
+    made = songs.compact_small_files(spark, str(tmp_path / "json.bz2"), "*.bz2", str(tmp_path / "out"), "json", "a long, b string")
+    assert made.count() == 2000

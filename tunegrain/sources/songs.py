@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import bz2
 import gzip
 import zlib
-from collections.abc import Callable, Sequence
-from urllib.parse import unquote
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -43,11 +43,12 @@ def write_songs(
     df.write.format(fmt).option("compression", compression).mode(mode).save(path)
 
 
-def output_files(spark: SparkSession, files: Sequence[str], target_bytes: int) -> int:
-    """Number of output files for the bytes of `files`; file contents are not read."""
-    if not files:
-        return 1
-    sizes = spark.read.format("binaryFile").load([unquote(f) for f in files])
+def output_files(spark: SparkSession, paths: Sequence[str], target_bytes: int, glob: str = "*") -> int:
+    """Number of output files for the bytes of all files below `paths`.
+
+    Sizes are summed in a scan that reads no contents; no list of files is made.
+    """
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(list(paths))
     return max(1, -(-(sizes.agg(F.sum("length")).first()[0] or 0) // target_bytes))
 
 
@@ -62,7 +63,7 @@ def merge_tables(
         if schema != schemas[0]:
             raise ValueError(f"schema mismatch in {path}")
     merged = spark.read.format(fmt).schema(schemas[0]).load(list(paths))
-    files = output_files(spark, merged.inputFiles(), target_bytes)
+    files = output_files(spark, paths, target_bytes)
     # Coalescing joins input splits without a shuffle; every task still writes about one target file.
     write_songs(merged.coalesce(files), out, fmt)
     return spark.read.format(fmt).schema(schemas[0]).load(out)
@@ -88,7 +89,7 @@ def compact_small_files(
         # Features are far smaller than their input: files are sized by what comes out.
         rows = transform(raw).hint("rebalance")
     else:
-        rows = raw.coalesce(output_files(spark, source.inputFiles(), target_bytes))
+        rows = raw.coalesce(output_files(spark, [folder], target_bytes, glob))
     write_songs(rows, out)
     return spark.read.schema(rows.schema).parquet(out)
 
@@ -111,23 +112,93 @@ def _small_files(
     return (reader.schema(schema) if schema is not None else reader.option("mergeSchema", "true")).load(folder)
 
 
+def _unzstd(data: bytes) -> bytes:
+    """All frames of zstd-compressed bytes; a frame without its end is an error."""
+    import zstandard
+
+    parts = []
+    while data:
+        frame = zstandard.ZstdDecompressor().decompressobj()
+        parts.append(frame.decompress(data))
+        if not frame.eof:
+            raise EOFError("a frame ends early")
+        data = frame.unused_data
+    return b"".join(parts)
+
+
+def _avro_blocks(data: bytes) -> Iterator[bytes]:
+    """The blocks of an Avro container; each has to end in the file's marker, and the last one with the file."""
+    at = 4
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return (value >> 1) ^ -(value & 1)
+
+    def run() -> bytes:
+        nonlocal at
+        size = number()
+        part = data[at: at + size]
+        if size < 0 or len(part) < size:
+            raise EOFError("a value ends early")
+        at += size
+        return part
+
+    if data[:4] != b"Obj\x01":
+        raise OSError("not an Avro container")
+    while pairs := number():  # the header's entries; a negative count has its size in bytes behind it
+        if pairs < 0:
+            number()
+        for _ in range(2 * abs(pairs)):
+            run()
+    marker = data[at: at + 16]
+    if len(marker) < 16:
+        raise EOFError("no marker")
+    at += 16
+    while at < len(data):
+        number()  # rows
+        block = run()
+        if data[at: at + 16] != marker:
+            raise OSError("a block without its marker")
+        at += 16
+        yield block
+
+
+_UNPACK = {".gz": gzip.decompress, ".bz2": bz2.decompress, ".zst": _unzstd}
+
+
 def _breaks(name: str, data: bytes, fmt: str) -> bool:
     """Whether a file's bytes cannot be read to their end."""
     try:
-        if name.endswith(".gz"):
-            data = gzip.decompress(data)
+        for ending, unpack in _UNPACK.items():
+            if name.endswith(ending):
+                data = unpack(data)
         if fmt == "parquet":
             for _ in pq.ParquetFile(pa.BufferReader(data)).iter_batches():
                 pass
         elif fmt == "orc":
             orc.ORCFile(pa.BufferReader(data)).read()
-    except (pa.ArrowException, OSError, EOFError, zlib.error):
+        elif fmt == "avro":
+            for _ in _avro_blocks(data):
+                pass
+    except (pa.ArrowException, OSError, EOFError, ValueError, IndexError, zlib.error):
+        return True
+    except Exception as error:  # the class of another library, which may not be installed where nothing needs it
+        if type(error).__module__.partition(".")[0] != "zstandard":
+            raise
         return True
     return False
 
 
 def unreadable_files(spark: SparkSession, folder: str, glob: str, fmt: str = "parquet") -> DataFrame:
-    """(path): files below `folder` that break before their end, in Parquet, ORC or gzip-compressed text.
+    """(path): files below `folder` that break before their end: Parquet, ORC, Avro (block by block), and text
+    packed by gzip, bzip2 or zstd. Text without packing has no end to miss.
 
     Every file is read whole in its task, as fits the many small files of this job.
     """
