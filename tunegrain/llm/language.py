@@ -21,6 +21,9 @@ from tunegrain.llm.encode import text_slices
 from tunegrain.runtime import broadcast_within, materialize
 
 SAMPLE_TEXTS = 1_000  # texts per language that are learned from, about
+TOTAL_TEXTS = 64_000  # and of all languages together
+LANGUAGES = 1_000  # languages that are learned, those of most different texts
+WEIGHTS = 1 << 24  # weights in a model; with more languages features share slots
 WINDOW, WINDOWS = 32, 4  # words in a training sequence, at most, and sequences per text
 SLOTS = 1 << 17  # hashed features
 NGRAMS = (1, 2, 3, 4)
@@ -68,14 +71,14 @@ def emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
     if not words:
         return np.zeros((0, weights.shape[1]), np.float32)
     slots, counts = word_features(words)
-    return np.add.reduceat(weights[slots], np.cumsum(counts) - counts, axis=0)
+    return np.add.reduceat(weights[slots & (len(weights) - 1)], np.cumsum(counts) - counts, axis=0)
 
 
 def posteriors(scores: np.ndarray, change: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Posterior of every label of every word; texts stand one after another.
 
     Texts are cut into blocks. Products of the blocks' transfer matrices carry the state over block
-    borders, so all blocks of all texts advance together, however long a text is.
+    borders, so all blocks of all texts advance together, about STATES entries at a time, however long a text is.
     """
     labels = scores.shape[1]
     blocks = -(-lengths // BLOCK)
@@ -83,22 +86,31 @@ def posteriors(scores: np.ndarray, change: np.ndarray, lengths: np.ndarray) -> n
     first_block = np.cumsum(blocks) - blocks
     word = np.arange(len(scores)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     block, step = np.repeat(first_block, lengths) + word // BLOCK, word % BLOCK
-    weight = np.ones((BLOCK, total, labels), np.float64)
-    weight[step, block] = np.exp(scores - scores.max(1, keepdims=True))
-    filled = np.zeros((BLOCK, total), bool)
-    filled[step, block] = True
+    edges = [*range(0, total, max(1, STATES // (BLOCK * labels))), total]
     table = np.exp(change - change.max())
 
     def norm(x, axes):
         return x / x.sum(axes, keepdims=True)
 
+    def laid(a, b):
+        """Words of blocks a to b, their weights by place and block, and which places hold one."""
+        own = slice(*np.searchsorted(block, [a, b]))
+        at = step[own], block[own] - a
+        weight, filled = np.ones((BLOCK, b - a, labels)), np.zeros((BLOCK, b - a), bool)
+        weight[at] = np.exp(scores[own] - scores[own].max(1, keepdims=True))
+        filled[at] = True
+        return own, at, weight, filled
+
     product = np.broadcast_to(np.eye(labels), (total, labels, labels)).copy()
-    for t in range(BLOCK):
-        live = filled[t]
-        if not live.any():
-            break
-        moved = product[live] @ table * weight[t, live][:, None, :]
-        product[live] = norm(moved, (1, 2))
+    for a, b in zip(edges, edges[1:]):
+        _, _, weight, filled = laid(a, b)
+        part = product[a:b]
+        for t in range(BLOCK):
+            live = filled[t]
+            if not live.any():
+                break
+            moved = part[live] @ table * weight[t, live][:, None, :]
+            part[live] = norm(moved, (1, 2))
     # state before each block, and what follows behind it, text by text
     start = np.full((total, labels), 1 / labels)
     finish = np.full((total, labels), 1 / labels)
@@ -107,18 +119,22 @@ def posteriors(scores: np.ndarray, change: np.ndarray, lengths: np.ndarray) -> n
         start[at] = norm(np.einsum("bi,bij->bj", start[at - 1], product[at - 1]), 1)
         at = (first_block + blocks - 1 - k)[blocks > k]
         finish[at] = norm(np.einsum("bij,bj->bi", product[at + 1], finish[at + 1]), 1)
-    forward = np.empty_like(weight)
-    state = start
-    for t in range(BLOCK):
-        new = norm(state @ table * weight[t], 1)
-        state = np.where(filled[t][:, None], new, state)
-        forward[t] = state
-    state, out = finish, np.empty_like(weight)
-    for t in range(BLOCK - 1, -1, -1):
-        out[t] = forward[t] * state
-        new = norm((weight[t] * state) @ table.T, 1)
-        state = np.where(filled[t][:, None], new, state)
-    return norm(out[step, block], 1)
+    found = np.empty(scores.shape)
+    for a, b in zip(edges, edges[1:]):
+        own, at, weight, filled = laid(a, b)
+        forward = np.empty_like(weight)
+        state = start[a:b]
+        for t in range(BLOCK):
+            new = norm(state @ table * weight[t], 1)
+            state = np.where(filled[t][:, None], new, state)
+            forward[t] = state
+        state = finish[a:b]
+        for t in range(BLOCK - 1, -1, -1):
+            forward[t] *= state
+            new = norm((weight[t] * state) @ table.T, 1)
+            state = np.where(filled[t][:, None], new, state)
+        found[own] = norm(forward[at], 1)
+    return found
 
 
 @dataclass(frozen=True)
@@ -159,7 +175,10 @@ def fit(sequences: list[tuple[str, list[str]]], epochs: int = 4, batch: int = 25
     """Weights from sequences of 1 to WINDOW words of one language each, a quarter of them spliced in pairs."""
     languages = sorted({language for language, _ in sequences})
     labels = len(languages)
-    weights = np.zeros((SLOTS, labels), np.float32)
+    size = SLOTS
+    while size * labels > WEIGHTS:
+        size //= 2
+    weights = np.zeros((size, labels), np.float32)
     change = np.zeros((labels, labels))
     if labels < 2:
         return LanguageModel(languages, weights, change)
@@ -167,6 +186,7 @@ def fit(sequences: list[tuple[str, list[str]]], epochs: int = 4, batch: int = 25
     of = {language: i for i, language in enumerate(languages)}
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, words in sequences for w in words}))}
     slots, counts = word_features(list(vocabulary))
+    slots &= len(weights) - 1
     starts = np.cumsum(counts) - counts
     words, gold = np.zeros((2, len(sequences), WINDOW), np.int64)
     lengths = np.array([len(sequence) for _, sequence in sequences])
@@ -180,7 +200,7 @@ def fit(sequences: list[tuple[str, list[str]]], epochs: int = 4, batch: int = 25
         cut, behind = -(-size[i] // 2), size[j] // 2
         lengths[i] = cut + size[j] - behind
         words[i, cut: lengths[i]], gold[i, cut: lengths[i]] = plain[j, behind: size[j]], label[j, behind: size[j]]
-    squares, change_squares = np.full((SLOTS, labels), 1e-6, np.float32), np.full((labels, labels), 1e-6)
+    squares, change_squares = np.full(weights.shape, 1e-6, np.float32), np.full((labels, labels), 1e-6)
     for epoch in range(epochs):
         for at in np.array_split(rng.permutation(len(words)), max(1, len(words) // batch)):
             own, back = np.unique(words[at], return_inverse=True)
@@ -202,13 +222,13 @@ def fit(sequences: list[tuple[str, list[str]]], epochs: int = 4, batch: int = 25
     return LanguageModel(languages, weights, change)
 
 
-def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> LanguageModel:
-    """Learn from about `sample_texts` texts of each language outside the held-out fold.
+def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, total_texts: int = TOTAL_TEXTS, languages: int = LANGUAGES) -> LanguageModel:
+    """Learn from about `sample_texts` texts of each language outside the held-out fold, and about `total_texts` in all.
 
     Different texts are chosen by a hash, and at most WINDOWS sequences of each, spread over the whole text,
-    come to the driver; a text of fewer than WINDOW words is one shorter sequence. Every language with a word
-    is learned, so the model has a column of SLOTS weights for each. Rows with a null text or language, and
-    texts without a word, teach nothing.
+    come to the driver; a text of fewer than WINDOW words is one shorter sequence. Up to `languages` languages with
+    a word are learned, those of most different texts (then by name), so a column of dirty labels does not end the
+    driver; the model holds at most WEIGHTS weights. Rows with a null text or language, and texts without a word, teach nothing.
     """
     labelled = docs.select("doc_id", "text", "lang").filter(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False))
@@ -216,8 +236,10 @@ def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> LanguageModel:
     labelled = labelled.withColumn("hash", F.xxhash64("text"))
     # equal texts have equal hashes and count once
     known = labelled.select("lang", "hash").distinct().groupBy("lang").count()
-    known = materialize(known.select("lang", F.least(F.lit(DRAWS), F.ceil(F.lit(DRAWS * sample_texts) / F.col("count"))).alias("cut")), "languages")
+    known = materialize(known.orderBy(F.desc("count"), "lang").limit(languages), "languages")
     count = known.count()
+    each = min(sample_texts, max(1, total_texts // max(count, 1)))
+    known = known.select("lang", F.least(F.lit(DRAWS), F.ceil(F.lit(DRAWS * each) / F.col("count"))).alias("cut"))
     chosen = labelled.join(broadcast_within(known, count), "lang").filter(F.pmod("hash", F.lit(DRAWS)) < F.col("cut")).select("lang", "text")
 
     def windows(batches):
@@ -253,9 +275,11 @@ def identify(docs: DataFrame, model: LanguageModel, runs: bool = False) -> DataF
     languages. A run has the first word, the word behind its last, and its language.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     run_type = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def work(batches):
+        model = shared.value
         known, table = _Words(), np.zeros((0, len(model.languages)), np.float32)
         for part, texts in text_slices(batches):
             rows: list[int] = []
