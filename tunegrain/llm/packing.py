@@ -122,14 +122,20 @@ def _pack_group(capacity: int, turn: int, last: bool, settle: bool = False):
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """`pieces` with sequence_id and offset added; pieces need a length of 1 to `capacity`.
+    """`pieces` with sequence_id, offset and least_sequences added; pieces need a length of 1 to `capacity`.
 
-    Each round is written, so it is planned from counts and survives lost executors. A task
+    least_sequences is the certificate, the same in every row: the lower bound over the lengths of all pieces, so a
+    packing of as many sequences is the best there is. Up to MAX_ROUNDS rounds exchange pieces; the last one
+    places all that is left, at the cost of sequences with room. Each round is written, so it is planned from counts and survives lost executors. A task
     holds about `group_rows` lengths. No piece is dropped; an empty table gives an empty table.
     """
     stored = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     open_, placed, turn, settle = stored.select("row", "length"), None, 0, False
-    left = open_.count()
+    histogram = np.zeros(capacity + 1, np.int64)
+    for size, count in open_.groupBy("length").count().collect():  # at most `capacity` rows
+        histogram[size] = count
+    left = int(histogram.sum())
+    least = lower_bound(histogram, capacity)
     while True:
         groups = max(1, -(-left // group_rows))
         last = groups == 1 or turn == MAX_ROUNDS
@@ -147,11 +153,11 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = G
         before, left, turn = left, open_.count(), turn + 1
         # no sequence was filled: partitions that met their bound are done, others are dealt anew
         settle = left == before
-    return stored.join(placed, "row").drop("row")
+    return stored.join(placed, "row").drop("row").withColumn("least_sequences", F.lit(least).cast("long"))
 
 
 def pack_documents(
     docs: DataFrame, capacity: int = CAPACITY, end_id: int = 1, tokenizer: str | None = None, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
-    """Documents cut into pieces and packed: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Documents cut into pieces and packed: doc_id, piece, start, length, ids_crc32, sequence_id, offset, least_sequences."""
     return pack_pieces(token_pieces(docs, capacity, end_id, tokenizer), capacity, group_rows)
