@@ -11,7 +11,7 @@ left, compared with their heads, and at last among the classes of different comp
 
 from __future__ import annotations
 
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,7 @@ from tunegrain.runtime import broadcast_within, materialize
 SKETCH = 64
 MISS = 1e-7  # odds that a pair at the threshold shares fewer kept values than `least_shared`
 BITS = [f"w{i}" for i in range(16)]  # words of a set's bitmap
+CELL = 2_048  # members of a list that meet in one group, about
 
 
 def least_shared(percent: int) -> int:
@@ -153,6 +154,44 @@ def _labelled(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]
     return found, materialize(known.join(split, "value"), "lists")
 
 
+def _with_partner(members: DataFrame, percent: int) -> DataFrame:
+    """The `members` (value, n, most) of lists with some member of a size that their own values allow, and `upto`, the largest such size.
+
+    Common values are at most `most`, so a partner has no more than `upto` values. Members are counted by bands of
+    sizes; partners are at most one band apart. Templates whose texts differ by own values end here, in linear time.
+    """
+    members = members.withColumn("upto", F.expr(f"most * {100 + percent} div {percent} - n"))
+    members = members.withColumn("band", F.floor(F.log("n") / log(101 / percent)))
+    sizes = members.groupBy("value", "band").agg(F.min("n").alias("lo"), F.max("upto").alias("hi"))
+    near = sizes.select("value", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"), "lo", "hi")
+    near = materialize(near.groupBy("value", "band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "sizes")
+    found = members.join(broadcast_within(near, near.count()), ["value", "band"]).filter("upto >= lo and n <= hi")
+    return materialize(found.drop("band", "lo", "hi"), "members")
+
+
+def _cell_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one list, but of different components, that bounds do not rule out.
+
+    A list is dealt into cells of about CELL members by hash, and every two cells meet in a group of their own, so
+    a hot list is spread over many tasks.
+    """
+    cells = members.groupBy("value").count().filter("count > 1")
+    cells = materialize(cells.select("value", F.ceil(F.col("count") / CELL).cast("int").alias("cells")), "cells")
+    dealt = members.join(broadcast_within(cells, cells.count()), "value").withColumn("own", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+    left = dealt.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", F.col("cells") - 1))).drop("own", "cells")
+    right = dealt.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own")))).drop("own", "cells")
+    key = ["value", "i", "j"]
+    right = right.select(*[c if c in key else F.col(c).alias(f"{c}_b") for c in right.columns])
+    # Both sets less their own values bound what is common, and so do the bits that differ, since each
+    # comes from a value of one side only. A pair is taken from its first common list.
+    differ = " + ".join(f"bit_count({c} ^ {c}_b)" for c in BITS)
+    return left.join(right, key).filter(
+        "(i < j or node < node_b) and component <> component_b and n_b <= upto and n <= upto_b "
+        f"and (n + n_b - ({differ})) * (100 + {percent}) >= 2 * {percent} * (n + n_b) "
+        "and get(array_intersect(prefix, prefix_b), 0) = value"
+    ).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+
+
 def _judged(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id of every row, and the text_hash of its component's first row (`stands`)."""
     rows = materialize(_signatures(docs).withColumn("row", F.monotonically_increasing_id()), "signatures")
@@ -185,16 +224,7 @@ def _judged(docs: DataFrame, percent: int) -> DataFrame:
     left = left.join(first, "node").join(sets.drop("set"), "node").select(
         "value", "node", "n", "component", "prefix", (F.col("n") - F.col("single")).alias("most"), *BITS
     )
-    other = left.toDF(*[f"{c}_b" if c != "value" else c for c in left.columns])
-    # Both sets less their own values bound what is common, and so do the bits that differ, since each
-    # comes from a value of one side only. A pair is taken from its first common list.
-    differ = " + ".join(f"bit_count({c} ^ {c}_b)" for c in BITS)
-    rest = left.join(other, "value").filter(
-        "node < node_b and component <> component_b "
-        f"and least(most, most_b) * (100 + {percent}) >= {percent} * (n + n_b) "
-        f"and (n + n_b - ({differ})) * (100 + {percent}) >= 2 * {percent} * (n + n_b) "
-        "and get(array_intersect(prefix, prefix_b), 0) = value"
-    ).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+    rest = _cell_pairs(_with_partner(left, percent), percent)
     more = _alike_sets(materialize(rest, "pairs"), sets, percent)
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
