@@ -86,8 +86,10 @@ def test_passages_beside_a_dotted_capital():
 # --- language
 
 
-def test_posteriors(monkeypatch):
+@pytest.mark.parametrize("states", [1, 1 << 20])
+def test_posteriors(monkeypatch, states):
     monkeypatch.setattr(language, "BLOCK", 2)
+    monkeypatch.setattr(language, "STATES", states)
     rng = np.random.default_rng(0)
     for _ in range(10):
         lengths = np.array([rng.integers(1, 6), rng.integers(1, 4)])
@@ -129,6 +131,20 @@ def test_languages_of_short_texts(spark):
     assert sum(found[d] == lang for d, _, lang in rows) >= 0.9 * len(rows)
 
 
+def test_many_languages_stay_within_bounds(spark, monkeypatch):
+    """A column of dirty labels: as many languages as wanted, by their texts, and no more texts or weights than wanted."""
+    monkeypatch.setattr(language, "WEIGHTS", 1 << 18)
+    rows = [(i, f"word{'abcdefghij'[i % 10]} {'xyz'[i % 3] * (i % 7 + 1)} t{i}", f"l{i % 50:02}" if i % 4 else f"once{i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    fit = language.fit
+    monkeypatch.setattr(language, "fit", lambda sequences: seen.extend(sequences) or fit(sequences))
+    model = language.train(docs, total_texts=400, languages=25)
+    assert len(model.languages) <= 25 and not any(x.startswith("once") for x in model.languages)
+    assert len(seen) <= 25 * 40 and model.weights.size <= 1 << 18 and len(model.weights).bit_count() == 1
+    assert language.identify(docs, model).filter("score between 0 and 1").count() == 2000
+
+
 def test_padding_does_not_count():
     rng = np.random.default_rng(3)
     scores, change, gold = rng.normal(size=(2, 6, 3)), rng.normal(size=(3, 3)), rng.integers(0, 3, (2, 6))
@@ -168,6 +184,49 @@ def test_secrets(spark, texts, weights):
     assert {r.spans for r in rows if r.doc_id == 10_003} == {"random:0:24"}
 
 
+def plain_weights(texts):
+    """Log ratios of character pairs, counted letter by letter over all texts."""
+    values, words = set(), set()
+    for text in texts:
+        values |= {text[a:b] for a, k, b in base_spans(text) if k == 2}
+        values |= {m[0] for m in re.finditer("AKIA[A-Z0-9]+", text)}
+        assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+        values |= {m[2] for m in assign.finditer(text)}
+        words |= {m[0] for m in re.finditer("[A-Za-z0-9+/_=-]{8,}", text) if re.fullmatch("[A-Za-z]+", m[0])}
+    values = {v for v in values if len(v) >= 6}
+    tables = []
+    for sample in (words - values, values):
+        table = np.ones((68, 68))
+        for word in sample:
+            for a, b in zip(word, word[1:]):
+                table[secrets.ALPHABET.find(a), secrets.ALPHABET.find(b)] += 1
+        tables.append(np.log(table / table.sum(1, keepdims=True)))
+    return np.rint(1000 * (tables[1] - tables[0])).astype(int)
+
+
+def test_random_strings_equal_a_plain_model(spark, folder, texts):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    weights, plain = secrets.train(docs), plain_weights(texts.values())
+    assert (plain.ravel() == weights).all()
+    rng, letters = random.Random(8), secrets.ALPHABET
+    made = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(10, 40))) for _ in range(12)) for _ in range(60)]
+    made += [f"secret={m[:30]} {m[30:60]}:AKIA{'A1' * 8}{m[60:90]} ordinaryIdentifierName {m[:9]}" for m in made]
+    own = dict(texts) | {100_000 + i: t for i, t in enumerate(made)}
+    found = 0
+    for r in secrets.scan_secrets(spark.createDataFrame(list(own.items()), "doc_id long, text string"), weights).collect():
+        text = own[r.doc_id]
+        spans = base_spans(text)
+        added = []
+        for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text):
+            at = [letters.find(c) for c in m[0]]
+            random_ = re.search("[A-Za-z]", m[0]) and sum(plain[a, b] for a, b in zip(at, at[1:])) >= 12_000
+            if random_ and all(m.end() <= a or b <= m.start() for a, _, b in spans):
+                added.append((m.start(), 3, m.end()))
+        found += len(added)
+        assert r.spans == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans + added))
+    assert found > 100
+
+
 def test_secrets_of_odd_rows(spark, odd, empty, weights):
     assert secrets.scan_secrets(odd, weights).count() == len(ODD) and secrets.scan_secrets(empty, weights).count() == 0
     assert max(secrets.train(empty), key=abs) == 0
@@ -202,7 +261,7 @@ def shingles(text):
     return set(zip(*[words[i:] for i in range(5)])) if len(words) >= 5 else {tuple(words)} if words else set()
 
 
-def groups(sets):
+def groups(sets, percent=75):
     top = {i: i for i in sets}
 
     def find(i):
@@ -211,15 +270,15 @@ def groups(sets):
         return i
 
     for a, b in itertools.combinations(sorted(sets), 2):
-        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
             a, b = sorted((find(a), find(b)))
             top[b] = a
     return {i: find(i) for i in sets}
 
 
-def check_groups(rows, texts):
+def check_groups(rows, texts, percent=75):
     sets = {i: shingles(t) for i, t in texts.items()}
-    top = groups(sets)
+    top = groups(sets, percent)
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == {i: (len(sets[i]), top[i], top[i] == i) for i in texts}
 
 
@@ -227,8 +286,10 @@ def test_near_duplicates(spark, folder, texts):
     check_groups(queries.op10(spark, folder).collect(), texts)
 
 
-def test_groups_of_edited_copies(spark):
-    """Copies with many and few edits, chains, subsets and short texts around the threshold."""
+@pytest.mark.parametrize("percent, cell", [(75, 2048), (50, 3), (90, 3), (75, 2), (100, 2048)])
+def test_groups_of_edited_copies(spark, monkeypatch, percent, cell):
+    """Copies with many and few edits, chains, subsets and short texts around the threshold, in lists of one and many cells."""
+    monkeypatch.setattr(near_duplicates, "CELL", cell)
     rng = random.Random(4)
     base = [[f"w{rng.randint(0, 10**6)}" for _ in range(n)] for n in (40, 150, 400)]
     texts = {}
@@ -240,7 +301,21 @@ def test_groups_of_edited_copies(spark):
     for i in range(260, 300):
         texts[i] = " ".join(rng.choice("ab") for _ in range(rng.randint(0, 7)))
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
+    check_groups(near_duplicates.near_duplicates(df, percent).collect(), texts, percent)
+
+
+def test_templates_are_not_paired(spark, monkeypatch):
+    """Pages of one template, two thirds alike, beside a few short ones and true copies: bounds end them before any pairing."""
+    rng = random.Random(5)
+    frame = [f"t{i}" for i in range(84)]
+    texts = {i: " ".join([*frame, *(f"o{rng.randint(0, 10**9)}" for _ in range(20))]) for i in range(400)}
+    texts |= {1000 + i: " ".join(frame[: 30 + i]) for i in range(3)} | {2000 + i: texts[i] + " end" for i in range(5)}
+    left = []
+    paired = near_duplicates._cell_pairs
+    monkeypatch.setattr(near_duplicates, "_cell_pairs", lambda members, percent: left.append(members.count()) or paired(members, percent))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     check_groups(near_duplicates.near_duplicates(df).collect(), texts)
+    assert left == [0] or left[0] < 400
 
 
 def test_near_duplicates_of_odd_rows(odd, empty):
