@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 from tests.llm.conftest import ODD
 from tunegrain.llm import fingerprints, grammar, packing, queries, repeats, suffixes
 from tunegrain.llm.encode import TextEncoder, default_tokenizer
+from tunegrain.runtime import materialize
 
 
 @pytest.fixture(scope="module")
@@ -225,6 +226,30 @@ def test_many_texts_of_one_id_keep_their_own_bytes(spark):
     assert sorted((tuple(r) for r in found.collect()), key=repr) == remove(rows)
 
 
+def test_hot_anchors_are_split(spark, monkeypatch):
+    """One passage in most texts, other text around it: its surroundings go to many shards, and the result stays the same."""
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefghij é") for _ in range(70))
+    edges = ["".join(rng.choice("klmnopqrst ") for _ in range(60)) for _ in range(40)]
+    rows = [(rng.randint(0, 150), rng.choice(edges)[rng.randint(0, 50):] + passage + rng.choice(edges)[:rng.randint(0, 60)]) for _ in range(200)]
+    rows += [(rng.randint(0, 150), rng.choice(edges) * 2) for _ in range(40)] + [(None, passage), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sorted_tables = []
+    monkeypatch.setattr(repeats, "materialize", lambda t, name: sorted_tables.append((name, materialize(t, name))) or sorted_tables[-1][1])
+    found = repeats.remove_repeats(df, part_pieces=7).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == remove(rows)
+    tables = dict(sorted_tables)
+    assert tables["anchors"].filter("parts > 5").count() and tables["sorted"].filter("string is not null").count() > 100
+
+
+def test_window_groups():
+    pieces, owners = [b"abcabc", b"bcab", b"ab"], np.array([4, 2, 1])
+    windows, least, number, start, bounds = suffixes.window_groups(pieces, owners, 3)
+    found = {w: (m, sorted(zip(number[a:b].tolist(), start[a:b].tolist()))) for w, m, a, b in zip(windows, least.tolist(), bounds[:-1], bounds[1:])}
+    assert found == {b"abc": (4, [(0, 0), (0, 3)]), b"bca": (2, [(0, 1), (1, 0)]), b"cab": (2, [(0, 2), (1, 1)])}
+    assert suffixes.window_groups([b"ab"], np.array([1]), 3)[0] == []
+
+
 def test_surroundings_are_told_by_all_bits(monkeypatch):
     n = 4
     s = np.array([8, 8, 9, 8], np.uint64)  # the third differs in its last bit, the fourth in its anchor

@@ -6,6 +6,8 @@ equal to those in a smaller document, by a 64-bit hash of them and another of th
 they stand. Other surroundings can only share a string if they agree in the half before or the half behind
 the anchor; of those the smallest document's text is fetched, shards of them are suffix-sorted by
 induction, and neighbours in the array that agree in 50 bytes, by 64-bit range hashes, give the remaining repeats.
+Surroundings of an anchor that stands in very many texts are dealt to several shards; each reduces its array to one row
+for each different string, the smallest document of all shards is found for every string, and its other members repeat it.
 """
 
 from __future__ import annotations
@@ -18,13 +20,14 @@ from pyspark.sql import functions as F
 
 from tunegrain.llm.encode import text_slices
 from tunegrain.llm.fingerprints import mix
-from tunegrain.llm.suffixes import RangeHashes, repeated_windows
+from tunegrain.llm.suffixes import RangeHashes, repeated_windows, window_groups
 from tunegrain.runtime import BROADCAST_ROWS, broadcast_within, materialize
 
 LENGTH = 50
 GRAM = 16
 BLOCK_ANCHORS = 600_000  # anchors that a task gathers before it deals them out
 BUCKET_BYTES = 2_000_000  # text bytes whose anchors share a bucket and a suffix array, about
+PART_PIECES = 2048  # surroundings of one anchor that share a shard; more are dealt to several
 SLICE = 400_000
 
 
@@ -133,9 +136,9 @@ def _alike(key: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
     return out
 
 
-def _compare(table: pa.Table) -> pa.Table:
+def _compare(table: pa.Table, part_pieces: int = PART_PIECES) -> pa.Table:
     """Anchors of one bucket: places that repeat whole surroundings, and the first places of surroundings that
-    agree with others in a half (`ask`)."""
+    agree with others in a half (`ask`), with the number of shards (`parts`) that their anchor needs."""
     columns = [np.concatenate(c) for c in zip(*(_read(x.as_buffer().to_pybytes()) for x in table.column("anchors").combine_chunks()))]
     order = np.lexsort((columns[0], columns[6], columns[5]))
     doc_id, tag, place, before, behind, s, gram = (c[order] for c in columns)
@@ -146,8 +149,11 @@ def _compare(table: pa.Table) -> pa.Table:
     alike = _alike(before[at], doc_id[at]) | _alike(behind[at], doc_id[at])
     ask = ~repeat & alike[of]
     told = np.flatnonzero(repeat | ask)
+    _, anchor = np.unique(gram, return_inverse=True)
+    parts = -(-np.bincount(anchor, ask).astype(np.int32) // part_pieces)[anchor]
     return pa.table({
         "doc_id": doc_id[told].astype(np.int64), "tag": tag[told].astype(np.int64), "place": place[told].astype(np.int32), "ask": ask[told],
+        "parts": parts[told].astype(np.int32),
     })
 
 
@@ -175,11 +181,17 @@ def _pieces(shards: int, length: int):
             out: list[tuple] = []
             for text, doc_id, tag, asked in zip(texts, part.column("doc_id").to_pylist(), part.column("tag").to_pylist(), part.column("asked").to_pylist()):
                 data = text.encode()
-                for place in asked:
+                for place, parts in ((a["place"], a["parts"]) for a in asked):
                     start = max(0, place - around)
-                    shard = xxhash.xxh3_64_intdigest(data[place: place + GRAM]) % shards
+                    shard = xxhash.xxh3_64_intdigest(data[place: place + GRAM])
+                    if parts > 1:
+                        # a negative shard holds one part of one anchor
+                        part_of = xxhash.xxh3_64_intdigest(b"%d %d %d" % (doc_id, tag, place)) % parts
+                        shard = ~(xxhash.xxh3_64_intdigest(b"%d %d" % (shard, part_of)) >> 1)
+                    else:
+                        shard %= shards
                     out.append((shard, doc_id, tag, start, data[start: place + length]))
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["shard", "doc_id", "tag", "start", "piece"]
             )
@@ -187,23 +199,41 @@ def _pieces(shards: int, length: int):
     return work
 
 
+_SORTED = "doc_id long, tag long, start int, end int, string binary, least long, members array<struct<doc_id:long,tag:long,start:int>>"
+
+
 def _sort_shard(length: int):
+    """Of a whole shard: what repeats smaller documents. Of a part of an anchor: every different string, its smallest document and its members."""
+
     def work(table: pa.Table) -> pa.Table:
-        doc_id, start = (table.column(c).to_numpy() for c in ("doc_id", "start"))
-        number, first, last = repeated_windows(table.column("piece").to_pylist(), doc_id, length)
-        return pa.table({
-            "doc_id": doc_id[number], "tag": table.column("tag").to_numpy()[number],
-            "start": (start[number] + first).astype(np.int32), "end": (start[number] + last + length).astype(np.int32),
-        })
+        doc_id, tag, start = (table.column(c).to_numpy() for c in ("doc_id", "tag", "start"))
+        pieces = table.column("piece").to_pylist()
+        if table.column("shard")[0].as_py() >= 0:
+            number, first, last = repeated_windows(pieces, doc_id, length)
+            strings, least, bounds, at = [None] * len(number), [None] * len(number), None, number
+            ranges = [doc_id[number], tag[number], (start[number] + first).astype(np.int32), (start[number] + last + length).astype(np.int32)]
+        else:
+            strings, least, at, place, bounds = window_groups(pieces, doc_id, length)
+            ranges = [[None] * len(strings)] * 4
+        member = pa.struct([("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32())])
+        if bounds is None:
+            members = pa.nulls(len(at), pa.list_(member))
+        else:
+            fields = [pa.array(doc_id[at], pa.int64()), pa.array(tag[at], pa.int64()), pa.array((start[at] + place).astype(np.int32))]
+            members = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.StructArray.from_arrays(fields, fields=list(member)))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+        columns = [pa.array(c, kind) for c, kind in zip((*ranges, strings, least), kinds)]
+        return pa.Table.from_arrays([*columns, members], names=["doc_id", "tag", "start", "end", "string", "least", "members"])
 
     return work
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def find_repeats(docs: DataFrame, length: int = LENGTH, part_pieces: int = PART_PIECES) -> DataFrame:
     """What repeats strings of smaller documents in `docs` (doc_id, tag, text), as rows of two kinds.
 
     doc_id, tag and place: everything around an anchor there, that is the bytes from place - length + GRAM to
     place + length as far as the text goes. Or doc_id, tag, start and end: these bytes. Ranges may overlap.
+    An anchor with more than `part_pieces` different surroundings to be sorted has several shards.
     """
     if length < 2 * GRAM:
         raise ValueError(f"strings need at least {2 * GRAM} bytes")
@@ -211,15 +241,22 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     dealt = docs.select("doc_id", "tag", "text").mapInArrow(_dealt(buckets, length), "bucket int, anchors binary")
     found = materialize(
-        dealt.groupBy("bucket").applyInArrow(_compare, "doc_id long, tag long, place int, ask boolean"), "anchors"
+        dealt.groupBy("bucket").applyInArrow(
+            lambda anchors_: _compare(anchors_, part_pieces), "doc_id long, tag long, place int, ask boolean, parts int"
+        ), "anchors"
     )
     equal = found.filter("not ask").select("doc_id", "tag", "place")
-    asked = materialize(found.filter("ask").groupBy("doc_id", "tag").agg(F.collect_list("place").alias("asked")), "asked")
+    asked = materialize(found.filter("ask").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "parts")).alias("asked")), "asked")
     pieces = _texts(docs, asked).select("doc_id", "tag", "text", "asked").mapInArrow(
-        _pieces(buckets, length), "shard int, doc_id long, tag long, start int, piece binary"
+        _pieces(buckets, length), "shard long, doc_id long, tag long, start int, piece binary"
     )
-    sorted_ = pieces.groupBy("shard").applyInArrow(_sort_shard(length), "doc_id long, tag long, start int, end int")
-    return equal.unionByName(sorted_, allowMissingColumns=True)
+    told = materialize(pieces.groupBy("shard").applyInArrow(_sort_shard(length), _SORTED), "sorted")
+    whole = told.filter("string is null").select("doc_id", "tag", "start", "end")
+    parts = told.filter("string is not null")
+    least = parts.groupBy("string").agg(F.min("least").alias("first"))
+    later = F.filter("members", lambda m: m["doc_id"] > F.col("first"))
+    split = parts.join(least, "string").select(F.inline(later)).withColumn("end", (F.col("start") + length).cast("int"))
+    return equal.unionByName(whole.unionByName(split), allowMissingColumns=True)
 
 
 def _removal(length: int):
@@ -257,7 +294,7 @@ def _remove(part: pa.RecordBatch, texts: list[str], length: int) -> pa.RecordBat
     )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, part_pieces: int = PART_PIECES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes) of every row.
 
     A byte goes if it lies in `length` bytes that also start in a document with a smaller doc_id,
@@ -268,7 +305,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # tells texts with the same doc_id apart, by all bits: millions of rows may have one doc_id
     rows = rows.withColumn("tag", F.xxhash64("text"))
     placed = rows.filter("doc_id is not null")
-    found = find_repeats(placed, length)
+    found = find_repeats(placed, length, part_pieces)
     spans = materialize(
         found.groupBy("doc_id", "tag").agg(
             F.collect_list("place").alias("places"), F.flatten(F.collect_list(F.when(F.col("end").isNotNull(), F.array("start", "end")))).alias("ranges")

@@ -137,11 +137,8 @@ def common_prefixes(hashes: RangeHashes, order: np.ndarray, size: int, most: int
     return permuted
 
 
-def repeated_windows(pieces: list[bytes], owners: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of `length` bytes that also start in a piece of a smaller owner.
-
-    Returns for each piece that has any: its number, and the first and last such window's start.
-    """
+def _equal_windows(pieces: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """All windows of `length` bytes in suffix array order: their pieces' numbers, their starts there, and where in this order another window begins."""
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     joined = np.frombuffer(b"".join(p + b"\0" for p in pieces) + b"\0", np.uint8)
     text = joined.astype(np.uint16) + np.uint16(2)
@@ -156,11 +153,34 @@ def repeated_windows(pieces: list[bytes], owners: np.ndarray, length: int) -> tu
         none = np.zeros(0, np.int64)
         return none, none, none
     prefixes = common_prefixes(RangeHashes(text), order, len(text), 63)
-    starts = np.flatnonzero(np.concatenate([[True], prefixes[order[1:]] < length]))
-    owner = owners[piece[order]]
-    least = np.repeat(np.minimum.reduceat(owner, starts), np.diff(np.append(starts, len(order))))
-    again = np.sort(order[owner > least])
-    number, first = np.unique(piece[again], return_index=True)
+    begins = np.flatnonzero(np.concatenate([[True], prefixes[order[1:]] < length]))
+    number = piece[order]
+    return number, order - (ends - sizes)[number], begins
+
+
+def repeated_windows(pieces: list[bytes], owners: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of `length` bytes that also start in a piece of a smaller owner.
+
+    Returns for each piece that has any: its number, and the first and last such window's start.
+    """
+    number, start, begins = _equal_windows(pieces, length)
+    if not len(number):
+        return number, start, begins
+    owner = owners[number]
+    least = np.repeat(np.minimum.reduceat(owner, begins), np.diff(np.append(begins, len(owner))))
+    again = np.flatnonzero(owner > least)
+    again = again[np.lexsort((start[again], number[again]))]
+    found, first = np.unique(number[again], return_index=True)
     last = np.append(first, len(again))[1:] - 1
-    base = ends[number] - sizes[number]
-    return number, again[first] - base, again[last] - base
+    return found, start[again[first]], start[again[last]]
+
+
+def window_groups(pieces: list[bytes], owners: np.ndarray, length: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every different window of `length` bytes and its smallest owner; then its members, group after group:
+    numbers of their pieces, starts there, and the bounds of the groups."""
+    number, start, begins = _equal_windows(pieces, length)
+    bounds = np.append(begins, len(number))
+    if not len(number):
+        return [], owners[:0], number, start, bounds
+    windows = [pieces[n][a: a + length] for n, a in zip(number[begins].tolist(), start[begins].tolist())]
+    return windows, np.minimum.reduceat(owners[number], begins), number, start, bounds
