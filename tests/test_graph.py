@@ -101,6 +101,23 @@ def test_a_level_moves_neither_edges_nor_what_was_reached(spark):
     assert plan.count("Bucketed: true") == 3 and below.count("Bucketed: true") == 3 - plan[: plan.index("Exchange")].count("Bucketed: true")
 
 
+def test_a_level_hashes_its_frontier_and_sorts_no_edges(spark):
+    laid = graph.lay_out(spark.range(3000).select((F.col("id") % 100).alias("target"), (F.col("id") * 7 % 997).alias("similar")), both=True)
+    assert "backward" not in vars(laid)  # laid out by the first search that needs it
+    levels = laid.levels()
+    levels.append(spark.createDataFrame([(3, None, 0, 0)], "node long, backpointer long, hits long, dist int"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        frontier = levels.read().filter(F.col("dist") == 0).select("node")
+        plan = graph._next_level(frontier, laid.forward, levels.read())._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    levels.close()
+    assert "SortMergeJoin" not in plan and plan.count("ShuffledHashJoin") == 2
+    assert laid.backward.edges.count() == laid.forward.edges.count()
+
+
 def test_shortest_path(spark):
     row = graph.shortest_path(edges(spark, "A>C A>D C>B D>B B>E"), "A", "B").first()
     assert (row.found, row.distance, row.hits, row.path) == (True, 2, 2, ["A", "C", "B"])

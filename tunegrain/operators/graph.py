@@ -73,7 +73,7 @@ def _next_level(frontier: DataFrame, side: Side, reached: DataFrame) -> DataFram
     arrived = side.step(frontier).groupBy(F.col("far").alias("node")).agg(
         F.min("near").alias("backpointer"), F.sum("copies").alias("hits")
     )
-    return arrived.join(reached.select("node"), "node", "left_anti")
+    return arrived.join(reached.select("node").hint("shuffle_hash"), "node", "left_anti")
 
 
 def bfs_levels(
@@ -135,7 +135,7 @@ class _Bitmaps:
         frontier = _any_bit(self.level(self.depth).select("node", *left.values()), self.columns)
         arrived = self.side.step(frontier).groupBy(F.col("far").alias("node")).agg(*[F.bit_or(c).alias(c) for c in self.columns])
         seen = self.levels.read().groupBy("node").agg(*[F.bit_or(c).alias(f"seen_{c}") for c in self.columns])
-        new = arrived.join(seen, "node", "left").select(
+        new = arrived.join(seen.hint("shuffle_hash"), "node", "left").select(
             "node", *[F.col(c).bitwiseAND(F.bitwise_not(F.coalesce(f"seen_{c}", F.lit(0).cast("long")))).alias(c) for c in self.columns]
         )
         self.depth += 1
@@ -249,7 +249,7 @@ def shortest_paths(
     backpointer; `hits` counts the edges into the target from the last level, with copies. A pair of equal ends has distance 0.
     """
     layout = edges if isinstance(edges, Layout) else lay_out(edges, both=True)
-    if layout.backward is None:
+    if layout.turned is None:
         raise ValueError("shortest paths need a layout of both directions")
     spark, kind = layout.spark, layout.node_type
     asked = pairs.select(F.col("source").cast(kind), F.col("target").cast(kind)).distinct()

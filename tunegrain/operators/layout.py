@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunegrain.operators.ranking import with_rank
-from tunegrain.runtime import broadcast_within, materialize, new_folder
+from tunegrain.runtime import broadcast_within, hash_side, materialize, new_folder
 
 HUB_EDGES = 4_000_000  # a node with more edges is kept out of the buckets
 
@@ -54,8 +55,12 @@ class Side:
     hub_count: int
 
     def step(self, frontier: DataFrame, rows_per_node: int = 1) -> DataFrame:
-        """`frontier` (node, ...) along its edges, with near, far and copies; it has at most `rows_per_node` rows of a node."""
-        moved = frontier.join(self.edges, frontier["node"] == self.edges["near"])
+        """`frontier` (node, ...) along its edges, with near, far and copies; it has at most `rows_per_node` rows of a node.
+
+        One row of a node is hashed, bucket by bucket, so the edges need no sort.
+        """
+        built = frontier.hint("shuffle_hash") if rows_per_node == 1 else frontier
+        moved = built.join(self.edges, frontier["node"] == self.edges["near"])
         if self.hub_edges is None:
             return moved
         few = frontier.join(broadcast_within(self.hubs, self.hub_count), frontier["node"] == self.hubs["near"], "left_semi")
@@ -65,14 +70,22 @@ class Side:
 
 @dataclass
 class Layout:
-    """names (name, id: ranks of all nodes in name order), edges forward and, if asked for, backward."""
+    """names (name, id: ranks of all nodes in name order), edges forward and, if asked for, backward.
+
+    The backward side is laid out from the forward one by the first search that needs it.
+    """
 
     spark: SparkSession
     names: DataFrame
     node_type: str
     buckets: int
     forward: Side
-    backward: Side | None
+    turned: DataFrame | None  # all edges seen from their far ends
+    turned_hubs: DataFrame
+
+    @cached_property
+    def backward(self) -> Side | None:
+        return None if self.turned is None else _side(self.turned, self.turned_hubs, self.buckets)[0]
 
     def levels(self) -> BucketTable:
         """An empty state (node, ..., dist) in the buckets of the edges, one folder for each dist."""
@@ -85,23 +98,28 @@ class Layout:
         return found.withColumn(column, F.col(f"_name_{column}")).drop(f"_id_{column}", f"_name_{column}")
 
 
-def _side(numbered: DataFrame, near: str, far: str, buckets: int, hub_edges: int, total: int) -> Side:
-    spark = numbered.sparkSession
-    edges = numbered.select(F.col(near).alias("near"), F.col(far).alias("far"), "copies")
-    hubs = many = None
-    count = 0
-    if total > hub_edges:
-        found = edges.groupBy("near").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hub_edges)
-        hubs = materialize(found.select("near"), "hubs")
-        count = hubs.count()  # at most total / hub_edges
+def _side(edges: DataFrame, hubs: DataFrame, buckets: int, copied: bool = False) -> tuple[Side, DataFrame]:
+    """The side of `edges` (near, far, copies) with `hubs` (near) apart, and all its edges as a plain table.
+
+    With `copied`, an edge may have several rows, whose copies are added up.
+    """
+    spark = edges.sparkSession
+
+    def added(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("near", "far").agg(F.sum("copies").alias("copies")) if copied else rows
+
+    count = hubs.count()
+    many = None
     if count:
-        many = materialize(edges.join(broadcast_within(hubs, count), "near", "left_semi"), "hub-edges")
+        edges = materialize(edges, "edges")
+        many = materialize(added(edges.join(broadcast_within(hubs, count), "near", "left_semi")), "hub-edges")
         edges = edges.join(broadcast_within(hubs, count), "near", "left_anti")
     table = BucketTable(spark, "near", buckets, new_folder(spark, "edges"))
-    table.append(edges.repartition(buckets, "near"))
-    stored = table.read()
+    # rows of an edge meet in its bucket, so the one shuffle deals out the buckets and adds up the copies
+    table.append(added(edges.repartition(buckets, "near")))
+    stored, plain = table.read(), table.files()
     table.close()  # what was read keeps its files and buckets
-    return Side(stored, many, hubs if count else None, count)
+    return Side(stored, many, hubs if count else None, count), plain if many is None else plain.unionByName(many)
 
 
 def lay_out(edges: DataFrame, both: bool = False, buckets: int | None = None, hub_edges: int = HUB_EDGES) -> Layout:
@@ -112,16 +130,21 @@ def lay_out(edges: DataFrame, both: bool = False, buckets: int | None = None, hu
     spark = edges.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     raw = edges.select(F.col("target").alias("src"), F.col("similar").alias("dst")).filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
-    ends = raw.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
-    names = materialize(with_rank(ends, ["name"], "id"), "names")  # so that joins are planned by its size
+    # every name with its edges on either side, copies counted
+    end = [F.struct(F.col(c).alias("name"), F.lit(int(c == "src")).alias("out"), F.lit(int(c == "dst")).alias("into")) for c in ("src", "dst")]
+    ends = raw.select(F.inline(F.array(*end))).groupBy("name").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
+    ranked = with_rank(ends, ["name"], "id")
+    hubs = materialize(ranked.filter((F.col("out") > hub_edges) | (F.col("into") > hub_edges)).select(F.col("id").alias("near"), "out", "into"), "hubs")
+    names = materialize(ranked.select("name", "id"), "names")  # so that joins are planned by its size
+    nodes = names.count()
 
     def number(of: str) -> tuple[DataFrame, Column]:
         renamed = names.select(F.col("name").alias(f"{of}_name"), F.col("id").alias(f"{of}_id"))
-        return renamed, F.col(of) == F.col(f"{of}_name")
-
-    numbered = raw.join(*number("src")).join(*number("dst")).groupBy("src_id", "dst_id").agg(F.count(F.lit(1)).alias("copies"))
-    numbered = materialize(numbered, "edges")
-    total = numbered.count()
-    forward = _side(numbered, "src_id", "dst_id", buckets, hub_edges, total)
-    backward = _side(numbered, "dst_id", "src_id", buckets, hub_edges, total) if both else None
-    return Layout(spark, names, raw.schema["src"].dataType.simpleString(), buckets, forward, backward)
+        return hash_side(renamed, nodes), F.col(of) == F.col(f"{of}_name")
+
+    numbered = raw.join(*number("src")).join(*number("dst"))
+    numbered = numbered.select(F.col("src_id").alias("near"), F.col("dst_id").alias("far"), F.lit(1).cast("long").alias("copies"))
+    forward, whole = _side(numbered, hubs.filter(F.col("out") > hub_edges).select("near"), buckets, copied=True)
+    turned = whole.select(F.col("far").alias("near"), F.col("near").alias("far"), "copies") if both else None
+    turned_hubs = hubs.filter(F.col("into") > hub_edges).select("near")
+    return Layout(spark, names, raw.schema["src"].dataType.simpleString(), buckets, forward, turned, turned_hubs)

@@ -75,3 +75,9 @@ def broadcast_within(df: DataFrame, row_bound: int) -> DataFrame:
     """
     width = sum(_TYPE_BYTES.get(kind, 100) for _, kind in df.dtypes)
     return F.broadcast(df) if row_bound <= BROADCAST_ROWS and row_bound * width <= BROADCAST_BYTES else df
+
+
+def hash_side(df: DataFrame, rows: int) -> DataFrame:
+    """Hint that a join hashes `df`, whose `rows` rows have different keys, whole or by partitions: the other side is not sorted."""
+    small = broadcast_within(df, rows)
+    return df.hint("shuffle_hash") if small is df else small
