@@ -163,3 +163,11 @@ def test_decade_prediction(corpus):
 def test_numeric_features(corpus):
     _, names = year_prediction.numeric_features(corpus)
     assert names == ["loudness"]
+
+
+def test_a_forest_gets_partitions_by_rows_and_trees(spark):
+    rows = spark.range(5000, numPartitions=1)
+    dealt = training.spread(rows, 300, bag_bytes=200_000)
+    assert dealt.rdd.getNumPartitions() == 30 and max(dealt.rdd.glom().map(len).collect()) < 300
+    assert sorted(r.id for r in dealt.collect()) == list(range(5000))
+    assert training.spread(rows, 300).rdd.getNumPartitions() == 1

@@ -23,12 +23,22 @@ from tunegrain.functions import years
 from tunegrain.operators import features
 
 SEED = 42
+BAG_BYTES = 32 * 1024 * 1024  # counts of trees that a partition of a forest's rows holds, about
 
 
 def _columns(features_col: str, label_col: str, overrides: dict[str, Any]) -> dict[str, Any]:
     return {"featuresCol": features_col, "labelCol": label_col, **overrides}
 
 
+def spread(train: DataFrame, trees: int, bag_bytes: int = BAG_BYTES) -> DataFrame:
+    """`train` in enough partitions for a forest, which keeps a count of every tree beside each row.
+
+    Those counts outweigh the row by far, so the partitions of a small file would be too large. Small tables stay as they are.
+    """
+    wanted = -(-train.count() * trees * 4 // bag_bytes)
+    return train.repartition(max(wanted, train.sparkSession.sparkContext.defaultParallelism)) if wanted > 1 else train
+
+
 # --- regression ---------------------------------------------------------------------------
 
 
@@ -115,7 +125,7 @@ def fit_forest_classifier(
     }
     if weight_col:
         settings["weightCol"] = weight_col
-    return RandomForestClassifier(**_columns(features_col, label_col, settings)).fit(train)
+    return RandomForestClassifier(**_columns(features_col, label_col, settings)).fit(spread(train, settings["numTrees"]))
 
 
 def fit_perceptron_classifier(
