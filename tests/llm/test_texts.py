@@ -242,6 +242,13 @@ def test_hot_anchors_are_split(spark, monkeypatch):
     assert tables["anchors"].filter("parts > 5").count() and tables["sorted"].filter("string is not null").count() > 100
 
 
+def test_parts_of_an_anchor_meet_without_a_join(spark):
+    rows = [(i, "".join(random.Random(i % 5).choice("klmnopqrst ") for _ in range(40)) + "0123456789abcdefghij" * 3 + str(i % 3) * 30) for i in range(40)]
+    found = repeats.find_repeats(spark.createDataFrame(rows, "doc_id long, text string").withColumn("tag", F.xxhash64("text")), part_pieces=2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" in plan
+
+
 def test_window_groups():
     pieces, owners = [b"abcabc", b"bcab", b"ab"], np.array([4, 2, 1])
     windows, least, number, start, bounds = suffixes.window_groups(pieces, owners, 3)

@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunegrain.llm.encode import text_slices
@@ -253,9 +253,10 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, part_pieces: int = PART_
     told = materialize(pieces.groupBy("shard").applyInArrow(_sort_shard(length), _SORTED), "sorted")
     whole = told.filter("string is null").select("doc_id", "tag", "start", "end")
     parts = told.filter("string is not null")
-    least = parts.groupBy("string").agg(F.min("least").alias("first"))
+    # the parts' rows of a string meet once, without a join of them with themselves
+    first = F.min("least").over(Window.partitionBy("string"))
     later = F.filter("members", lambda m: m["doc_id"] > F.col("first"))
-    split = parts.join(least, "string").select(F.inline(later)).withColumn("end", (F.col("start") + length).cast("int"))
+    split = parts.select("members", first.alias("first")).select(F.inline(later)).withColumn("end", (F.col("start") + length).cast("int"))
     return equal.unionByName(whole.unionByName(split), allowMissingColumns=True)
 
 
