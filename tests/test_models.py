@@ -171,3 +171,27 @@ def test_a_forest_gets_partitions_by_rows_and_trees(spark):
     assert dealt.rdd.getNumPartitions() == 30 and max(dealt.rdd.glom().map(len).collect()) < 300
     assert sorted(r.id for r in dealt.collect()) == list(range(5000))
     assert training.spread(rows, 300).rdd.getNumPartitions() == 1
+
+
+def test_long_boosting_runs_over_cells_and_finds_what_it_finds_over_rows(spark):
+    random = np.random.default_rng(3)
+    points = random.integers(0, [5, 4, 3], (600, 3))
+    label = points @ [1.0, -2.0, 0.5] + points[:, 0] * points[:, 2] + random.normal(size=600)
+    data = [(i, [float(v) for v in p], float(y)) for i, (p, y) in enumerate(zip(points, label))]
+    rows = spark.createDataFrame(data, "id int, x array<double>, label double").select("id", features.as_vector("x").alias("features"), "label")
+    boosting = training.boosted_trees_long(maxIter=6)
+    over_cells, over_rows = boosting.fit(rows), boosting.trees.fit(rows)
+    assert isinstance(over_cells, training.CellModel)
+    cells, plain = ({r.id: r.prediction for r in m.transform(rows).collect()} for m in (over_cells, over_rows))
+    assert cells == pytest.approx(plain, abs=1e-9)
+    # a gap, or cells as many as rows: boosting over the rows
+    assert not isinstance(boosting.fit(rows.filter("id < 60")), training.CellModel)
+    assert training.bin_cuts(rows.withColumn("label", F.when(F.col("id") == 7, float("nan")).otherwise(F.col("label"))), "features", "label", 32) is None
+
+
+def test_long_boosting_cuts_a_feature_of_many_values_by_quantiles(spark):
+    rows = spark.range(4000).select("id", features.as_vector(F.array(F.col("id") / 7.0, F.lit(1.0))).alias("features"), F.floor(F.col("id") / 1000).cast("double").alias("label"))
+    model = training.boosted_trees_long(maxIter=3, maxBins=8).fit(rows)
+    assert [len(c) for c in model.cuts] == [7, 0]
+    wrong = model.transform(rows).filter(F.abs(F.col("prediction") - F.col("label")) > 0.01)
+    assert wrong.count() < 40  # cuts lie within the quantiles' error of the steps

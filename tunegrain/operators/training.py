@@ -6,8 +6,12 @@ model. Any estimator parameter can be overridden by keyword.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from math import prod
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
@@ -16,13 +20,15 @@ from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.regression import (
     FMRegressor, GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunegrain.functions import years
-from tunegrain.operators import features
+from tunegrain.operators import features, rowsums
+from tunegrain.runtime import materialize
 
 SEED = 42
+CELL_FEATURES = 20  # more features than that have too many cells; their rows are not looked at for it
 BAG_BYTES = 32 * 1024 * 1024  # counts of trees that a partition of a forest's rows holds, about
 
 
@@ -76,10 +82,108 @@ def fit_boosted_trees(
     return GBTRegressor(**_columns(features_col, label_col, {"seed": SEED, **params})).fit(train)
 
 
-def boosted_trees_long(features_col: str = "features", label_col: str = "label", **params: Any) -> GBTRegressor:
+def bin_cuts(train: DataFrame, features_col: str, label_col: str, bins: int) -> tuple[list[np.ndarray], int] | None:
+    """Cuts between the bins of each feature, and the rows: halfway between its values if those are at most `bins`, else its quantiles.
+
+    None if a row has no finite feature or label, or if there are too many features. One pass keeps `bins` values and one more
+    of each feature; only features with more values need another for the quantiles.
+    """
+    rows = train.select(rowsums.feature_array(train, features_col).alias("x"), F.col(label_col).cast("double").alias("y"))
+    first = rows.first()
+    if first is None or first["x"] is None or not 0 < len(first["x"]) <= CELL_FEATURES:
+        return None
+    width = len(first["x"])
+
+    def seen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, count, gaps = [np.empty(0)] * width, 0, 0
+        for batch in batches:
+            x, y = batch.column(0), batch.column(1)
+            count += len(y)
+            if x.null_count or y.null_count or x.flatten().null_count:
+                gaps += 1
+                continue
+            x = rowsums.matrix(x)
+            gaps += not (np.isfinite(x).all() and np.isfinite(rowsums.vector(y)).all())
+            for j in range(width):
+                if len(values[j]) <= bins:
+                    values[j] = np.union1d(values[j], x[:, j])[: bins + 1]
+        found = [(j, v, 0) for j in range(width) for v in values[j].tolist()] + [(-1, None, count), (-2, None, gaps)]
+        yield pa.RecordBatch.from_pylist([{"j": j, "v": v, "n": n} for j, v, n in found], pa.schema([("j", pa.int32()), ("v", pa.float64()), ("n", pa.int64())]))
+
+    found = rows.mapInArrow(seen, "j int, v double, n long").groupBy("j", "v").agg(F.sum("n").alias("n"))
+    # of each feature one value more than bins tells that it has too many
+    kept = found.groupBy("j").agg(F.slice(F.sort_array(F.collect_list("v")), 1, bins + 1).alias("v"), F.sum("n").alias("n"))
+    parts = {r["j"]: r for r in kept.collect()}
+    if parts[-2]["n"]:
+        return None
+    cuts = [(np.array(parts[j]["v"][:-1]) + np.array(parts[j]["v"][1:])) / 2 for j in range(width)]
+    many = [j for j in range(width) if len(cuts[j]) >= bins]
+    if many and prod(len(c) + 1 if j not in many else bins for j, c in enumerate(cuts)) * 2 <= parts[-1]["n"]:
+        columns = rows.select(*[F.get("x", F.lit(j)).alias(f"x{j}") for j in many])
+        shares = [i / bins for i in range(1, bins)]
+        for j, at in zip(many, columns.approxQuantile(columns.columns, shares, 0.001)):
+            cuts[j] = np.unique(at)
+    return cuts, parts[-1]["n"]
+
+
+class CellModel(Model):
+    """Trees over the numbers of the bins that a row's features lie in."""
+
+    def __init__(self, model: Model, cuts: list[np.ndarray]) -> None:
+        super().__init__()
+        self.model, self.cuts = model, cuts
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        source = self.model.getFeaturesCol()
+        model = self.model.copy({self.model.featuresCol: "_cell"})
+        return model.transform(dataset.withColumn("_cell", features.as_vector(in_bins(dataset, source, self.cuts)))).drop("_cell")
+
+
+def in_bins(df: DataFrame, features_col: str, cuts: list[np.ndarray]) -> Column:
+    """The number of each feature's bin, as an array of doubles; a value on a cut lies below it."""
+
+    @F.arrow_udf("array<double>")
+    def numbers(values: pa.Array) -> pa.Array:
+        x = rowsums.matrix(values) if len(values) else np.empty((0, len(cuts)))
+        found = np.column_stack([np.searchsorted(c, x[:, j]) for j, c in enumerate(cuts)]).astype(float)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(cuts), pa.int32()), pa.array(found.ravel()))
+
+    return numbers(rowsums.feature_array(df, features_col))
+
+
+class CellBoosting(Estimator):
+    """Boosting of squared error that reads the rows of few features once, not in every round.
+
+    Trees see only the bins of the features, so all rows of a cell (one bin of each feature) get the same predictions in every
+    round, and the best cuts follow from the cells' counts and mean labels: the spread within a cell is the same on both sides
+    of any cut's gain. Rounds run over the cells, of which there are at most `maxBins` to the power of the features. Where
+    that is not under half the rows, or a row has a gap, boosting runs over the rows.
+    """
+
+    def __init__(self, trees: GBTRegressor) -> None:
+        super().__init__()
+        self.trees = trees
+
+    def _fit(self, dataset: DataFrame) -> Model:
+        trees = self.trees
+        source, label = trees.getFeaturesCol(), trees.getLabelCol()
+        plain = trees.getLossType() == "squared" and trees.getSubsamplingRate() == 1.0 and trees.getMinInstancesPerNode() == 1
+        plain = plain and not any(trees.isDefined(p) for p in (trees.weightCol, trees.validationIndicatorCol))
+        found = bin_cuts(dataset, source, label, trees.getMaxBins()) if plain else None
+        if found is None or prod(len(c) + 1 for c in found[0]) * 2 > found[1]:
+            return trees.fit(dataset)
+        cell = in_bins(dataset, source, found[0])
+        cells = dataset.select(cell.alias("_cell"), F.col(label).cast("double").alias("_y")).groupBy("_cell").agg(
+            F.avg("_y").alias(label), F.count(F.lit(1)).cast("double").alias("_rows")
+        )
+        cells = materialize(cells, "cells").select(features.as_vector("_cell").alias(source), label, "_rows")
+        return CellModel(trees.copy({trees.weightCol: "_rows"}).fit(cells), found[0])
+
+
+def boosted_trees_long(features_col: str = "features", label_col: str = "label", **params: Any) -> CellBoosting:
     """The longer boosting run: 100 rounds of depth 5."""
     settings = {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "seed": SEED, **params}
-    return GBTRegressor(**_columns(features_col, label_col, settings))
+    return CellBoosting(GBTRegressor(**_columns(features_col, label_col, settings)))
 
 
 def factorization_machine(features_col: str = "features", label_col: str = "label", **params: Any) -> FMRegressor:
