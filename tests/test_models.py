@@ -195,3 +195,9 @@ def test_long_boosting_cuts_a_feature_of_many_values_by_quantiles(spark):
     assert [len(c) for c in model.cuts] == [7, 0]
     wrong = model.transform(rows).filter(F.abs(F.col("prediction") - F.col("label")) > 0.01)
     assert wrong.count() < 40  # cuts lie within the quantiles' error of the steps
+
+
+def test_a_network_gets_partitions_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(training.MultilayerPerceptronClassifier, "fit", lambda self, train: train.rdd.getNumPartitions())
+    fit = lambda n: training.fit_perceptron_classifier(spark.range(n, numPartitions=1), classes=7, width=7)
+    assert fit(100) == 1 and fit(700_000) >= 8

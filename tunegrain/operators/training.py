@@ -241,7 +241,8 @@ def fit_perceptron_classifier(
         "layers": [width, *hidden, classes], "solver": "l-bfgs", "blockSize": 1024, "maxIter": 200, "tol": 1e-6,
         "seed": SEED, **params,
     }
-    return MultilayerPerceptronClassifier(**_columns(features_col, label_col, settings)).fit(train)
+    # blocks hold width + classes doubles of a row, as much as the counts of twice as many trees
+    return MultilayerPerceptronClassifier(**_columns(features_col, label_col, settings)).fit(spread(train, 2 * (width + classes)))
 
 
 # --- range-constrained regression -----------------------------------------------------------
