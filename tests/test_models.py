@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from tunegrain.operators import descent, evaluation, features, ridge, sampling, training
+from tunegrain.operators import descent, evaluation, features, network, ridge, sampling, training
 from tunegrain.plans import year_prediction
 
 
@@ -201,3 +201,61 @@ def test_a_network_gets_partitions_by_rows(spark, monkeypatch):
     monkeypatch.setattr(training.MultilayerPerceptronClassifier, "fit", lambda self, train: train.rdd.getNumPartitions())
     fit = lambda n: training.fit_perceptron_classifier(spark.range(n, numPartitions=1), classes=7, width=7)
     assert fit(100) == 1 and fit(700_000) >= 8
+
+
+@pytest.fixture(scope="module")
+def marked(spark):
+    """Rows of three classes that two of four features tell, as many as fill Spark ML's blocks of 64."""
+    random = np.random.default_rng(4)
+    x = random.normal(size=(2048, 4))
+    y = (x[:, 0] > 0).astype(float) + (x[:, 1] > 0.5)
+    df = spark.createDataFrame([(i, a.tolist(), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id long, x array<double>, label double")
+    return df.select("id", features.as_vector("x").alias("features"), "label").coalesce(1).cache()
+
+
+def test_a_network_over_blocks_takes_the_steps_of_spark_ml(marked):
+    settings = {"layers": [4, 6, 5, 3], "blockSize": 64, "seed": 7, "tol": 1e-6}
+    for steps, near in ((0, 0.0), (6, 1e-3), (25, 0.05)):
+        plain = training.MultilayerPerceptronClassifier(maxIter=steps, **settings).fit(marked)
+        over_blocks = training.BlockPerceptronClassifier(maxIter=steps, **settings).fit(marked.repartition(8))
+        assert np.allclose(over_blocks.weights.toArray(), plain.weights.toArray(), atol=near)
+    assert over_blocks.getMaxIter() == 25 and over_blocks.getLayers() == [4, 6, 5, 3]
+    a, b = ({r.id: r.prediction for r in m.transform(marked).collect()} for m in (plain, over_blocks))
+    assert sum(a[i] != b[i] for i in a) < 20
+
+
+def test_a_large_network_is_trained_over_all_rows_in_blocks(marked, monkeypatch):
+    monkeypatch.setattr(training, "spread", lambda train, _: train.repartition(8))
+    seen, whole = [], network.mean_loss
+    monkeypatch.setattr(network, "mean_loss", lambda table, *a: seen.append((table, a[2])) or whole(table, *a))
+    model = training.fit_perceptron_classifier(marked, classes=3, width=4, tol=0.01)
+    assert model.transform(marked).filter("label = prediction").count() > 2000
+    assert seen[-1][1] is np.float64  # the end is computed in double precision
+    assert sum(len(r.y) // 4 for r in seen[0][0].collect()) == 2048
+    for column, value, told in (("label", 3.0, "label"), ("label", 0.5, "label"), ("label", None, "label"), ("features", None, "non-null")):
+        bad = marked.withColumn(column, F.when(F.col("id") != 5, F.col(column)).otherwise(F.lit(value)))
+        with pytest.raises(Exception, match=told):
+            training.fit_perceptron_classifier(bad, classes=3, width=4, maxIter=1)
+
+
+def test_the_gradient_of_a_network_is_the_slope_of_its_loss():
+    random, layers = np.random.default_rng(1), [3, 5, 4, 3]
+    flat = random.normal(size=sum((a + 1) * b for a, b in zip(layers, layers[1:])))
+    x, y = random.normal(size=(3, 50)), random.integers(0, 3, 50).astype(np.int32)
+    kernel = lambda w, kind=np.float64: network.Kernel(w, layers, kind)(x, y)
+    found = kernel(flat)
+    slopes = [(kernel(flat + e)[1] - kernel(flat - e)[1]) / 2e-6 for e in 1e-6 * np.eye(len(flat))]
+    assert found[0] == 50 and np.allclose(found[2:], slopes, atol=1e-6) and np.allclose(kernel(flat, np.float32), found, atol=1e-4)
+    # sure of its rows: a loss far below single precision's last digit of one, and one beyond its exponential
+    sure = network.Kernel(np.array([40.0, -40.0, 0.0, 0.0]), [1, 2], np.float32)
+    assert sure(np.array([[0.5]]), np.array([0], np.int32))[1] == pytest.approx(np.exp(-40.0), rel=1e-5)
+    assert sure(np.array([[5.0]]), np.array([1], np.int32))[1] == pytest.approx(400.0)
+
+
+def test_steps_go_on_in_double_precision_if_single_misleads():
+    def loss(x, kind):
+        at = np.float64(kind(x[0]))  # single precision does not tell values near a million apart by less than a sixteenth
+        return (at - 1e6 - 0.01) ** 2, np.array([2 * (at - 1e6 - 0.01)])
+
+    found, _ = network.minimise(loss, np.array([1e6 + 3.0]), 100, 1e-9)
+    assert found[0] == pytest.approx(1e6 + 0.01, abs=1e-5)

@@ -53,12 +53,21 @@ def total(rows: DataFrame, fold: Fold, scan: bool = False) -> np.ndarray | None:
     number of tasks is known beforehand, and up to FAN_IN arrays go straight to the driver.
     """
 
-    def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = None
+    def folded(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             if batch.num_rows:
-                part = fold(matrix(batch.column(0)), *[vector(c) for c in batch.columns[1:]])
-                acc = part if acc is None else acc + part
+                yield fold(matrix(batch.column(0)), *[vector(c) for c in batch.columns[1:]])
+
+    return total_of(rows, folded, scan)
+
+
+def total_of(rows: DataFrame, folded: Callable[[Iterable[pa.RecordBatch]], Iterator[np.ndarray]], scan: bool = False) -> np.ndarray | None:
+    """Sum of the arrays of one length that `folded` makes of each task's batches, as `total` adds them up."""
+
+    def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = None
+        for part in folded(batches):
+            acc = part if acc is None else acc + part
         if acc is not None:
             lists = pa.ListArray.from_arrays(pa.array([0, len(acc)], pa.int32()), pa.array(acc))
             yield pa.RecordBatch.from_arrays([lists], ["v"])

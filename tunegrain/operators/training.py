@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tunegrain.functions import years
 from tunegrain.operators import features, rowsums
+from tunegrain.operators.network import BlockPerceptronClassifier
 from tunegrain.runtime import materialize
 
 SEED = 42
@@ -236,13 +237,18 @@ def fit_perceptron_classifier(
     train: DataFrame, classes: int, width: int, features_col: str = "features", label_col: str = "label",
     hidden: tuple[int, ...] = (64, 32), **params: Any,
 ) -> Model:
-    """Feed-forward network over dense class labels."""
+    """Feed-forward network over dense class labels; a table that is dealt out anew trains over packed blocks of its rows."""
     settings = {
         "layers": [width, *hidden, classes], "solver": "l-bfgs", "blockSize": 1024, "maxIter": 200, "tol": 1e-6,
         "seed": SEED, **params,
     }
     # blocks hold width + classes doubles of a row, as much as the counts of twice as many trees
-    return MultilayerPerceptronClassifier(**_columns(features_col, label_col, settings)).fit(spread(train, 2 * (width + classes)))
+    dealt = spread(train, 2 * (width + classes))
+    if dealt is train:
+        return MultilayerPerceptronClassifier(**_columns(features_col, label_col, settings)).fit(train)
+    # the packed blocks are dealt out; rows only where a few tasks would pack them
+    enough = train.rdd.getNumPartitions() >= train.sparkSession.sparkContext.defaultParallelism
+    return BlockPerceptronClassifier(**_columns(features_col, label_col, settings)).fit(train if enough else dealt)
 
 
 # --- range-constrained regression -----------------------------------------------------------
