@@ -259,3 +259,22 @@ def test_steps_go_on_in_double_precision_if_single_misleads():
 
     found, _ = network.minimise(loss, np.array([1e6 + 3.0]), 100, 1e-9)
     assert found[0] == pytest.approx(1e6 + 0.01, abs=1e-5)
+
+
+def test_a_forest_of_many_nodes_is_fitted_and_scored_in_parts(marked):
+    weighted = marked.withColumn("weight", F.lit(1.0))
+    model = training.fit_forest_classifier(weighted, numTrees=11, maxDepth=6, forest_nodes=100)
+    assert isinstance(model, training.ForestParts) and len(model.paths) > 2
+    assert sum(model.trees) == 11 and min(model.trees) >= 2 and max(model.nodes) < 400
+    scored = model.transform(marked)
+    assert scored.columns == [*marked.columns, "rawPrediction", "probability", "prediction"]
+    parts = [training.RandomForestClassificationModel.load(p) for p in model.paths]
+    assert len({p.toDebugString.partition("\n")[2] for p in parts}) == len(parts)  # each part draws rows of its own
+    votes = sum(np.array([r.rawPrediction.toArray() for r in p.transform(marked).orderBy("id").collect()]) for p in parts)
+    found = scored.orderBy("id").collect()
+    assert np.allclose([r.rawPrediction.toArray() for r in found], votes) and np.allclose(votes.sum(axis=1), 11)
+    assert [r.prediction for r in found] == votes.argmax(axis=1).tolist()
+    assert np.allclose([r.probability.toArray() for r in found], votes / 11)
+    assert sum(r.prediction == r.label for r in found) > 1950
+    plain = training.fit_forest_classifier(weighted, numTrees=11, maxDepth=6)
+    assert isinstance(plain, training.RandomForestClassificationModel)

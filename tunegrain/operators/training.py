@@ -7,14 +7,17 @@ model. Any estimator parameter can be overridden by keyword.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial
 from math import prod
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
+    LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassificationModel, RandomForestClassifier,
 )
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.regression import (
@@ -26,9 +29,12 @@ from pyspark.sql import functions as F
 from tunegrain.functions import years
 from tunegrain.operators import features, rowsums
 from tunegrain.operators.network import BlockPerceptronClassifier
-from tunegrain.runtime import materialize
+from tunegrain.runtime import materialize, new_folder
 
 SEED = 42
+FOREST_NODES = 200_000  # nodes of trees that the driver holds at once, about
+FOREST_ROWS = 500_000  # rows of a partition, whose sums of every node weigh more than fewer rows
+PART_SEEDS = 1_000_003  # Spark adds the number of a partition to a forest's seed, so parts' seeds lie far apart
 CELL_FEATURES = 20  # more features than that have too many cells; their rows are not looked at for it
 BAG_BYTES = 32 * 1024 * 1024  # counts of trees that a partition of a forest's rows holds, about
 
@@ -220,17 +226,101 @@ def fit_logistic(
     return _indexed(train, label_col, classifier)
 
 
+class ForestParts(Model):
+    """A forest of classes whose trees lie in the shared folder, in parts of about `FOREST_NODES` nodes.
+
+    Scoring loads one part after the other and writes the rows with the votes up to it, so neither driver nor executors hold more than a part.
+    Columns are those of Spark ML's forest.
+    """
+
+    def __init__(self, paths: list[str], trees: list[int], nodes: list[int], names: tuple[str, str, str]) -> None:
+        super().__init__()
+        self.paths, self.trees, self.nodes, self.names = paths, trees, nodes, names
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        rows, names = dataset, ["_raw", "_share", "_class"]
+        for path in self.paths:
+            part = RandomForestClassificationModel.load(path)
+            part = part.setRawPredictionCol(names[0]).setProbabilityCol(names[1]).setPredictionCol(names[2])
+            votes = features.vector_to_array("_raw")
+            if "_votes" in rows.columns:
+                votes = F.zip_with("_votes", votes, lambda a, b: a + b)
+            rows = materialize(part.transform(rows).withColumn("_votes", votes).drop(*names), "votes")
+        first = F.array_position("_votes", F.array_max("_votes")) - 1
+        whole = F.aggregate("_votes", F.lit(0.0), lambda a, b: a + b)
+        share = F.transform("_votes", lambda v: F.coalesce(F.try_divide(v, whole), F.lit(0.0)))
+        return rows.select(
+            *dataset.columns, features.as_vector(F.col("_votes")).alias(self.names[0]),
+            features.as_vector(share).alias(self.names[1]), first.cast("double").alias(self.names[2]),
+        )
+
+
+def _fit_in_parts(forest: RandomForestClassifier, train: DataFrame, forest_nodes: int) -> ForestParts:
+    """The trees of `forest` in several runs of its trainer with seeds of their own, two trees in the first.
+
+    Later runs, some at once, have as many trees as fit `forest_nodes` together, by the nodes of the first. Each task of a run sums
+    every node up, so a run has no more partitions than its rows need. It has two trees at least: one alone would get its rows
+    without repeats.
+    """
+    train, left = materialize(train, "train"), forest.getNumTrees()
+    rows, cores, read = train.count(), train.sparkSession.sparkContext.defaultParallelism, train.rdd.getNumPartitions()
+    paths, trees, nodes = [], [], []
+
+    def partitions(some: int) -> int:
+        return max(1, -(-rows * some * 4 // BAG_BYTES), rows // FOREST_ROWS)
+
+    def run(number: int, some: int) -> tuple[str, int]:
+        dealt = train.repartition(partitions(some)) if partitions(some) > read else train.coalesce(partitions(some))
+        model = forest.copy({forest.numTrees: some, forest.seed: forest.getSeed() + PART_SEEDS * number}).fit(dealt)
+        path = new_folder(train.sparkSession, "forest")
+        model.write().save(path)
+        return path, model.totalNumNodes
+
+    def parts(count: int, some: int) -> list[int]:
+        """`count` trees in runs of `some`, the last with one more instead of one alone."""
+        whole = [some] * (count // some) + [count % some] * (count % some > 0)
+        return [*whole[:-2], whole[-2] + 1] if len(whole) > 1 and whole[-1] == 1 else whole
+
+    sizes, at_once = [2], 1
+    while left:
+        calls = [inheritable_thread_target(train.sparkSession)(partial(run, len(paths) + i, some)) for i, some in enumerate(sizes)]
+        with ThreadPool(at_once) as pool:
+            found = pool.map(lambda call: call(), calls, 1)
+        for (path, count), some in zip(found, sizes):
+            paths.append(path)
+            trees.append(some)
+            nodes.append(count)
+        left = forest.getNumTrees() - sum(trees)
+        most = max(2, min(left, forest_nodes * sum(trees) // sum(nodes)))
+        # runs over few partitions share the cores, a large table takes them all for one
+        at_once = max(1, cores // partitions(2)) if partitions(most) < cores else 1
+        some = max(2, min(-(-left // at_once), most // at_once))
+        at_once = max(1, min(at_once, most // some))
+        sizes = parts(left, some)
+    return ForestParts(paths, trees, nodes, (forest.getRawPredictionCol(), forest.getProbabilityCol(), forest.getPredictionCol()))
+
+
 def fit_forest_classifier(
     train: DataFrame, features_col: str = "features", label_col: str = "label", weight_col: str | None = "weight",
-    **params: Any,
+    forest_nodes: int = FOREST_NODES, **params: Any,
 ) -> Model:
-    """Weighted random forest over dense class labels."""
+    """Weighted random forest over dense class labels.
+
+    Its trainer keeps all trees on the driver and sends them with every step, so a forest that could have more than
+    `forest_nodes` nodes is fitted and scored in parts.
+    """
     settings = {
         "numTrees": 300, "maxDepth": 15, "minInstancesPerNode": 5, "subsamplingRate": 0.7, "seed": SEED, **params,
     }
     if weight_col:
         settings["weightCol"] = weight_col
-    return RandomForestClassifier(**_columns(features_col, label_col, settings)).fit(spread(train, settings["numTrees"]))
+    forest = RandomForestClassifier(**_columns(features_col, label_col, settings))
+    dealt = spread(train, settings["numTrees"])
+    leaves = min(2.0 ** forest.getMaxDepth(), train.count() * forest.getSubsamplingRate() / forest.getMinInstancesPerNode())
+    within = 2 * leaves * forest.getNumTrees() <= forest_nodes or forest.getNumTrees() < 4
+    if within or forest.isSet(forest.thresholds) or forest.getLeafCol():
+        return forest.fit(dealt)
+    return _fit_in_parts(forest.setCacheNodeIds(True), dealt, forest_nodes)
 
 
 def fit_perceptron_classifier(
