@@ -33,6 +33,7 @@ from tunegrain.runtime import materialize, new_folder
 
 SEED = 42
 FOREST_NODES = 200_000  # nodes of trees that the driver holds at once, about
+SENT_NODES = 5_000  # nodes of trees that go out with every step of a forest rather than being kept by row
 FOREST_ROWS = 500_000  # rows of a partition, whose sums of every node weigh more than fewer rows
 PART_SEEDS = 1_000_003  # Spark adds the number of a partition to a forest's seed, so parts' seeds lie far apart
 CELL_FEATURES = 20  # more features than that have too many cells; their rows are not looked at for it
@@ -271,7 +272,9 @@ def _fit_in_parts(forest: RandomForestClassifier, train: DataFrame, forest_nodes
 
     def run(number: int, some: int) -> tuple[str, int]:
         dealt = train.repartition(partitions(some)) if partitions(some) > read else train.coalesce(partitions(some))
-        model = forest.copy({forest.numTrees: some, forest.seed: forest.getSeed() + PART_SEEDS * number}).fit(dealt)
+        # the trainer sends its trees with every step, or keeps the node of every row and tree
+        many = not nodes or some * sum(nodes) > SENT_NODES * sum(trees)
+        model = forest.copy({forest.numTrees: some, forest.seed: forest.getSeed() + PART_SEEDS * number, forest.cacheNodeIds: many}).fit(dealt)
         path = new_folder(train.sparkSession, "forest")
         model.write().save(path)
         return path, model.totalNumNodes
@@ -320,7 +323,7 @@ def fit_forest_classifier(
     within = 2 * leaves * forest.getNumTrees() <= forest_nodes or forest.getNumTrees() < 4
     if within or forest.isSet(forest.thresholds) or forest.getLeafCol():
         return forest.fit(dealt)
-    return _fit_in_parts(forest.setCacheNodeIds(True), dealt, forest_nodes)
+    return _fit_in_parts(forest, dealt, forest_nodes)
 
 
 def fit_perceptron_classifier(
